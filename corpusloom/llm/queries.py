@@ -50,3 +50,10 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (p2_found, p3_found, p5_found, p5_pieces, p8_ids, p9_containers)}
+
+
+P3_FOUND_SQL = ""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
