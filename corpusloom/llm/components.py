@@ -1,11 +1,13 @@
 """Groups from pairwise links: a two-dimensional grid of edge blocks with local union-find.
 
 Vertices are hashed into ``B`` blocks, an edge belongs to the cell (block of one end, block of the other). A round has
-two steps: every cell runs union-find over its own edges and keeps one edge (vertex, smallest vertex of its local set)
-a vertex; then the cells of a vertex's row and column exchange their representatives: the smallest one becomes the
-parent, and the others are linked to it. When no vertex has two representatives any more, parents are stable and each
-is the smallest vertex of its component. A hub's edges spread over the 2B - 1 cells of its row and column, so that no
-task gets all of them, and a vertex gathers at most one representative from each of them.
+two steps: every cell runs union-find over its own edges and keeps, for each of its vertices, the smallest vertex of
+the local set as representative; then the cells of a vertex's row and column exchange representatives, the smallest of
+which becomes the vertex's parent and enters each of those cells as an edge. As parents are vertices of the cells they
+enter, the next exchange brings their own parents there, so that paths halve from round to round. When every cell has
+the parent of each of its vertices as representative, parents are stable and each is the smallest vertex of its
+component. A hub's edges spread over the 2B - 1 cells of its row and column, so that no task gets all of them, and a
+vertex has one representative in each cell, however many links it has.
 """
 
 from __future__ import annotations
@@ -13,15 +15,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import drop_materialized, materialize
 
-#: Edges a cell is meant to hold.
-CELL_EDGES = 250_000
-#: Rounds after which something must be wrong; a round at least halves the depth of what is left.
+#: Edges a cell is meant to hold at most, and at least where there are more cores than cells.
+CELL_EDGES, MIN_CELL_EDGES = 250_000, 20_000
+#: Rounds after which something must be wrong; rounds grow with the logarithm of the longest path.
 MAX_ROUNDS = 60
 
 
@@ -34,7 +36,9 @@ def links(pairs: DataFrame, a: str, b: str, similarity: str | None = None, thres
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, v, rep) from the edges (cell, a, b) of a task; cells that share a task become one."""
     parent: dict[str, str] = {}
+    cell = None
 
     def root(v: str) -> str:
         top = v
@@ -46,7 +50,10 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     setdefault = parent.setdefault
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        if batch.num_rows:
+            low = pc.min(batch.column(0)).as_py()
+            cell = low if cell is None else min(cell, low)
+        for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             setdefault(a, a)
             setdefault(b, b)
             a, b = root(a), root(b)
@@ -57,7 +64,8 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     vertices = list(parent)
     for k in range(0, len(vertices), 50_000):
         part = vertices[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(v) for v in part], pa.string())], ["v", "rep"])
+        columns = [pa.array([cell] * len(part), pa.int32()), pa.array(part, pa.string()), pa.array([root(v) for v in part], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["cell", "v", "rep"])
 
 
 def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES) -> DataFrame:
@@ -67,26 +75,24 @@ def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES) -> Data
     count once. No edges give no rows.
     """
     spark = edges.sparkSession
-    schema = T.StructType([T.StructField("v", T.StringType()), T.StructField("rep", T.StringType())])
-    now = links(edges, "a", "b")
-    total = now.count()
-    # cells, at least one for each core; a grid of blocks x blocks
-    cells = max(min(spark.sparkContext.defaultParallelism, -(-total // 20_000)), -(-total // cell_edges), 1)
+    found = links(edges, "a", "b")
+    total = found.count()
+    cells = max(min(spark.sparkContext.defaultParallelism, -(-total // MIN_CELL_EDGES)), -(-total // cell_edges), 1)
     blocks = 1
     while blocks * blocks < cells:
         blocks += 1
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    now = found.select((block("a") * blocks + block("b")).cast("int").alias("cell"), "a", "b")
+    every, first = Window.partitionBy("v"), Window.partitionBy("v").orderBy("rep", "cell")
     previous = None
     for _ in range(MAX_ROUNDS):
-        cell = (block("a") * blocks + block("b")).cast("int")
-        local = now.withColumn("cell", cell).repartition(blocks * blocks, "cell").select("a", "b").mapInArrow(_union_find, schema)
-        exchanged = local.groupBy("v").agg(F.min("rep").alias("parent"), F.collect_set("rep").alias("reps"))
+        local = now.repartition(blocks * blocks, "cell").mapInArrow(_union_find, "cell int, v string, rep string")
+        exchanged = local.select("*", F.min("rep").over(every).alias("parent"), F.row_number().over(first).alias("number"))
         state = materialize(exchanged, "components")
         if previous is not None:
             drop_materialized(previous)
-        if state.where(F.size("reps") > 1).isEmpty():
-            return state.select(F.col("v").alias("unit_id"), F.col("parent").alias("group_id"))
-        down = state.where(F.col("v") != F.col("parent")).select(F.col("v").alias("a"), F.col("parent").alias("b"))
-        across = state.where(F.size("reps") > 1).select(F.explode("reps").alias("a"), F.col("parent").alias("b"))
-        now, previous = down.unionByName(across.where("a <> b")), state
+        if state.where("rep <> parent").isEmpty():
+            return state.where("number = 1").select(F.col("v").alias("unit_id"), F.col("parent").alias("group_id"))
+        now = state.select("cell", F.col("v").alias("a"), F.explode(F.array_distinct(F.array("rep", "parent"))).alias("b"))
+        previous = state
     raise RuntimeError("components did not become stable")

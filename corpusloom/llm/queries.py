@@ -7,13 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import incremental
+from ..session import materialize
 from ..tables import table
-from . import bpe, components, neighbours, packing, splitting
+from . import bpe, components, handwritten, neighbours, packing, splitting, syntax
 
 CONTAINER_TOKENS = 2048
 LINK_SIMILARITY = 0.92
 
 
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.check_files(table(spark, sf_dir, "source_files"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).where("not sound").select("path")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(_checked(spark, sf_dir))
+
+
+def p1_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    present = incremental.present_rows(table(spark, sf_dir, "files").withColumn("s", F.struct("status", "error")), ["path"], "s").select("path", "s.status", "s.error")
+    return syntax.against_index(_checked(spark, sf_dir), present, table(spark, sf_dir, "code_units"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = []
     for name in ("unit_embeddings", "chunk_embeddings"):
@@ -39,6 +58,21 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.cap_pages(_split(spark, sf_dir), splitting.largest_cap(table(spark, sf_dir, "embeddings_config")))
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = handwritten.not_by_hand(table(spark, sf_dir, "source_files"))
+    return handwritten.found_files(materialize(judged, "judged"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("path")
+
+
+def p7_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of files that were not written by hand, with the kind of file."""
+    units = table(spark, sf_dir, "code_units").select("id", F.col("file_path").alias("path")).distinct()
+    return units.join(_judged(spark, sf_dir), "path").select("id", "path", "kind", "reason")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -49,7 +83,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p2_found, p3_found, p5_found, p5_pieces, p8_ids, p9_containers)}
+    return {q.__name__: q for q in (p1_found, p1_rates, p1_index, p2_found, p3_found, p5_found, p5_pieces, p7_found, p7_units, p8_ids, p9_containers)}
 
 
 P3_FOUND_SQL = ""
