@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import incremental
 from ..session import materialize
 from ..tables import table
-from . import bpe, components, handwritten, neighbours, packing, splitting, syntax
+from . import bpe, components, handwritten, neighbours, packing, reading, splitting, syntax
 
 CONTAINER_TOKENS = 2048
 LINK_SIMILARITY = 0.92
@@ -82,8 +82,16 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(counts, "doc_id", "n_tokens", CONTAINER_TOKENS)
 
 
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_levels(spark, sf_dir).where("english and level >= 4").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p1_rates, p1_index, p2_found, p3_found, p5_found, p5_pieces, p7_found, p7_units, p8_ids, p9_containers)}
+    return {q.__name__: q for q in (p1_found, p1_rates, p1_index, p2_found, p3_found, p5_found, p5_pieces, p7_found, p7_units, p8_ids, p9_containers, p10_levels, p10_found)}
 
 
 P3_FOUND_SQL = ""
