@@ -8,6 +8,8 @@ from collections.abc import Callable
 STR, NUM, EOF, BAD = "<str>", "<num>", "<eof>", "<bad>"
 #: Depth of nesting beyond which a file is refused instead of exhausting the stack.
 MAX_DEPTH = 120
+#: Tokens that may be read in vain, for each token of a file, before it is refused.
+MAX_REREAD = 100
 
 
 class Fault(Exception):
@@ -81,7 +83,9 @@ class Parser:
     def __init__(self, text: str):
         self.text = text
         self.t = self.lexed(text)
-        self.v, self.n, self.i, self.depth = self.t.value, self.t.name, 0, 0
+        for _ in range(3):  # a rule may step over the end once or twice before it looks
+            self.t.add(EOF, False, len(text), True)
+        self.v, self.n, self.i, self.depth, self.wasted = self.t.value, self.t.name, 0, 0, 0
         self.faults: list[tuple[int, str]] = list(self.t.faults)
 
     def lexed(self, text: str) -> Lexed:
@@ -98,6 +102,8 @@ class Parser:
             self.note(e)
         except RecursionError:
             self.faults.append((self.t.at[min(self.i, len(self.t.at) - 1)], "nesting too deep"))
+        except IndexError:
+            self.faults.append((len(self.text), "unexpected end of file"))
         return sorted(set(self.faults))
 
     # tokens
@@ -144,6 +150,9 @@ class Parser:
                 return True
         except Fault:
             pass
+        self.wasted += self.i - start
+        if self.wasted > MAX_REREAD * len(self.v):
+            self.fail("too deeply ambiguous")
         self.i, self.depth, self.flag = start, depth, flag
         del self.faults[faults:]
         return False

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import incremental
 from ..session import materialize
 from ..tables import table
-from . import bpe, components, handwritten, neighbours, packing, reading, splitting, syntax
+from . import bpe, components, handwritten, markup, neighbours, packing, reading, splitting, syntax
 
 CONTAINER_TOKENS = 2048
 LINK_SIMILARITY = 0.92
@@ -46,6 +46,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(components.links(pairs, "unit_id_a", "unit_id_b", "similarity", LINK_SIMILARITY))
 
 
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_chunks(table(spark, sf_dir, "search_chunks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_clean(spark, sf_dir).select("chunk_id", F.explode("kinds").alias("markup"))
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_chunks(table(spark, sf_dir, "search_chunks"), table(spark, sf_dir, "embeddings_config"))
 
@@ -91,7 +99,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p1_rates, p1_index, p2_found, p3_found, p5_found, p5_pieces, p7_found, p7_units, p8_ids, p9_containers, p10_levels, p10_found)}
+    return {q.__name__: q for q in (p1_found, p1_rates, p1_index, p2_found, p3_found, p4_clean, p4_found, p5_found, p5_pieces, p7_found, p7_units, p8_ids, p9_containers, p10_levels, p10_found)}
 
 
 P3_FOUND_SQL = ""
