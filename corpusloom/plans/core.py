@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking, codeunits, html, paths, terms, text
 from ..functions.excerpt import excerpt_column
 from ..operators import catalog, duplicates, embedding, incremental, lexical, queueing, ranking, report, store, vectors
+from ..session import spread
 from ..tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -382,7 +383,7 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
 
 def _split_documents(spark: SparkSession, d: str) -> DataFrame:
     limits = table(spark, d, "embeddings_config").withColumnRenamed("docset_slug", "source")
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "source", "text").join(limits, "source", "left")
+    rows = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "source", "text")).join(limits, "source", "left")
     return rows.withColumn("chunks", chunking.split_udf("text", "max_chunk_chars", "overlap_chars", "min_chunk_chars")).withColumn("cap", F.coalesce("max_chunks_per_page", F.lit(chunking.MAX_CHUNKS)))
 
 
@@ -412,7 +413,7 @@ def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def code_units(spark: SparkSession, d: str) -> DataFrame:
     """Units of all source files."""
-    files = table(spark, d, "source_files").groupBy("path").agg(F.min("contents").alias("contents"))
+    files = spread(table(spark, d, "source_files")).groupBy("path").agg(F.min("contents").alias("contents"))
     return codeunits.parse_files(files)
 
 

@@ -71,13 +71,10 @@ def drop_materialized(df: DataFrame) -> None:
             drop_path(df.sparkSession, folder)
 
 
-def spread(df: DataFrame, rows_per_task: int, rows: int | None = None) -> DataFrame:
-    """Repartition ``df`` if it has fewer partitions than the cluster has cores and rows enough to share."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    if have >= cores:
-        return df
-    rows = df.count() if rows is None else rows
-    want = min(cores, -(-rows // rows_per_task))
-    return df.repartition(want) if want > have else df
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster has cores, for work that costs far more than moving rows.
+
+    Inputs of that many partitions, which is to say all large ones, stay as they are and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
