@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 #: Words that documentation queries drop, and how many terms are kept.
 STOPWORDS = ["a", "an", "and", "are", "as", "do", "for", "how", "i", "in", "is", "of", "or", "the", "to", "with"]
 MAX_TERMS, MAX_TOKENS = 8, 12
+NOT_ASCII = r"[^\x00-\x7f]"
 
 
 def _first_occurrences(items: list[str]) -> list[str]:
@@ -86,9 +87,11 @@ def _fold(texts: pd.Series) -> pd.Series:
 def folded(text: Column) -> Column:
     """Lower case without diacritics; only texts that aren't ASCII leave the JVM."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(text.rlike(r"[^\x00-\x7f]"), _fold(F.when(text.rlike(r"[^\x00-\x7f]"), text))).otherwise(F.lower(text))
+    return F.when(text.rlike(NOT_ASCII), _fold(F.when(text.rlike(NOT_ASCII), text))).otherwise(F.lower(text))
 
 
 def index_tokens(text: Column) -> Column:
     """Tokens of the full-text index: folded runs of letters and digits."""
-    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    plain = F.coalesce(text, F.lit(""))
+    words = F.when(plain.rlike(NOT_ASCII), F.split(folded(text), r"[^\p{L}\p{N}]+")).otherwise(F.split(F.lower(plain), "[^a-z0-9]+"))
+    return F.array_remove(words, "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the characters that count as white space at the ends of a text.
-BLANKS = "[\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Fixed value: the header that rendered pages begin with.
 PAGE_HEADER_GREEDY = "(?s)^# .+\n\n> DevDocs path: .+\n\n"
 PAGE_HEADER_EXACT = "^# [^\n]+\n\n> DevDocs path: [^\n]+\n\n"
@@ -14,12 +14,12 @@ PAGE_HEADER_EXACT = "^# [^\n]+\n\n> DevDocs path: [^\n]+\n\n"
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text, f"^{BLANKS}+|(?<!{BLANKS}){BLANKS}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalize(text: Column) -> Column:
     """CRLF and CR become LF, outer white space goes; null stays null. Strings here can't hold unpaired surrogates."""
-    return strip(F.regexp_replace(text, "\r\n?", "\n"))
+    return strip(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
 
 
 def content_hash(text: Column) -> Column:

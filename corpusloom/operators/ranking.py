@@ -73,7 +73,8 @@ def hybrid_docs(semantic: DataFrame, keyword: DataFrame, key: str, page: list[st
 
 
 def in_order(ids: list, df: DataFrame, key: str) -> DataFrame:
-    """The rows of ``ids`` in the order of their first mention; ids without a row are left out. ``ids`` is a bounded list."""
+    """The rows of ``ids`` in the order of their first mention, which the new column ``mention`` numbers; ids without a row are
+    left out. ``ids`` is a bounded list."""
     spark = df.sparkSession
-    wanted = spark.createDataFrame([(k, i) for i, k in enumerate(dict.fromkeys(ids))], f"{key} {dict(df.dtypes)[key]}, pos int")
-    return df.join(F.broadcast(wanted), key).orderBy("pos")
+    wanted = spark.createDataFrame([(k, i) for i, k in enumerate(dict.fromkeys(ids))], f"{key} {dict(df.dtypes)[key]}, mention int")
+    return df.drop("mention").join(F.broadcast(wanted), key).orderBy("mention")
