@@ -70,7 +70,7 @@ TABLE_LINE = re.compile(r"^[^\t\n]+\t[^\n]*$")
 def is_code(lines: list[str]) -> bool:
     """Whether a paragraph is bare code of a program."""
     some = [x for x in lines if x.strip()]
-    hits = sum(bool(CODE_LINE.search(x)) for x in some)
+    hits = sum(bool(CODE_LINE.search(x)) and not (WIKI_TEMPLATE.search(x) or LATEX_COMMAND.search(x)) for x in some)
     return bool(some) and hits * 2 >= len(some) and (len(some) > 1 or not re.match(r"^[A-Z][a-z]+ .*\w\.$", some[0]) and not some[0].lstrip().startswith("<"))
 
 

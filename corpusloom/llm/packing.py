@@ -1,6 +1,6 @@
 """Filling containers of fixed capacity by non-negative least squares over the histogram of lengths.
 
-Lengths are counted in steps of ``STEP`` (rounded up, so that a plan made of steps always fits). Combinations of up to
+Lengths are counted in steps of ``STEP``, or the next smaller divisor of the capacity (rounded up, so that a plan made of steps always fits). Combinations of up to
 three steps whose sum fills the container, or nearly does, are enumerated; non-negative least squares finds how often
 each is repeated so that together they use the histogram up; rounded counts become containers, and what is left is
 packed greedily, largest first with the best fitting partners. All of this works on the histogram, whose size the
@@ -126,16 +126,14 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     are spread over the containers there are. Repeated keys are items of their own. No items give no rows.
     """
     spark = items.sparkSession
-    steps = -(-capacity // STEP)
+    step = max(k for k in range(1, STEP + 1) if capacity % k == 0)
+    steps = capacity // step
     n = F.greatest(F.coalesce(F.col(size).cast("int"), F.lit(0)), F.lit(0))
     sized = items.select(F.col(key).alias("key"), n.alias("n"), F.monotonically_increasing_id().alias("row"))
     count = F.greatest(F.ceil(F.col("n") / capacity).cast("int"), F.lit(1))
     pieces = sized.withColumn("n_pieces", count).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     pieces = pieces.withColumn("first", F.col("piece") * capacity).withColumn("tokens", F.least(F.col("n") - F.col("first"), F.lit(capacity)))
-    # steps of STEP that fit the capacity; a full piece takes all of them
-    pieces = pieces.withColumn("s", F.least(F.ceil(F.col("tokens") / STEP), F.lit(steps)).cast("int"))
-    if capacity % STEP:
-        pieces = pieces.withColumn("s", F.when(F.col("tokens") > (steps - 1) * STEP, steps).otherwise(F.col("s")))
+    pieces = pieces.withColumn("s", F.ceil(F.col("tokens") / step).cast("int"))
     pieces = materialize(pieces.drop("n"), "pieces")
     total = pieces.count()
     salts = max(1, -(-total // GROUP_ROWS))

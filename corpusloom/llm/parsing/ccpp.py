@@ -185,10 +185,13 @@ class CParser(Parser):
                 return
             if self.at("using", "template") and self.cpp_external():
                 return
-            if self.at("~") or self.at("virtual") and self.peek(1) == "~" or self.is_name() and self.peek(1) == "(" or self.at("explicit"):
+            if self.at("~") or self.at("virtual") and self.peek(1) == "~" or self.is_name() and self.peek(1) == "(" or self.at("explicit", "operator"):
                 while self.at("virtual", "explicit", "~"):
                     self.i += 1
-                self.name()
+                if self.take("operator"):
+                    self.operator_name()
+                else:
+                    self.name()
                 self.balanced()
                 self.function_rest()
                 return
@@ -267,6 +270,8 @@ class CParser(Parser):
                     self.name()
         elif self.cpp and self.take("operator"):
             self.operator_name()
+        elif self.cpp and self.at("[") and self.is_name(1) and self.peek(2) in (",", "]"):
+            self.balanced()  # names bound to the parts of a value
         elif not abstract:
             self.fail("name expected")
         called = False
@@ -289,10 +294,10 @@ class CParser(Parser):
                 return called
 
     def operator_name(self) -> None:
-        while not self.at("(", EOF):
-            self.i += 1
-        if self.peek(1) == ")":
+        if self.at("(") and self.peek(1) == ")":
             self.i += 2
+        while not self.at("(", ";", EOF):
+            self.i += 1
 
     def parameters(self) -> None:
         self.need("(")

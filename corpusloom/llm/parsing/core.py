@@ -233,6 +233,8 @@ class Parser:
     def balanced(self) -> None:
         """A bracketed run of any tokens."""
         pairs = {"(": ")", "[": "]", "{": "}"}
+        if self.v[self.i] not in pairs:
+            self.fail("opening bracket expected")
         want = [pairs[self.v[self.i]]]
         start = self.i
         self.i += 1

@@ -157,7 +157,7 @@ class ShellParser(Parser):
                 if m and not (m[0] in ("<", ">") and text.startswith("(", m.end())) and not (tests and m[0] in "<>()&&||"):
                     v = m[0]
                     if v == "(":
-                        if text.startswith("((", i) and fresh:
+                        if text.startswith("((", i) and (fresh or out.value[-1:] == ["for"]):
                             j = text.find("))", i)
                             if j < 0:
                                 raise Broken(i, "unterminated arithmetic")
@@ -182,7 +182,7 @@ class ShellParser(Parser):
                         i = j
                     fresh = v not in REDIRECTS
                     continue
-                j = scan.word(i, " \t\r\n" if tests else " \t\r\n;&|<>()")
+                j = i + 2 if tests and re.match(r"\]\](?=[\s;&|)]|$)", text[i : i + 3]) else scan.word(i, " \t\r\n" if tests else " \t\r\n;&|<>()")
                 if j == i:
                     j = i + 1
                 w = text[i:j]

@@ -16,32 +16,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 DEFAULTS = {"max_chunk_chars": 2400, "overlap_chars": 200, "min_chunk_chars": 200, "max_chunks_per_page": 512}
 #: Boundaries, strongest first; a cut comes after the match.
 BOUNDARIES = [re.compile(p) for p in (r"\n{2,}(?=#{1,6} )", r"\n{2,}", r"\n", r"[.!?;:…。！？]['\")\]]*\s+|[。！？]", r"\s+")]
-#: Fixed value: white space at the ends of a text that doesn't count.
-BLANKS = "[\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
-def normalized(text: Column) -> Column:
+def normalized(body: Column) -> Column:
     """CRLF and CR turned into LF, outer white space removed; null as empty text."""
-    lf = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    return F.regexp_replace(lf, f"^{BLANKS}+|(?<!{BLANKS}){BLANKS}+$", "")
+    return text.normalize(F.coalesce(body, F.lit("")))
 
 
-def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of ``text``, each of at most ``limit`` characters, in order and without gaps.
+def cut_points(body: str, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of ``body``, each of at most ``limit`` characters, in order and without gaps.
 
     Neighbours share ``overlap`` characters, or somewhat fewer where that lets the second start at a word.
     """
-    n = len(text)
+    n = len(body)
     if n <= limit:
         return [(0, n)]
     limit = max(1, limit)
     overlap = max(0, min(overlap, limit - 1))
     marks: list[list[int]] = []
     for k, boundary in enumerate(BOUNDARIES):
-        marks.append([m.end() for m in boundary.finditer(text)])
+        marks.append([m.end() for m in boundary.finditer(body)])
     stride = limit - overlap
     pieces = -(-(n - overlap) // stride)
     raised = 0
@@ -72,8 +71,8 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     starts = [0]
     for end in cuts:
         start = end - overlap
-        inner = re.search(r"\s+", text[start:end]) if 0 < start and not text[start - 1].isspace() and overlap else None
-        starts.append(start + inner.end() if inner and start + inner.end() < end else start)
+        inner = re.search(r"\s+", body[start:end]) if 0 < start and not body[start - 1].isspace() and overlap else None
+        starts.append(max(starts[-1] + 1, start + inner.end() if inner and start + inner.end() < end else start))
     return list(zip(starts, ends))
 
 
@@ -91,10 +90,10 @@ def split_chunks(chunks: DataFrame, config: DataFrame) -> DataFrame:
 
     ``chunks`` has id, docset_slug, page_id, ordinal, text; ``config`` one row a docset. Texts are normalised first. A
     chunk within its limit is one piece; an empty or null text is one empty piece. Docsets without a row, and nulls,
-    have the defaults. Repeated rows of an id count once.
+    have the defaults. Repeated rows of an id count once, rows without an id not at all.
     """
     limits = config.groupBy("docset_slug").agg(*[F.greatest(F.coalesce(F.max(c), F.lit(d)), F.lit(1 if c.startswith("max") else 0)).alias(c) for c, d in DEFAULTS.items()])
-    rows = chunks.groupBy("id").agg(*[F.min_by(c, F.struct(F.coalesce("ordinal", F.lit(0)), "text")).alias(c) for c in ("docset_slug", "page_id", "ordinal", "text")])
+    rows = chunks.where("id is not null").groupBy("id").agg(*[F.min_by(c, F.struct(F.coalesce("ordinal", F.lit(0)), "text")).alias(c) for c in ("docset_slug", "page_id", "ordinal", "text")])
     rows = rows.join(limits, "docset_slug", "left").fillna(DEFAULTS)
     rows = rows.withColumn("body", normalized(F.col("text"))).drop("text").withColumn("n_chars", F.char_length("body"))
     out = "id long, docset_slug string, page_id string, ordinal int, max_chunks_per_page int, n_chars int, oversized boolean, piece int, n_pieces int, start int, text string"
