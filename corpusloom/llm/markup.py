@@ -314,18 +314,19 @@ class Document:
 
 
 def parse_chunks(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, host, page_id, ordinal, kinds, head, blocks) of each chunk; rows that repeat an id count once.
+    """(chunk_id, host, page_id, ordinal, loose, head, blocks) of each chunk; rows that repeat an id count once.
 
-    ``blocks`` has style, kind, text and the hash of the text. An empty or null text has no blocks and no kinds.
+    ``blocks`` has style, kind and text; a style begins with the syntaxes of its block. ``loose`` has the kinds of markup
+    that left no block of their own, such as comments. An empty or null text has neither.
     """
-    out = "chunk_id long, host string, page_id string, ordinal int, kinds array<string>, head string, blocks array<struct<style:string,kind:string,text:string>>"
+    out = "chunk_id long, host string, page_id string, ordinal int, loose array<string>, head string, blocks array<struct<style:string,kind:string,text:string>>"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [Document(t) for t in b["text"]]
             yield pd.DataFrame({
                 "chunk_id": b["id"], "host": b["docset_slug"], "page_id": b["page_id"], "ordinal": b["ordinal"].astype("Int32"),
-                "kinds": [[k for k in KINDS if k in m.kinds] for m in made], "head": [m.head for m in made],
+                "loose": [sorted(m.kinds - {k for style, _, _ in m.blocks for k in style.split("/")[0].split("+")}) for m in made], "head": [m.head for m in made],
                 "blocks": [[{"style": s, "kind": k, "text": t} for s, k, t in m.blocks] for m in made],
             })
 
@@ -350,7 +351,7 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 def clean_chunks(chunks: DataFrame) -> DataFrame:
     """(chunk_id, host, page_id, kinds, text, blocks, removed) of each chunk of (id, docset_slug, page_id, ordinal, text).
 
-    ``kinds``: the markup met in the chunk; ``text``: header lines and blocks of importance, without markup; ``blocks``:
+    ``kinds``: the markup met in the chunk, in what is kept, what is removed and what left no block; ``text``: header lines and blocks of importance, without markup; ``blocks``:
     those blocks with their kind; ``removed``: how many were left out as the host's pages share them.
     """
     parsed = materialize(parse_chunks(chunks), "parsed")
@@ -358,6 +359,9 @@ def clean_chunks(chunks: DataFrame) -> DataFrame:
     at = parsed.select("chunk_id", "host", F.posexplode("blocks").alias("at", "b")).select("chunk_id", "host", "at", F.col("b.style").alias("style"), F.xxhash64("b.text").alias("feature"))
     dropped = at.join(low, ["host", "style", "feature"], "left_semi").groupBy("chunk_id").agg(F.collect_set("at").alias("dropped"))
     both = parsed.join(dropped, "chunk_id", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    both = both.withColumn("gone", F.expr("filter(blocks, (b, i) -> array_contains(dropped, i))"))
     kept = both.withColumn("blocks", F.expr("filter(blocks, (b, i) -> not array_contains(dropped, i))"))
+    syntaxes = lambda c: F.flatten(F.transform(c, lambda b: F.split(F.substring_index(b["style"], "/", 1), r"\+")))
+    kinds = F.array_intersect(F.array(*map(F.lit, KINDS)), F.concat(syntaxes("blocks"), syntaxes("gone"), "loose"))
     text = F.concat_ws("\n\n", F.when(F.col("head") != "", F.col("head")), F.expr("transform(blocks, b -> b.text)"))
-    return kept.select("chunk_id", "host", "page_id", "kinds", text.alias("text"), F.expr("transform(blocks, b -> struct(b.kind as kind, b.text as text))").alias("blocks"), F.size("dropped").alias("removed"))
+    return kept.select("chunk_id", "host", "page_id", kinds.alias("kinds"), text.alias("text"), F.expr("transform(blocks, b -> struct(b.kind as kind, b.text as text))").alias("blocks"), F.size("dropped").alias("removed"))
