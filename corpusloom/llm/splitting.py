@@ -93,7 +93,8 @@ def split_chunks(chunks: DataFrame, config: DataFrame) -> DataFrame:
     have the defaults. Repeated rows of an id count once, rows without an id not at all.
     """
     limits = config.groupBy("docset_slug").agg(*[F.greatest(F.coalesce(F.max(c), F.lit(d)), F.lit(1 if c.startswith("max") else 0)).alias(c) for c, d in DEFAULTS.items()])
-    rows = chunks.where("id is not null").groupBy("id").agg(*[F.min_by(c, F.struct(F.coalesce("ordinal", F.lit(0)), "text")).alias(c) for c in ("docset_slug", "page_id", "ordinal", "text")])
+    one = F.min(F.struct(F.coalesce("ordinal", F.lit(0)).alias("first"), "text", "docset_slug", "page_id", "ordinal"))
+    rows = chunks.where("id is not null").groupBy("id").agg(one.alias("s")).select("id", "s.docset_slug", "s.page_id", "s.ordinal", "s.text")
     rows = rows.join(limits, "docset_slug", "left").fillna(DEFAULTS)
     rows = rows.withColumn("body", normalized(F.col("text"))).drop("text").withColumn("n_chars", F.char_length("body"))
     out = "id long, docset_slug string, page_id string, ordinal int, max_chunks_per_page int, n_chars int, oversized boolean, piece int, n_pieces int, start int, text string"
