@@ -16,6 +16,7 @@ PATTERN = re.compile(
     r"|(?P<comment>/\*)|(?P<text_literal>[\"'])"
 )
 NUMBER = re.compile(r"(?:0[xX][\da-fA-F']+(?:\.[\da-fA-F']*)?(?:[pP][+-]?\d+)?|0[bB][01']+|(?:\d[\d']*)?\.?\d[\d']*\.?(?:[eE][+-]?\d+)?)[uUlLfFzZ]*$")
+DIRECTIVES = frozenset("include include_next import embed define undef if ifdef ifndef elif elifdef elifndef else endif error warning pragma line ident".split())
 TYPE_WORDS = frozenset("void char short int long float double signed unsigned _Bool bool wchar_t auto const volatile static extern inline register restrict typedef struct union enum class constexpr virtual explicit friend mutable typename thread_local _Thread_local".split())
 WORDS = frozenset("if else for while do switch case default break continue return goto sizeof struct union enum typedef static extern const volatile void char short int long float double signed unsigned".split())
 CPP_WORDS = WORDS | frozenset("class namespace template using public private protected new delete try catch throw this operator virtual".split())
@@ -35,6 +36,8 @@ class CParser(Parser):
                 out.add(BAD, False, i)
                 return i + 1
             word = re.match(r"#\s*(\w*)", text[i:j])[1]
+            if word not in DIRECTIVES and text[i + 1 : j].strip() and not word.isdigit():
+                out.faults.append((i, "unknown directive"))
             if word in ("if", "ifdef", "ifndef"):
                 self.open_ifs.append(i)
             elif word == "endif":

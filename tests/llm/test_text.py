@@ -24,7 +24,7 @@ BROKEN = {
     "b.go": ["", "// x\n", "package a\nfunc f() {", "package a\nx := 1\n", "package a\nfunc f() { a b }\n"],
     "b.rs": ["fn f( {}", "fn f() { let x = ; }", "pub fn f() -> { }", "x = 1;", "fn f() { \"a }"],
     "b.java": ["class A {", "class A { int f( { } }", "class A { void f() { a + b; } }", "int x = 1 2;", "class A { char c = 'ab'; }"],
-    "b.c": ["int f( {", "int f() { return }", "int f() { if a { } }", "#if X\nint a;\n", "int a = 'x;"],
+    "b.c": ["int f( {", "int f() { return }", "int f() { if a { } }", "#if X\nint a;\n", "int a = 'x;", "# a note\nint a;\n", "#!/bin/sh\n"],
     "b.hpp": ["class A { int x }", "namespace a {", "int f() { x y z; }"],
     "b.bash": ["if a; then b\n", "f() { a\n", "echo $(a\n", "case x in a) b\n", "echo 'a\n", "a | | b\n", "for x in; echo\n"],
     "b.css": [".a { b: c;", ".a { b: c; }}", "a b", ".a { b }", "/* x", ".a { << }"],
