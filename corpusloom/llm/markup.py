@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Contents below this importance are removed; pages a style must have, and a content recur on, before that may happen.
-IMPORTANT, STYLE_PAGES, CONTENT_PAGES = 0.3, 8, 4
+#: Contents below this importance are removed; pages a style must have, and a content recur on, before that may happen;
+#: the share of a style's pages that a content must be on, whatever their number.
+IMPORTANT, STYLE_PAGES, CONTENT_PAGES, PAGE_SHARE = 0.3, 8, 4, 0.7
+#: Kinds of blocks that are never removed because their own text recurs.
+KEPT_KINDS = ("heading", "code", "list", "formula")
 KINDS = ("html", "markdown", "wiki", "latex")
 
 #: Names of HTML elements. Those that are also common words count only with attributes or an end tag.
@@ -355,7 +358,9 @@ def clean_chunks(chunks: DataFrame) -> DataFrame:
     those blocks with their kind; ``removed``: how many were left out as the host's pages share them.
     """
     parsed = materialize(parse_chunks(chunks), "parsed")
-    low = style_tree(parsed).where((F.col("importance") < IMPORTANT) & (F.col("style_pages") >= STYLE_PAGES)).select("host", "style", "feature")
+    recurring = (F.col("importance") < IMPORTANT) & (F.col("style_pages") >= STYLE_PAGES) & (F.col("pages") >= PAGE_SHARE * F.col("style_pages"))
+    kind = F.regexp_replace(F.substring_index("style", "/", -1), r"\d+$", "")
+    low = style_tree(parsed).where(recurring & ~kind.isin(*KEPT_KINDS)).select("host", "style", "feature")
     at = parsed.select("chunk_id", "host", F.posexplode("blocks").alias("at", "b")).select("chunk_id", "host", "at", F.col("b.style").alias("style"), F.xxhash64("b.text").alias("feature"))
     dropped = at.join(low, ["host", "style", "feature"], "left_semi").groupBy("chunk_id").agg(F.collect_set("at").alias("dropped"))
     both = parsed.join(dropped, "chunk_id", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))

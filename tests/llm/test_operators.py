@@ -171,6 +171,15 @@ def test_markup_of_table(spark):
     assert markup.clean_chunks(df.where("false")).count() == 0
 
 
+def test_markup_keeps_common_blocks(spark):
+    same = "# Parameters\n\n```py\nrun(1)\n```\n\n- one\n- two\n\n$$a_1 \\le b$$"
+    rows = [(i, "d", f"p{i}", 0, f"{same}\n\nPage number {i}.\n\n{'Often said.' if i < 60 else f'Said {i}.'}\n\nOn all pages.") for i in range(200)]
+    got = markup.clean_chunks(spark.createDataFrame(rows, "id long, docset_slug string, page_id string, ordinal int, text string")).collect()
+    for r in got:
+        assert "Parameters" in r["text"] and "run(1)" in r["text"] and "- one" in r["text"] and "a_1" in r["text"]
+        assert ("Often said." in r["text"]) == (r["chunk_id"] < 60)
+
+
 def test_reading_levels(spark):
     rng = random.Random(8)
     words = {level: [f"{'abcdefgh'[level]}{a}{b}" for a in "klmn" for b in "opqrst"] for level in range(1, 6)}
