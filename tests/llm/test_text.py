@@ -59,6 +59,13 @@ def test_causes():
     assert faults("a.js", "x") is None
 
 
+def test_late_header_lines():
+    licence = "".join(f"// Licence, clause {i}.\n" for i in range(90))
+    kind = lambda head: (handwritten.layout_kind("r/src/a.go", licence + head + "\npackage a\n\nfunc f() {}\n") or (None,))[0]
+    assert kind("// Code generated by tool. DO NOT EDIT.\n") == "generated" and kind("// vendored from x\n") == "vendored"
+    assert kind("// Once made by a tool: do not edit the table. Maintained by hand.\n") is None and kind("") is None
+
+
 def test_layout_kinds():
     kind = lambda p, c: (handwritten.layout_kind(p, c) or (None,))[0]
     code = "def walk(tree):\n    for node in tree:\n        yield node.name\n\n\nclass Queue:\n    def push(self, item):\n        self.items.append(item)\n"
