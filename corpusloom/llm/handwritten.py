@@ -157,16 +157,22 @@ def merkle_nodes(files: DataFrame) -> DataFrame:
 def shared_files(files: DataFrame) -> DataFrame:
     """Paths below subtrees that unrelated repositories share: (path). Repositories are related if their names begin with the same word.
 
-    A subtree that is the whole of a repository is where the others come from, and is no copy there.
+    Nodes are those of the files that hold something; a shared directory marks all files below it, small and empty ones
+    too, and only the weight of the subtree counts. A subtree that is the whole of a repository is where the others come
+    from, and is no copy there.
     """
-    nodes = merkle_nodes(files)
+    nodes = materialize(merkle_nodes(files.where("bytes > 0")), "nodes")
     family = F.regexp_extract("repo", "^[^-_./]+", 0)
     heavy = nodes.where(F.col("bytes") >= SHARED_BYTES)
     shared = heavy.groupBy("digest").agg(F.min(family).alias("a"), F.max(family).alias("b")).where("a <> b").select("digest")
-    # a shared directory's files are shared nodes themselves, so that file nodes tell all paths
-    leaves = files.join(shared, files["hash"] == shared["digest"], "left_semi")
-    whole = heavy.where("depth = 1").join(shared, "digest", "left_semi").select("repo")
-    return leaves.join(whole, "repo", "left_anti").select("path")
+    found = heavy.join(shared, "digest", "left_semi")
+    whole = found.where("depth = 1").select("repo")
+    marked = materialize(found.join(whole, "repo", "left_anti").select("repo", "node_path"), "shared")
+    # only files of repositories that share anything are spread over the nodes above them
+    some = files.select("repo", "path").join(marked.select("repo").distinct(), "repo", "left_semi")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    return some.select("repo", "path", F.explode(above).alias("node_path")).join(marked, ["repo", "node_path"], "left_semi").select("path").distinct()
 
 
 def not_by_hand(files: DataFrame) -> DataFrame:
@@ -188,6 +194,6 @@ def not_by_hand(files: DataFrame) -> DataFrame:
 
 def found_files(seen: DataFrame) -> DataFrame:
     """The judged files of :func:`not_by_hand` joined with the shared subtrees: (path, repo, kind, reason)."""
-    copies = shared_files(seen.where("bytes > 0").select("repo", "path", "hash", "bytes")).withColumn("shared", F.lit(True))
+    copies = shared_files(seen.select("repo", "path", "hash", "bytes")).withColumn("shared", F.lit(True))
     both = seen.join(copies, "path", "left").where("kind is not null or shared")
     return both.select("path", "repo", F.coalesce("kind", F.lit("vendored")).alias("kind"), F.coalesce("reason", F.lit("shared tree")).alias("reason"))

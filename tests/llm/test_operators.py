@@ -161,6 +161,16 @@ def test_shared_trees(spark):
     assert handwritten.found_files(handwritten.not_by_hand(df.where("false"))).count() == 0
 
 
+def test_shared_trees_mark_small_files(spark):
+    tree = {"lib/a.py": CODE, "lib/__init__.py": "", "lib/sub/b.h": "int b(void);\n"}
+    alone = [("four/b.h", "int b(void);\n"), ("four/c.py", CODE + "# c"), ("four/__init__.py", "")]
+    rows = [(f"{repo}/{p}", repo, c, None) for repo, up in (("one-api", ""), ("two-web", "src/")) for p, c in {up + k: v for k, v in tree.items()}.items()]
+    rows += [(f"{repo}/own.py", repo, CODE + repo, None) for repo in ("one-api", "two-web")] + [(p, "four", c, None) for p, c in alone]
+    df = spark.createDataFrame(rows, "path string, repo string, contents string, hash string")
+    found = {r["path"] for r in handwritten.found_files(handwritten.not_by_hand(df)).collect()}
+    assert found == {f"one-api/{p}" for p in tree} | {f"two-web/src/{p}" for p in tree}
+
+
 def test_markup_of_table(spark):
     same = "<nav>Home | Docs</nav> &amp; more"
     rows = [(i, "s", f"p{i}", 0, f"{same}\n\nOwn **words** of page {i}.") for i in range(30)] + [(5, "s", "p5", 0, f"{same}\n\nOwn **words** of page 5."), (99, None, None, None, None), (98, "s", "p1", 1, "plain"), (None, "s", "p", 0, "x")]
