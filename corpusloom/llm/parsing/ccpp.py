@@ -388,13 +388,15 @@ class CParser(Parser):
         if v == "{":
             self.compound()
         elif v == "if":
-            self.i += 1
-            if self.cpp:
-                self.take("constexpr")
-            self.condition()
-            self.statement()
-            if self.take("else"):
+            while self.take("if"):
+                if self.cpp:
+                    self.take("constexpr")
+                self.condition()
                 self.statement()
+                if not self.take("else"):
+                    return
+                if not self.at("if"):
+                    return self.statement()
         elif v == "for":
             self.i += 1
             self.need("(")

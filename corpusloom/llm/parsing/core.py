@@ -6,16 +6,20 @@ import re
 from collections.abc import Callable
 
 STR, NUM, EOF, BAD = "<str>", "<num>", "<eof>", "<bad>"
-#: Depth of nesting beyond which a file is refused instead of exhausting the stack.
-MAX_DEPTH = 120
-#: Tokens that may be read in vain, for each token of a file, before it is refused.
-MAX_REREAD = 100
+#: Depth of nesting beyond which a file is left undecided instead of exhausting memory.
+MAX_DEPTH = 5_000
+#: Tokens that may be read in vain, for each token of a file, before it is left undecided.
+MAX_REREAD = 1_000
 
 
 class Fault(Exception):
     """A syntax error at a token."""
 
 
+class Undecided(Exception):
+    """A limit of the parser was met, which says nothing about the file."""
+
+
 class Lexed:
     """Parallel lists: value (operators and names as they are, literals by kind), whether it is a name, offset."""
 
@@ -86,6 +90,7 @@ class Parser:
         for _ in range(3):  # a rule may step over the end once or twice before it looks
             self.t.add(EOF, False, len(text), True)
         self.v, self.n, self.i, self.depth, self.wasted = self.t.value, self.t.name, 0, 0, 0
+        self.failed: set[tuple] = set()
         self.faults: list[tuple[int, str]] = list(self.t.faults)
 
     def lexed(self, text: str) -> Lexed:
@@ -95,13 +100,13 @@ class Parser:
         raise NotImplementedError
 
     def run(self) -> list[tuple[int, str]]:
-        """All faults as (offset, message), in the order of offsets."""
+        """All faults as (offset, message), in the order of offsets. Undecided, with the faults so far, if a limit is met."""
         try:
             self.top()
         except Fault as e:
             self.note(e)
-        except RecursionError:
-            self.faults.append((self.t.at[min(self.i, len(self.t.at) - 1)], "nesting too deep"))
+        except Undecided as e:
+            raise Undecided(e.args[0], sorted(set(self.faults))) from None
         except IndexError:
             self.faults.append((len(self.text), "unexpected end of file"))
         return sorted(set(self.faults))
@@ -138,21 +143,34 @@ class Parser:
         self.i += 1
         return self.v[self.i - 1]
 
+    def deeper(self) -> None:
+        self.depth += 1
+        if self.depth > MAX_DEPTH:
+            raise Undecided("nesting too deep")
+
     def note(self, e: Fault) -> None:
         self.faults.append((e.args[0], e.args[1]))
 
     def attempt(self, rule: Callable[[], object]) -> bool:
-        """Whether ``rule`` applies here; if not, nothing has been read."""
+        """Whether ``rule`` applies here; if not, nothing has been read. What failed once isn't tried again at the same place."""
         start, faults, depth, flag = self.i, len(self.faults), self.depth, self.flag
+        key = (getattr(rule, "__func__", rule).__code__, start, flag)
+        if key in self.failed:
+            return False
         try:
             rule()
             if len(self.faults) == faults:
                 return True
         except Fault:
             pass
+        except Undecided:
+            del self.faults[faults:]
+            raise
         self.wasted += self.i - start
         if self.wasted > MAX_REREAD * len(self.v):
-            self.fail("too deeply ambiguous")
+            del self.faults[faults:]
+            raise Undecided("too deeply ambiguous")
+        self.failed.add(key)
         self.i, self.depth, self.flag = start, depth, flag
         del self.faults[faults:]
         return False
@@ -160,10 +178,8 @@ class Parser:
     def guarded(self, rule: Callable[[], None], stops: tuple[str, ...] = (";",), close: str = "}") -> None:
         """``rule``, or after a fault within it panic mode: skip behind the next stop or up to the closing bracket."""
         start, depth, flag = self.i, self.depth, self.flag
-        self.depth += 1
         try:
-            if self.depth > MAX_DEPTH:
-                self.fail("nesting too deep")
+            self.deeper()
             rule()
         except Fault as e:
             self.note(e)
@@ -208,9 +224,7 @@ class Parser:
 
     def climb(self, power: int = 0) -> None:
         """Precedence climbing: operands joined by operators that bind at least as strongly as ``power``."""
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            self.fail("nesting too deep")
+        self.deeper()
         self.unary()
         while True:
             op = self.v[self.i]

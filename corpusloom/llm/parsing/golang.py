@@ -283,21 +283,20 @@ class GoParser(Parser):
             self.flag = held
 
     def s_if(self) -> None:
-        self.need("if")
-
         def rule():
             if not self.at(";"):
                 self.simple()
             if self.take(";"):
                 self.simple()
 
-        self.head(rule)
-        self.block()
-        if self.take("else"):
-            if self.at("if"):
-                self.s_if()
-            else:
-                self.block()
+        self.need("if")
+        while True:
+            self.head(rule)
+            self.block()
+            if not self.take("else"):
+                return
+            if not self.take("if"):
+                return self.block()
 
     def s_for(self) -> None:
         self.need("for")

@@ -281,10 +281,13 @@ class JavaParser(Parser):
             self.fail("not a statement")
 
     def s_if(self) -> None:
-        self.parens()
-        self.statement()
-        if self.take("else"):
+        while True:
+            self.parens()
             self.statement()
+            if not self.take("else"):
+                return
+            if not self.take("if"):
+                return self.statement()
 
     def s_while(self) -> None:
         self.parens()

@@ -7,6 +7,8 @@ import re
 from .core import BAD, EOF, NUM, STR, Fault, Lexed, Parser
 
 NEWLINE, INDENT, DEDENT = "<newline>", "<indent>", "<dedent>"
+#: Levels of indentation, and of brackets, that CPython takes.
+MAX_INDENTS, MAX_BRACKETS = 99, 200
 PATTERN = re.compile(
     r"(?P<skip>(?:[ \t\f]|\\\r?\n)+|\#[^\n\r]*)"
     r"|(?P<line>\r?\n|\r)"
@@ -41,6 +43,8 @@ class PythonParser(Parser):
                 if j < n and text[j] not in "\r\n#":
                     if width > indents[-1]:
                         indents.append(width)
+                        if len(indents) == MAX_INDENTS + 2:  # a limit of the language
+                            out.faults.append((j, "too many levels of indentation"))
                         out.add(INDENT, False, j)
                     else:
                         while width < indents[-1]:
@@ -76,6 +80,8 @@ class PythonParser(Parser):
             elif kind == "op":
                 if v in CLOSES:
                     opened.append((CLOSES[v], i))
+                    if len(opened) == MAX_BRACKETS + 1:
+                        out.faults.append((i, "too many nested brackets"))
                 elif v in ")]}":
                     if not opened or opened.pop()[0] != v:
                         out.faults.append((i, f"{v!r} closes nothing"))
@@ -154,10 +160,8 @@ class PythonParser(Parser):
     def line_of(self, rule) -> None:
         """``rule``, or in panic mode what is left of its line, and the block that hangs on it."""
         start = self.i
-        self.depth += 1
+        self.deeper()
         try:
-            if self.depth > 90:
-                self.fail("nesting too deep")
             rule()
         except Fault as e:
             self.note(e)

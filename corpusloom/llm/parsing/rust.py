@@ -284,9 +284,7 @@ class RustParser(Parser):
 
     # types and patterns
     def type_(self) -> None:
-        self.depth += 1
-        if self.depth > 100:
-            self.fail("nesting too deep")
+        self.deeper()
         v = self.v[self.i]
         if v in ("&", "&&"):
             self.i += 1
@@ -538,11 +536,11 @@ class RustParser(Parser):
         if v == "if":
             self.without_struct(self.condition)
             self.block()
-            if self.take("else"):
-                if self.at("if"):
-                    self.block_like()
-                else:
-                    self.block()
+            while self.take("else"):
+                if not self.take("if"):
+                    return self.block()
+                self.without_struct(self.condition)
+                self.block()
             return None
         if v == "while":
             self.without_struct(self.condition)

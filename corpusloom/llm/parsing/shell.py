@@ -295,9 +295,7 @@ class ShellParser(Parser):
             self.i += 1
 
     def command(self) -> None:
-        self.depth += 1
-        if self.depth > 100:
-            self.fail("nesting too deep")
+        self.deeper()
         v = self.v[self.i]
         if v == "if":
             self.i += 1

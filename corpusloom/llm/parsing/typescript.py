@@ -399,11 +399,14 @@ class TypeScriptParser(Parser):
 
     # statements
     def s_if(self) -> None:
-        self.i += 1
-        self.parens()
-        self.statement()
-        if self.take("else"):
+        while True:
+            self.i += 1
+            self.parens()
             self.statement()
+            if not self.take("else"):
+                return
+            if not self.at("if"):
+                return self.statement()
 
     def s_while(self) -> None:
         self.i += 1
@@ -514,9 +517,7 @@ class TypeScriptParser(Parser):
         self.listed(self.type_, ">", empty=False, trailing=False)
 
     def type_(self) -> None:
-        self.depth += 1
-        if self.depth > 100:
-            self.fail("nesting too deep")
+        self.deeper()
         if self.at("(", "<", "new", "abstract") and self.attempt(self.function_type):
             self.depth -= 1
             return

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .parsing import LANGUAGES, faults, language_of
+from .parsing import LANGUAGES, examined, language_of
 
 #: Signs of the causes that can be told apart, looked for where the first fault lies.
 CONFLICT_MARKS = ("<<<<<<<", "=======", ">>>>>>>", "|||||||")
@@ -26,36 +26,40 @@ def first_cause(text: str, found: list[tuple[int, str]]) -> str:
 
 
 def check_files(files: DataFrame) -> DataFrame:
-    """(path, repo, language, sound, n_faults, cause, line, message, faults) of each file whose language has a parser.
+    """(path, repo, language, sound, n_faults, cause, line, message, faults, undecided) of each file whose language has a parser.
 
-    ``faults`` holds every fault as (line, message). Rows of a path count once: that with the smallest hash. Rows with a
+    ``faults`` holds every fault as (line, message). ``undecided`` names the limit of the parser that kept it from
+    reading the whole file; such a file without a fault so far has a null in ``sound``. Rows of a path count once: that with the smallest hash. Rows with a
     null path are dropped; null contents are an empty file. Paths with other endings give no rows.
     """
-    out = "path string, repo string, hash string, language string, sound boolean, n_faults int, cause string, line int, message string, faults array<struct<line:int,message:string>>"
+    out = "path string, repo string, hash string, language string, sound boolean, n_faults int, cause string, line int, message string, faults array<struct<line:int,message:string>>, undecided string"
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, repo, contents, digest in zip(b["path"], b["repo"], b["contents"], b["hash"]):
-                found = faults(path, contents)
+                found, limit = examined(path, contents)
                 text = (contents or "").removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
                 listed = [(text.count("\n", 0, at) + 1, message) for at, message in found]
-                rows.append((path, repo, digest, language_of(path), not found, len(found), first_cause(text, found) if found else None, listed[0][0] if found else None, listed[0][1] if found else None, [{"line": n, "message": m} for n, m in listed]))
-            yield pd.DataFrame(rows, columns=["path", "repo", "hash", "language", "sound", "n_faults", "cause", "line", "message", "faults"]).astype({"line": "Int32"})
+                rows.append((path, repo, digest, language_of(path), None if limit and not found else not found, len(found), first_cause(text, found) if found else None, listed[0][0] if found else None, listed[0][1] if found else None, [{"line": n, "message": m} for n, m in listed], limit))
+            yield pd.DataFrame(rows, columns=["path", "repo", "hash", "language", "sound", "n_faults", "cause", "line", "message", "faults", "undecided"]).astype({"line": "Int32"})
 
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     mine = files.where(ending.isin(*LANGUAGES)).select("path", "repo", "contents", F.coalesce("hash", F.sha2("contents", 256), F.lit("")).alias("hash"))
     seen = mine.mapInPandas(check, out)
-    one = seen.groupBy("path").agg(F.min_by(F.struct("repo", "language", "sound", "n_faults", "cause", "line", "message", "faults"), "hash").alias("s"))
+    one = seen.groupBy("path").agg(F.min_by(F.struct("repo", "language", "sound", "n_faults", "cause", "line", "message", "faults", "undecided"), "hash").alias("s"))
     return one.select("path", "s.*")
 
 
 def rates(checked: DataFrame) -> DataFrame:
-    """(repo, language, files, unsound, rate, cut_off, conflict, other_kind, broken) of checked files; a null repo is a group of its own."""
+    """(repo, language, files, unsound, rate, cut_off, conflict, other_kind, broken, undecided) of checked files; a null repo is a group of its own.
+
+    Undecided files are no part of the rate.
+    """
     cause = lambda c: F.count_if(F.col("cause") == c)
     return checked.groupBy("repo", "language").agg(
-        F.count("*").alias("files"), F.count_if(~F.col("sound")).alias("unsound"), F.avg(F.when(F.col("sound"), 0.0).otherwise(1.0)).alias("rate"),
-        cause("cut off").alias("cut_off"), cause("conflict").alias("conflict"), cause("other kind").alias("other_kind"), cause("broken").alias("broken"),
+        F.count("*").alias("files"), F.count_if(~F.col("sound")).alias("unsound"), F.avg(F.when(F.col("sound"), 0.0).when(~F.col("sound"), 1.0)).alias("rate"),
+        cause("cut off").alias("cut_off"), cause("conflict").alias("conflict"), cause("other kind").alias("other_kind"), cause("broken").alias("broken"), F.count_if(F.col("sound").isNull()).alias("undecided"),
     )
 
 

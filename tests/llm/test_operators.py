@@ -146,6 +146,15 @@ def test_syntax(spark):
     assert syntax.check_files(df.where("false")).count() == 0
 
 
+def test_undecided_files(spark):
+    deep = "class A { int x = " + "(" * 20_000 + "1" + ")" * 20_000 + "; }"
+    df = spark.createDataFrame([("r/A.java", "r", deep, "h"), ("r/B.java", "r", "class B {", "h")], "path string, repo string, contents string, hash string")
+    checked = syntax.check_files(df)
+    assert {r["path"]: (r["sound"], r["undecided"]) for r in checked.collect()} == {"r/A.java": (None, "nesting too deep"), "r/B.java": (False, None)}
+    assert [r["path"] for r in checked.where("not sound").collect()] == ["r/B.java"]
+    assert [(r["files"], r["unsound"], r["rate"], r["undecided"]) for r in syntax.rates(checked).collect()] == [(2, 1, 1.0, 1)]
+
+
 CODE = "def walk(tree):\n    for node in tree:\n        yield node.name\n" * 5
 
 

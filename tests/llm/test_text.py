@@ -5,7 +5,7 @@ import random
 import pytest
 
 from corpusloom.llm import bpe, handwritten, markup, splitting, syntax
-from corpusloom.llm.parsing import faults
+from corpusloom.llm.parsing import examined, faults
 
 SOUND = {
     "a.py": "import x\n\n@d\nasync def f(a, *b, c: int = 1, **k) -> int:\n    match a:\n        case {'k': [1, *_]} if b:\n            return [i async for i in z if i]\n    try:\n        x = lambda *a: (yield)\n    except* E as e:\n        raise\n    with (open(f'{a!r:>{w}}') as g, h):\n        del a[1:2, ...]\n    return not a in b is not c if d else e\n",
@@ -52,6 +52,32 @@ def test_parsers_survive_anything():
             faults(path, nest)
 
 
+def test_deep_files_are_sound():
+    chain = lambda first, more, n=800: first + "".join(f" else if {m}" for m in [more] * n)
+    texts = {
+        "a.ts": chain("if (a) { b() }", "(a) { b() }"), "a.c": "int f(int a) {" + chain("if (a) { g(); }", "(a) { g(); }") + "}", "a.cc": "int f(int a) {" + chain("if (a) { g(); }", "(a) { g(); }") + "}",
+        "a.java": "class A { void f() {" + chain("if (a) { g(); }", "(a) { g(); }") + "} }", "a.go": "package a\nfunc f() {\n" + chain("if a { g() }", "a { g() }") + "\n}\n", "a.rs": "fn f() { " + chain("if a { g() }", "a { g() }") + " }",
+    }
+    for path, text in texts.items():
+        assert faults(path, text) == [], path
+        assert faults(path, text.replace("else if", "else if if", 1)), path
+    for nest in (150, 1500):
+        for path, text in {"b.ts": "x = {}", "b.go": "package a\nvar x = {}\n", "b.java": "class A {{ int x = {}; }}", "b.c": "int x = {};", "b.rs": "const X: i32 = {};"}.items():
+            assert examined(path, text.format("(" * nest + "1" + ")" * nest)) == ([], None), (path, nest)
+            assert faults(path, text.format("(" * nest + "1" + ")" * (nest - 1))), (path, nest)
+    for levels in (95, 99, 100):
+        assert bool(faults("c.py", "".join(" " * i + "if a:\n" for i in range(levels)) + " " * levels + "x\n")) == (levels > 99)
+    assert faults("c.py", "x = " + "(" * 200 + "1" + ")" * 200 + "\n") == [] and faults("c.py", "x = " + "(" * 201 + "1" + ")" * 201 + "\n")
+
+
+def test_limits_leave_files_undecided():
+    nest = 20_000
+    found, limit = examined("a.java", "class A { int x = " + "(" * nest + "1" + ")" * nest + "; }")
+    assert found == [] and limit == "nesting too deep"
+    found, limit = examined("a.java", "class A { int x = " + "(" * nest + "1; }")
+    assert found and limit
+
+
 def test_causes():
     cause = lambda p, t: syntax.first_cause(t, faults(p, t))
     assert cause("a.py", "x = 1\n<<<<<<< HEAD\n") == "conflict" and cause("a.c", "int f() {\n  a();\n") == "cut off"
