@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_path, materialize
+from ..session import drop_materialized, drop_path, materialize
 
 #: Records a partition is meant to hold where the caller sets no number of partitions.
 PARTITION_RECORDS = 512
@@ -94,7 +94,7 @@ class IncrementalTable:
     it was made from. A refresh computes changed partitions only and replaces each by dynamic partition overwrite,
     data before state: a run that dies in between leaves old fingerprints, so that the next run does those partitions
     again and replaces what was written, and no record is skipped or present twice. Partitions whose records are all
-    gone are emptied. The number of partitions is fixed by the first refresh.
+    gone, or of which ``compute`` leaves nothing, are emptied. The number of partitions is fixed by the first refresh.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], values: list[str], partitions: int = 64):
@@ -125,12 +125,19 @@ class IncrementalTable:
         if not changed:
             return []
         mine = parted.where(F.col("part").isin(changed))
-        self._replace(compute(mine), "data")
+        made = materialize(compute(mine), "refreshed")
+        self._replace(made, "data")
+        # dynamic overwrite leaves partitions alone that have no rows
+        full = {r[0] for r in made.select("part").distinct().collect()}
+        for empty in [p for p in changed if p not in full]:
+            self._drop(f"data/part={empty}")
+        if not self._exists("data"):
+            made.limit(0).write.mode("overwrite").parquet(f"{self.path}/empty")
+        drop_materialized(made)
         self._replace(now.where(F.col("part").isin(changed)), "state")
         held = {r[0] for r in now.select("part").collect()}
         for gone in [p for p in changed if p not in held]:
-            for name in ("data", "state"):
-                self._drop(f"{name}/part={gone}")
+            self._drop(f"state/part={gone}")
         return changed
 
     def _replace(self, df: DataFrame, name: str) -> None:
@@ -140,4 +147,4 @@ class IncrementalTable:
         drop_path(self.spark, f"{self.path}/{name}")
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/data")
+        return self.spark.read.parquet(f"{self.path}/{'data' if self._exists('data') else 'empty'}")

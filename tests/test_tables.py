@@ -90,6 +90,23 @@ def test_stale_records(spark):
     assert incremental.stale_records(present, none, ["k"], "v").count() == 4
 
 
+def test_refresh_that_leaves_nothing(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "k string, v string")
+    t = incremental.IncrementalTable(spark, str(tmp_path / "inc"), ["k"], ["v"], partitions=4)
+    some = lambda df: df.where("v <> 'no'")
+    rows = [(f"k{i}", str(i)) for i in range(40)]
+    t.refresh(make(rows), some)
+    part = {r["k"]: r["part"] for r in t.read().collect()}
+    gone = {k for k in part if part[k] == part["k0"]}
+    now = [(k, "no" if k in gone else v) for k, v in rows]
+    assert t.refresh(make(now), some) == [part["k0"]] and {r["k"] for r in t.read().collect()} == set(part) - gone
+    assert t.refresh(make(now), some) == []
+    t.refresh(make([(k, "no") for k, _ in rows]), some)
+    assert t.read().count() == 0 and set(t.read().columns) == {"k", "v", "part"}
+    t.refresh(make(rows), some)
+    assert t.read().count() == 40
+
+
 def test_present_rows(spark):
     feed = spark.createDataFrame([("a", "old", None, 9), ("a", "new", "2024-01-01", 1), ("a", "later", "2024-01-01", 2), (None, "x", "2024-01-01", 3)], "k string, v string, updated_at string, seq long").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
     assert incremental.present_rows(feed, ["k"], "v").collect() == [("a", "later")]
