@@ -617,7 +617,7 @@ def results_xml(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT path, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE printf('%.1f', size_bytes / 1024.0) || ' KB' END AS size FROM source_files WHERE size_bytes < 1048576")
 def byte_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "source_files").where("size_bytes < 1048576").select("path", text.byte_size(F.col("size_bytes")).alias("size")).distinct()
+    return table(spark, d, "source_files").select("path", text.byte_size(F.col("size_bytes")).alias("size")).distinct()
 
 
 # new and changed records

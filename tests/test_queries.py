@@ -38,6 +38,13 @@ def test_query(spark, db, name):
         assert rows == sorted(repr([plain(r[i]) for i in at]) for r in found.fetchall())
 
 
+def test_byte_sizes_of_large_files(spark, tmp_path):
+    sizes = {"a": 1023, "b": 1024, "c": 1048575, "d": 1048576, "e": 1610612736}
+    spark.createDataFrame(list(sizes.items()), "path string, size_bytes int").write.parquet(str(tmp_path / "source_files.parquet"))
+    got = {r["path"]: r["size"] for r in core.byte_sizes(spark, str(tmp_path)).collect()}
+    assert got == {"a": "1023 B", "b": "1.0 KB", "c": "1024.0 KB", "d": "1.0 MB", "e": "1.5 GB"}
+
+
 def test_entry_without_llm():
     import __spark_entry__
 
