@@ -31,7 +31,7 @@ def normalized(body: Column) -> Column:
 def cut_points(body: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces of ``body``, each of at most ``limit`` characters, in order and without gaps.
 
-    Neighbours share ``overlap`` characters, or somewhat fewer where that lets the second start at a word.
+    Neighbours share ``overlap`` characters.
     """
     n = len(body)
     if n <= limit:
@@ -70,9 +70,7 @@ def cut_points(body: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     ends = [*cuts, n]
     starts = [0]
     for end in cuts:
-        start = end - overlap
-        inner = re.search(r"\s+", body[start:end]) if 0 < start and not body[start - 1].isspace() and overlap else None
-        starts.append(max(starts[-1] + 1, start + inner.end() if inner and start + inner.end() < end else start))
+        starts.append(max(starts[-1] + 1, end - overlap))
     return list(zip(starts, ends))
 
 

@@ -141,6 +141,15 @@ def test_cut_points(limit, overlap):
             assert all(a[1] >= b[0] > a[0] and b[1] > a[1] and a[1] - b[0] <= overlap for a, b in zip(spans, spans[1:]))
 
 
+def test_overlap_is_exact():
+    rng = random.Random(5)
+    for words in (["word ", "longer, ", "end. ", "\n\n"], ["漢字", "。", "かな"], ["https://example.org/" + "x" * 300 + " ", "a "]):
+        body = "".join(rng.choice(words) for _ in range(4000)).strip()
+        for limit, overlap in ((2400, 200), (500, 100), (300, 0)):
+            spans = splitting.cut_points(body, limit, overlap)
+            assert len(spans) > 2 and all(a[1] - b[0] == overlap for a, b in zip(spans, spans[1:])) and all(e - s <= limit for s, e in spans)
+
+
 def test_cuts_prefer_strong_boundaries():
     body = "\n\n".join(" ".join(f"word{i}" for i in range(12)) for _ in range(6))
     spans = splitting.cut_points(body, 200, 0)
