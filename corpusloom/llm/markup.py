@@ -1,10 +1,11 @@
 """Clean text from chunks of documentation that hold HTML, Markdown, wiki or LaTeX markup.
 
-Each chunk is parsed to a small document tree: blocks (heading, paragraph, list, table, quote, code, formula, comment)
-under the syntax they are written in, with inline markup resolved. The trees of one host, a docset, are merged to a
-style tree: nodes of the same path are one style node, and the entropy of its contents over the host's pages gives its
-importance. Contents that recur on nearly all pages that have the style (navigation, notices) carry no information and
-are removed from each page; what remains is joined to clean text that keeps headings, lists, code and formulas.
+Each chunk is parsed to a flat list of blocks (heading, paragraph, list, table, quote, code, formula) under the syntax
+they are written in, with inline markup resolved; nested elements are no tree. Blocks of one host, a docset, with the
+same syntax and kind are one style node, and the entropy of a content over the host's pages gives its importance.
+Paragraphs, tables and quotes that recur on most pages that have the style (notices) carry no information and are
+removed from each page; what remains is joined to clean text. No whole branches (navigation) are removed, and
+presentation has no importance here.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def is_code(lines: list[str]) -> bool:
 
 
 class Document:
-    """The tree of one chunk: blocks as (style path, kind, clean text), and the kinds of markup met."""
+    """The blocks of one chunk, as (style path, kind, clean text), and the kinds of markup met."""
 
     def __init__(self, text: str | None):
         self.kinds: set[str] = set()
