@@ -72,6 +72,16 @@ def test_html():
     whole = html.to_markdown("T", "g/s", page + '<pre data-language="py">a  b</pre><ul><li>i</li></ul><table><tr><td>c</td></tr></table>&amp;lt;')
     assert "[l k](g/s#z)" in whole and "```py\na  b\n```" in whole and "- i" in whole and "| c" in whole
     assert html.section('<div id="d">in</div>out', "p#d") == '<div id="d">in</div>'
+    assert html.section('<h1 id="a">A</h1>x<h2>B</h2>y<h1>C</h1>z', "p#a") == '<h1 id="a">A</h1>x<h2>B</h2>y' and html.section("<p>x", "p#none") == "<p>x"
+
+
+def test_html_that_is_not_well_formed():
+    body = lambda page: html.to_markdown("T", "p", page).split("\n\n", 2)[2]
+    assert body("<ul><li>a<li>b</ul></div>c") == "- a\n\n- b\n\nc\n"
+    assert body('<a href="x">never closed <b>t') == "never closed t\n"
+    assert body("<nav>menu") == "\n" and body("") == "\n" and body("<br/>a<img src='x'>b") == "ab\n"
+    assert body('<a href="x">out <a href="y">in</a></a>') == "[in](y)[out](x)\n"
+    assert len(body("<div>" * 20_000 + "deep")) == 5
 
 
 def test_chunking():
@@ -92,6 +102,8 @@ def test_excerpt():
     assert line_score("appending to arrays", ["append", "array"]) == 11
     made = Excerpt("Docset: X (x)\nPage: p\n\n" + "filler text " * 60 + "append here " + "more words " * 60, ["append"], max_chars=120).text()
     assert "append" in made and len(made) <= 120
+    assert Excerpt("a b\n\nfirst\nhit\nlast", ["hit"], max_lines=1).text().endswith("...\nhit\n...")
+    assert Excerpt("word " * 100, ["none"], max_chars=20).text() == "word word word wo..." and Excerpt("word " * 100, ["word"], max_chars=2).text() == ".."
     assert Excerpt("", ["a"]).text() == "" and Excerpt("Docset: a\n\n# Title\n\nbody text", ["title"]).text() == "# Title\n\nbody text"
 
 
