@@ -21,7 +21,10 @@ EXCLUDED_FILES = [
 ]
 MAX_FILE_BYTES = 512 * 1024
 #: First segments of links that count from the root in the C++ reference.
-CPP_ROOTS = frozenset("algorithm atomic chrono concept container coroutine error experimental filesystem header io iterator keyword language locale memory meta named_req numeric preprocessor regex string symbol_index thread types utility".split())
+CPP_ROOTS = frozenset([
+    "algorithm", "atomic", "chrono", "concept", "container", "coroutine", "error", "experimental", "filesystem", "header", "io", "iterator", "keyword", "language",
+    "locale", "memory", "meta", "named_req", "numeric", "preprocessor", "regex", "string", "symbol_index", "thread", "types", "utility",
+])
 
 
 def under_prefix(path: Column, prefix: str) -> Column:

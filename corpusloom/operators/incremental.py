@@ -91,19 +91,37 @@ class IncrementalTable:
     """A derived table under ``path``, refreshed partition by partition.
 
     ``data/part=N`` holds what ``compute`` makes of the records of partition N, ``state/part=N`` the fingerprint that
-    it was made from. A refresh computes changed partitions only and replaces each by dynamic partition overwrite,
-    data before state: a run that dies in between leaves old fingerprints, so that the next run does those partitions
-    again and replaces what was written, and no record is skipped or present twice. Partitions whose records are all
-    gone, or of which ``compute`` leaves nothing, are emptied. The number of partitions is fixed by the first refresh.
+    it was made from, ``layout`` the number of partitions, which the first refresh fixes. A refresh finds the partitions
+    whose fingerprint changed, reads their records once into a table of its own, and derives both the data and the new
+    fingerprints from that table, so that records that arrive meanwhile are left to the next refresh. Changed
+    partitions are replaced by dynamic partition overwrite, or emptied if nothing is left of them, data before state: a
+    run that dies in between leaves old fingerprints, and the next run does those partitions again and replaces what
+    was written, so that no record is skipped or present twice.
+
+    Nulls in values are values of their own; records with a null key belong to a partition as others do. Repeated
+    records count as often as they occur. Without records all partitions are emptied.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], values: list[str], partitions: int = 64):
-        self.spark, self.path, self.keys, self.values, self.partitions = spark, path.rstrip("/"), keys, values, partitions
+        self.spark, self.path, self.keys, self.values, self.wanted = spark, path.rstrip("/"), keys, values, partitions
+
+    def _partitions(self) -> list[int]:
+        """Numbers of the partitions that hold data."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return [int(n.removeprefix("part=")) for n in names if n.startswith("part=")]
 
     def _exists(self, name: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(p) and any(s.getPath().getName().startswith("part=") for s in fs.listStatus(p))
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    @property
+    def partitions(self) -> int:
+        """The number of partitions: the stored one, or before the first refresh the wanted one."""
+        if not self._exists("layout/_SUCCESS"):
+            return self.wanted
+        return self.spark.read.schema("partitions int").parquet(f"{self.path}/layout").first()[0]
 
     def _state(self) -> DataFrame:
         columns = "records bigint, low bigint, high bigint, part int"
@@ -118,33 +136,31 @@ class IncrementalTable:
 
     def refresh(self, records: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> list[int]:
         """Bring the table up to date with ``records``; the partitions that were recomputed. ``compute`` must keep the column part."""
-        parted = records.withColumn("part", partition_of(self.keys, self.partitions))
-        now = fingerprints(parted, self.keys, self.values)
-        old = self._state()
-        changed = sorted(r[0] for r in changed_partitions(now, old).collect())
-        if not changed:
+        if not self._exists("layout/_SUCCESS"):
+            self.spark.range(1).select(F.lit(self.wanted).alias("partitions")).write.mode("overwrite").parquet(f"{self.path}/layout")
+        changed = self.changed(records)
+        if not changed and self._exists("empty"):
             return []
-        mine = parted.where(F.col("part").isin(changed))
+        parted = records.withColumn("part", partition_of(self.keys, self.partitions))
+        mine = materialize(parted.where(F.col("part").isin(changed)), "changed")
         made = materialize(compute(mine), "refreshed")
-        self._replace(made, "data")
-        # dynamic overwrite leaves partitions alone that have no rows
-        full = {r[0] for r in made.select("part").distinct().collect()}
-        for empty in [p for p in changed if p not in full]:
-            self._drop(f"data/part={empty}")
-        if not self._exists("data"):
+        if not self._exists("empty"):  # the columns of the table, for as long as it holds nothing
             made.limit(0).write.mode("overwrite").parquet(f"{self.path}/empty")
-        drop_materialized(made)
-        self._replace(now.where(F.col("part").isin(changed)), "state")
-        held = {r[0] for r in now.select("part").collect()}
-        for gone in [p for p in changed if p not in held]:
-            self._drop(f"state/part={gone}")
+        now = materialize(fingerprints(mine, self.keys, self.values), "fingerprints")
+        self._put(made, changed, "data")
+        self._put(now, changed, "state")
+        for used in (made, now, mine):
+            drop_materialized(used)
         return changed
 
-    def _replace(self, df: DataFrame, name: str) -> None:
-        df.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
-
-    def _drop(self, name: str) -> None:
-        drop_path(self.spark, f"{self.path}/{name}")
+    def _put(self, rows: DataFrame, changed: list[int], name: str) -> None:
+        """Replace the changed partitions of ``name``; dynamic overwrite leaves those alone that have no rows, so they are dropped."""
+        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
+        full = {r[0] for r in rows.select("part").distinct().collect()}
+        for part in changed:
+            if part not in full:
+                drop_path(self.spark, f"{self.path}/{name}/part={part}")
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{'data' if self._exists('data') else 'empty'}")
+        kind = self.spark.read.parquet(f"{self.path}/empty").schema
+        return self.spark.read.schema(kind).parquet(f"{self.path}/{'data' if self._partitions() else 'empty'}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking, codeunits, html, paths, terms, text
 from ..functions.excerpt import excerpt_column
 from ..operators import catalog, duplicates, embedding, incremental, lexical, queueing, ranking, report, store, vectors
-from ..session import spread
+from ..session import materialize, new_path, spread
 from ..tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -634,13 +634,16 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("record_kind", "record_key", F.col("p.hash").alias("now"), F.col("p").isNotNull().alias("is_now"), F.col("c.hash").alias("was"), F.col("c").isNotNull().alias("is_was"))
 
 
-@query("""WITH present AS (
+PRESENT_RECORDS_SQL = """present AS (
   SELECT 'file' AS record_kind, path AS record_key, hash AS h, updated_at, seq FROM files
   UNION ALL SELECT 'page', docset_slug || '/' || id, content_hash, updated_at, seq FROM pages
 ), p AS (
   SELECT record_kind, record_key, h FROM present WHERE record_key IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY record_kind, record_key ORDER BY updated_at DESC NULLS LAST, seq DESC) = 1
-), c AS (
+)"""
+
+
+@query(f"""WITH {PRESENT_RECORDS_SQL}, c AS (
   SELECT record_kind, record_key, content_hash AS h FROM run_commits WHERE run_id IN (SELECT run_id FROM index_runs WHERE status = 'succeeded')
   QUALIFY row_number() OVER (PARTITION BY record_kind, record_key ORDER BY run_id DESC, committed_at DESC, content_hash DESC) = 1
 )
@@ -661,6 +664,33 @@ def p6_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.select("part", "records").join(changed, "part", "full_outer").withColumn("changed", F.coalesce("changed", F.lit(False)))
 
 
+class _DiesBeforeState(incremental.IncrementalTable):
+    """Writes data and dies before it writes fingerprints."""
+
+    def _put(self, rows: DataFrame, changed: list[int], name: str) -> None:
+        if name == "state":
+            raise InterruptedError(name)
+        super()._put(rows, changed, name)
+
+
+@query(f"WITH {PRESENT_RECORDS_SQL} SELECT record_kind, record_key, upper(h) AS content FROM p WHERE h IS NOT NULL")
+def p6_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table derived from records with a hash, refreshed three times: from what succeeded runs committed, from the present
+    records by a run that dies between data and fingerprints, and again by one that ends."""
+    both = materialize(_aligned(spark, sf_dir), "aligned")
+    keys = ["record_kind", "record_key"]
+    committed, present = both.where("is_was").select(*keys, F.col("was").alias("hash")), both.where("is_now").select(*keys, F.col("now").alias("hash"))
+    derive = lambda records: records.where("hash is not null").select(*keys, F.upper("hash").alias("content"), "part")
+    path = new_path(spark, "records")
+    derived = incremental.IncrementalTable(spark, path, keys, ["hash"])
+    derived.refresh(committed, derive)
+    try:
+        _DiesBeforeState(spark, path, keys, ["hash"]).refresh(present, derive)
+    except InterruptedError:
+        derived.refresh(present, derive)
+    return derived.read().drop("part")
+
+
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_docs_rank(spark, sf_dir)
 

@@ -45,8 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIRS[app]
 
 
+def _work_dir(spark: SparkSession) -> str:
+    """The folder of this application's own tables, below the shared one."""
+    return f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that operators wrote for this application; results that read them must have been used by then."""
+    drop_path(spark, _work_dir(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,37 @@ def test_refresh_that_leaves_nothing(spark, tmp_path):
     assert t.read().count() == 40
 
 
+def test_records_that_arrive_during_a_refresh(spark, tmp_path):
+    feed = tmp_path / "feed.txt"
+    feed.write_text("".join(f"k{i} 1\n" for i in range(20)))
+
+    def read(batches):
+        for _ in batches:
+            yield pd.DataFrame([line.split() for line in feed.read_text().splitlines()], columns=["k", "v"])
+
+    records = lambda: spark.range(1).coalesce(1).mapInPandas(read, "k string, v string")  # noqa: E731  read anew each time
+    t = incremental.IncrementalTable(spark, str(tmp_path / "inc"), ["k"], ["v"], partitions=2)
+
+    def late(df):
+        feed.write_text(feed.read_text() + "".join(f"late{i} 1\n" for i in range(20)))
+        return df
+
+    t.refresh(records(), late)
+    assert t.read().count() == 20
+    again = incremental.IncrementalTable(spark, str(tmp_path / "inc"), ["k"], ["v"], partitions=99)
+    assert again.partitions == 2 and again.refresh(records(), lambda df: df) == [0, 1] and again.read().count() == 40
+    assert again.refresh(records(), lambda df: df) == []
+
+
+def test_refresh_of_nothing(spark, tmp_path):
+    t = incremental.IncrementalTable(spark, str(tmp_path / "inc"), ["k"], ["v"])
+    none = spark.createDataFrame([], "k string, v string, part_ string")
+    assert t.refresh(none, lambda df: df) == [] and t.read().count() == 0
+    odd = spark.createDataFrame([(None, None, "x"), ("", "", "x"), ("a", "1", None), ("a", "1", None)], "k string, v string, part_ string")
+    t.refresh(odd, lambda df: df)
+    assert t.read().count() == 4 and t.refresh(odd, lambda df: df) == []
+
+
 def test_present_rows(spark):
     feed = spark.createDataFrame([("a", "old", None, 9), ("a", "new", "2024-01-01", 1), ("a", "later", "2024-01-01", 2), (None, "x", "2024-01-01", 3)], "k string, v string, updated_at string, seq long").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
     assert incremental.present_rows(feed, ["k"], "v").collect() == [("a", "later")]
