@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Words that documentation queries drop, and how many terms are kept.
 STOPWORDS = ["a", "an", "and", "are", "as", "do", "for", "how", "i", "in", "is", "of", "or", "the", "to", "with"]
@@ -74,24 +73,32 @@ def code_tokens_column(query: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(words, lambda w: F.char_length(w) >= 2)), 1, MAX_TOKENS)
 
 
-@F.pandas_udf(T.StringType())
-def _fold(texts: pd.Series) -> pd.Series:
-    def fold(text: str | None) -> str | None:
-        if text is None:
-            return None
-        return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+@cache
+def _folding() -> tuple[str, str]:
+    """Letters that lose their diacritics and what is left of them; then, without a counterpart, the marks themselves."""
+    changed, gone = {}, []
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:
+        letter = chr(code)
+        bare = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", letter) if unicodedata.category(c) != "Mn"))
+        if not bare:
+            gone.append(letter)
+        elif len(bare) == 1 and bare != letter:
+            changed[letter] = bare
+    return "".join(changed) + "".join(gone), "".join(changed.values())
 
-    return texts.map(fold)
+
+def fold(text: str) -> str:
+    """:func:`folded` of a text on the driver."""
+    old, new = _folding()
+    return text.lower().translate(str.maketrans(old[: len(new)], new, old[len(new) :]))
 
 
 def folded(text: Column) -> Column:
-    """Lower case without diacritics; only texts that aren't ASCII leave the JVM."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(text.rlike(NOT_ASCII), _fold(F.when(text.rlike(NOT_ASCII), text))).otherwise(F.lower(text))
+    """Lower case without diacritics; null as empty text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.rlike(NOT_ASCII), F.translate(low, *_folding())).otherwise(low)
 
 
 def index_tokens(text: Column) -> Column:
     """Tokens of the full-text index: folded runs of letters and digits."""
-    plain = F.coalesce(text, F.lit(""))
-    words = F.when(plain.rlike(NOT_ASCII), F.split(folded(text), r"[^\p{L}\p{N}]+")).otherwise(F.split(F.lower(plain), "[^a-z0-9]+"))
-    return F.array_remove(words, "")
+    return F.array_remove(F.split(folded(text), r"[^\p{L}\p{N}]+"), "")

@@ -9,61 +9,49 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import index_tokens
+from ..functions.terms import fold, folded, index_tokens
+from ..session import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def tokenized(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``df`` with ``tokens``: for each column, an array of its tokens; null columns have none."""
-    return df.withColumn("tokens", F.array(*[index_tokens(F.col(c)) for c in columns]))
+LETTER = r"[\p{L}\p{N}]"
 
 
 def phrases(terms: list[str]) -> list[list[str]]:
-    """Each term split as the index splits text: one prefix, or words of which the last is a prefix."""
-    out = []
-    for term in terms:
-        words = [w for w in "".join(c if c.isalnum() else " " for c in term.lower()).split() if w]
-        if words:
-            out.append(words)
-    return out
+    """Each term folded and split as the index folds and splits text: one prefix, or words of which the last is a prefix."""
+    split = [("".join(c if c.isalnum() else " " for c in fold(term))).split() for term in terms]
+    return [words for words in split if words]
 
 
-def occurrences(tokens: Column, words: list[str]) -> Column:
-    """How often a phrase begins in an array of tokens; its last word is a prefix."""
-    if len(words) == 1:
-        return F.size(F.filter(tokens, lambda t: t.startswith(words[0])))
-    # the array beside itself, moved by one word each time; shorter ones are filled with nulls
-    moved = [tokens] + [F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0))) for k in range(1, len(words))]
-    names = [f"w{k}" for k in range(len(words))]
-    rows = F.arrays_zip(*[m.alias(n) for m, n in zip(moved, names)])
-
-    def matches(row: Column) -> Column:
-        tests = [row[n] == w for n, w in zip(names, words[:-1])] + [row[names[-1]].startswith(words[-1])]
-        return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
-
-    return F.size(F.filter(rows, matches))
+def occurrences(text: Column, words: list[str]) -> Column:
+    """How often a phrase begins in a folded text; its last word is a prefix. Words of letters and digits need no quoting."""
+    later = "".join(f"[^\\p{{L}}\\p{{N}}]+{w}" for w in words[1:])
+    return F.regexp_count(text, F.lit(f"(?<!{LETTER}){words[0]}" + (f"(?={later})" if later else "")))
 
 
 def bm25(df: DataFrame, key: str, columns: list[str], terms: list[str], scope: Column | None = None) -> DataFrame:
     """(key, rank) of the rows of ``df`` that hold any of the terms, and that ``scope`` admits.
 
-    One scan counts each phrase in each row; the corpus counts are one row, joined to those that match. Terms without
-    letters or digits are left out; without terms there are no rows.
+    One scan counts phrases and tokens in each row; only these counts, a few numbers a row, are freed of repeated rows
+    and written, and the corpus counts, one row, are made from them. Rows repeated unchanged count once, null columns
+    are empty. Terms without letters or digits are left out; without terms there are no rows.
     """
     sought = phrases(terms)
     names = [f"f{i}" for i in range(len(sought))]
     kept = df.withColumn("in_scope", F.lit(True) if scope is None else F.coalesce(scope, F.lit(False)))
-    counted = tokenized(kept.select(key, "in_scope", *columns), key, columns)
-    total = lambda words: reduce(lambda a, b: a + b, [occurrences(F.get("tokens", i), words) for i in range(len(columns))])
-    length = F.aggregate("tokens", F.lit(0), lambda a, t: a + F.size(t))
-    rows = counted.select(key, "in_scope", length.alias("dl"), *[total(w).alias(n) for w, n in zip(sought, names)])
-    corpus = rows.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names])
     if not sought:
-        return rows.where("false").select(key, F.lit(0.0).alias("rank"))
+        return kept.where("false").select(key, F.lit(0.0).alias("rank"))
+    texts = [f"text{i}" for i in range(len(columns))]
+    plain = kept.select(key, "in_scope", *[folded(F.col(c)).alias(t) for c, t in zip(columns, texts)])
+    total = lambda count: reduce(lambda a, b: a + b, [count(F.col(t)) for t in texts])
+    length = total(lambda t: F.regexp_count(t, F.lit(LETTER + "+")))
+    rows = plain.select(key, "in_scope", length.alias("dl"), *[total(lambda t: occurrences(t, w)).alias(n) for w, n in zip(sought, names)])
+    rows = materialize(rows.distinct(), "counts")
+    corpus = rows.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names])
     hit = reduce(lambda a, b: a | b, [F.col(n) > 0 for n in names])
     score = reduce(lambda a, b: a + b, [_part(F.col(n), F.col(f"n_{n}")) for n in names])
     return rows.where(hit & F.col("in_scope")).join(F.broadcast(corpus)).select(key, (-score).alias("rank"))
@@ -86,36 +74,51 @@ def code_fetch(limit: int) -> int:
 
 
 def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(term, key, col, positions): the inverted index, to be written sorted by term."""
-    parts = [tokenized(df, key, columns).select(key, F.lit(i).alias("col"), F.posexplode(F.get("tokens", i)).alias("pos", "term")) for i in range(len(columns))]
-    every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("term", key, "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(term, key, col, pos): one row an occurrence of a token."""
+
+    def placed(k: int) -> Column:
+        return F.transform(index_tokens(F.col(columns[k])), lambda t, i: F.struct(F.lit(k).alias("col"), i.alias("pos"), t.alias("term")))
+
+    tokens = F.flatten(F.array(*map(placed, range(len(columns)))))
+    return df.select(key, F.explode(tokens).alias("t")).select("t.term", key, "t.col", "t.pos")
 
 
 def lengths(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, dl): tokens of each row."""
-    return tokenized(df, key, columns).select(key, F.aggregate("tokens", F.lit(0), lambda a, t: a + F.size(t)).alias("dl"))
+    return df.select(key, reduce(lambda a, b: a + b, [F.size(index_tokens(F.col(c))) for c in columns]).alias("dl"))
+
+
+def write_index(df: DataFrame, key: str, columns: list[str], path: str) -> None:
+    """Write the index of ``df``, which has each key once: ``terms``, sorted by term over all files, and ``rows`` with their lengths."""
+    postings(df, key, columns).repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/terms")
+    lengths(df, key, columns).write.mode("overwrite").parquet(f"{path}/rows")
+
+
+def search_index(spark: SparkSession, path: str, key: str, terms: list[str]) -> DataFrame:
+    """(key, rank) from a written index, as :func:`bm25` gives them for the whole table."""
+    return bm25_of_postings(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/rows"), key, terms)
 
 
 def bm25_of_postings(index: DataFrame, row_lengths: DataFrame, key: str, terms: list[str]) -> DataFrame:
-    """(key, rank) from a written index: terms are ranges of the index's sort order, so that files are pruned by them."""
+    """(key, rank) from postings and lengths. Terms are ranges of the index's sort order, so that files and row groups are pruned by them."""
+    sought = phrases(terms)
+    if not sought:
+        return row_lengths.where("false").select(key, F.lit(0.0).alias("rank"))
     corpus = row_lengths.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
     parts = []
-    for i, words in enumerate(phrases(terms)):
+    for i, words in enumerate(sought):
         last = words[-1]
         below = F.col("term") < last[:-1] + chr(ord(last[-1]) + 1)
-        found = index.where((F.col("term") >= last) & below).select(key, "col", F.explode("positions").alias("p"))
+        found = index.where((F.col("term") >= last) & below).select(key, "col", F.col("pos").alias("p"))
         for back, word in enumerate(reversed(words[:-1]), start=1):
-            earlier = index.where(F.col("term") == word).select(key, "col", F.explode("positions").alias("q")).withColumn("p", F.col("q") + back).drop("q")
+            earlier = index.where(F.col("term") == word).select(key, "col", (F.col("pos") + back).alias("p"))
             found = found.join(earlier, [key, "col", "p"])
-        counted = found.groupBy(key).agg(F.count("*").alias("f"))
-        parts.append(counted.withColumn("phrase", F.lit(i)))
-    if not parts:
-        return row_lengths.where("false").select(key, F.lit(0.0).alias("rank"))
-    hits = reduce(DataFrame.unionByName, parts)
-    seen = hits.groupBy("phrase").agg(F.count("*").alias("n"))
-    scored = hits.join(F.broadcast(seen), "phrase").join(row_lengths, key).join(F.broadcast(corpus))
-    return scored.groupBy(key).agg((-F.sum(_part(F.col("f"), F.col("n")))).alias("rank"))
+        parts.append(found.select(key, F.lit(i).alias("phrase")))
+    hits = reduce(DataFrame.unionByName, parts).groupBy(key).agg(*[F.count_if(F.col("phrase") == i).alias(f"f{i}") for i in range(len(sought))])
+    hits = materialize(hits, "hits")
+    seen = hits.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n_f{i}") for i in range(len(sought))])
+    score = reduce(lambda a, b: a + b, [_part(F.col(f"f{i}"), F.col(f"n_f{i}")) for i in range(len(sought))])
+    return hits.join(row_lengths, key).join(F.broadcast(seen)).join(F.broadcast(corpus)).select(key, (-score).alias("rank"))
 
 
 def minmax(ranked: DataFrame, rank: str = "rank") -> DataFrame:

@@ -40,10 +40,16 @@ def keyword_positions(ranked: DataFrame, key: str, pool: int = POOL) -> DataFram
 def diversified(hits: DataFrame, page: list[str], pos: str, limit: int) -> DataFrame:
     """The first hit of each page in the order of ``pos``, then the other hits, cut at ``limit`` and numbered anew from 0.
 
-    Hits without a page stand for pages of their own only if the page columns differ; nulls are one page.
+    ``pos`` is any sortable column without ties. Pages are reduced by an aggregate and only ``limit`` firsts and
+    twice as many hits go on, so that neither many hits nor many on one page matter. Null pages are one page.
     """
-    first = F.row_number().over(Window.partitionBy(*page).orderBy(pos)) == 1
-    ordered = hits.withColumn("later", (~first).cast("int")).orderBy("later", pos).limit(limit)
+    every = F.struct(F.col(pos).alias(pos), *[F.col(c) for c in hits.columns if c != pos])
+    first = hits.groupBy(*page).agg(F.min_by(every, pos).alias("hit")).select("hit.*").orderBy(pos).limit(limit)
+    # at most ``limit`` of the best 2 * limit are among these firsts
+    best = hits.orderBy(pos).limit(2 * limit)
+    both = first.withColumn("later", F.lit(0)).unionByName(best.withColumn("later", F.lit(1)))
+    one = both.groupBy(pos).agg(F.min_by(F.struct("later", *[c for c in hits.columns if c != pos]), "later").alias("hit")).select(pos, "hit.*")
+    ordered = one.orderBy("later", pos).limit(limit)
     place = F.row_number().over(Window.orderBy("later", pos)) - 1
     return ordered.withColumn("place", place).drop("later", pos).withColumnRenamed("place", pos)
 
@@ -60,12 +66,12 @@ def hybrid_docs(semantic: DataFrame, keyword: DataFrame, key: str, page: list[st
     """Documentation search: semantic hits by cosine, diversified to the pool; keyword hits that aren't among them come after
     all of these; diversified to ``limit`` (1 to 50). A semantic hit that keywords found too is a hybrid hit.
 
-    ``semantic`` has key, page and cosine; ``keyword`` has key, page, pos and score. Result: key, page, kind, score, pos.
+    ``semantic`` has key, page and cosine of every row of the scope that has a vector, keyword hits included; ``keyword``
+    has key, page, pos and score. Result: key, page, kind, score, pos.
     """
     limit = max(1, min(50, limit))
-    best = semantic.orderBy(F.round("cosine", 9).desc(), key).limit(4 * pool)
-    ranked = best.withColumn("pos", F.row_number().over(Window.orderBy(F.round("cosine", 9).desc(), key)) - 1).withColumnRenamed("cosine", "score")
-    first = diversified(ranked, page, "pos", pool)
+    order = F.struct((-F.round("cosine", 9)).alias("down"), F.col(key).alias("id"))
+    first = diversified(semantic.select(key, *page, F.col("cosine").alias("score"), order.alias("pos")), page, "pos", pool)
     found = keyword.select(key).distinct().withColumn("by_keyword", F.lit(True))
     first = first.join(found, key, "left").withColumn("kind", F.when(F.col("by_keyword"), "hybrid").otherwise("semantic")).drop("by_keyword")
     rest = keyword.select(key, *page, "score", "pos").withColumn("kind", F.lit("keyword"))

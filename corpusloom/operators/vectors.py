@@ -35,6 +35,20 @@ def cosine_or_zero(a: Column, b: Column) -> Column:
     return F.coalesce(cosine_or_null(a, b), F.lit(0.0))
 
 
+def usable(df: DataFrame, owner: str, vector: str, order: str, model: str | None = None, dims: int | None = None) -> DataFrame:
+    """(owner, vector): of each owner the first vector, by ``order``, of ``model`` (null: of any) that can be compared.
+
+    Such a vector has ``dims`` entries (null: any number), all of them finite numbers and not all 0.
+    """
+    v = F.col(vector)
+    sound = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    if dims is not None:
+        sound = (F.size(v) == dims) & sound
+    if model is not None:
+        sound = (F.col("model") == model) & sound
+    return df.where(F.col(owner).isNotNull() & sound).groupBy(owner).agg(F.min_by(vector, order).alias(vector))
+
+
 def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 

@@ -31,6 +31,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 DOCS_QUERY = "How do I install the nested modules?"
 CODE_QUERY = "total_item config loader"
 PHRASE_TERMS = ["the_resp", "older_vers"]
+ACCENTED_TERMS = ["Prüfe", "requête", "página"]
+#: The prefixes and phrases of these queries, written out for the SQL engine.
+DOCS_WORDS = [["install"], ["nested"], ["modules"], ["module"]]
+CODE_WORDS = [["total"], ["item"], ["config"], ["loader"]]
+PHRASE_WORDS = [["the", "resp"], ["older", "vers"]]
+ACCENTED_WORDS = [["prufe"], ["requete"], ["pagina"]]
 #: White space that Python strips, for the SQL engine.
 WS = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -43,10 +49,10 @@ def sql_tokens(t: str) -> str:
     return f"list_filter(string_split_regex(strip_accents(lower(coalesce({t}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
-def sql_bm25(source: str, key: str, columns: list[str], sought: list[str], scope: str = "TRUE") -> str:
+def sql_bm25(source: str, key: str, columns: list[str], sought: list[list[str]], scope: str = "TRUE") -> str:
     """CTEs up to ``ranked`` (key, rank): the same formula over the same corpus counts."""
     counts = []
-    for i, words in enumerate(lexical.phrases(sought)):
+    for i, words in enumerate(sought):
         parts = []
         for k in range(len(columns)):
             if len(words) == 1:
@@ -75,11 +81,17 @@ SCOPE_SQL = "docset_slug IN ('brackenlib', 'quarry', 'wicket')"
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "search_chunks", ["id", "docset_slug", "page_id", "ordinal", "text"]).distinct()
+    """Chunks as delivered, repeated rows included."""
+    return spread(table(spark, d, "search_chunks", ["id", "docset_slug", "page_id", "ordinal", "text"]))
+
+
+def _chunk_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "search_chunks", ["id", "docset_slug", "page_id"]).distinct()
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "code_units", ["id", "file_path", "unit_type", "name", "source", "language", "start_line"]).distinct()
+    """Units as delivered, repeated rows included."""
+    return spread(table(spark, d, "code_units", ["id", "file_path", "unit_type", "name", "source", "language", "start_line"]))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -87,41 +99,49 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 # keyword search
-@query(sql_bm25(CHUNKS_SQL, "id", ["text"], DOC_TERMS) + "SELECT id, round(rank, 6) AS rank FROM ranked ORDER BY round(rank, 9), id LIMIT 250")
+@query(sql_bm25(CHUNKS_SQL, "id", ["text"], DOCS_WORDS) + "SELECT id, round(rank, 6) AS rank FROM ranked ORDER BY round(rank, 9), id LIMIT 250")
 def keyword_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(lexical.top(lexical.bm25(_chunks(spark, d), "id", ["text"], DOC_TERMS), "id", 250), "rank")
 
 
-@query(sql_bm25(UNITS_SQL, "id", ["unit_type", "name", "source"], CODE_TERMS) + "SELECT id, round(rank, 6) AS rank FROM ranked ORDER BY round(rank, 9), id LIMIT 200")
+@query(sql_bm25(UNITS_SQL, "id", ["unit_type", "name", "source"], CODE_WORDS) + "SELECT id, round(rank, 6) AS rank FROM ranked ORDER BY round(rank, 9), id LIMIT 200")
 def keyword_bm25_multicol(spark: SparkSession, d: str) -> DataFrame:
     ranked = lexical.bm25(_units(spark, d), "id", ["unit_type", "name", "source"], CODE_TERMS)
     return _rounded(lexical.top(ranked, "id", lexical.code_fetch(10)), "rank")
 
 
-@query(sql_bm25(CHUNKS_SQL, "id", ["text"], DOC_TERMS, SCOPE_SQL) + "SELECT id, round(rank, 6) AS rank FROM ranked")
+@query(sql_bm25(CHUNKS_SQL, "id", ["text"], DOCS_WORDS, SCOPE_SQL) + "SELECT id, round(rank, 6) AS rank FROM ranked")
 def keyword_scoped(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(lexical.bm25(_chunks(spark, d), "id", ["text"], DOC_TERMS, F.col("docset_slug").isin(DOCS_SCOPE)).select("id", "rank"), "rank")
 
 
-@query(sql_bm25(CHUNKS_SQL, "id", ["text"], PHRASE_TERMS) + "SELECT id, round(rank, 6) AS rank FROM ranked")
+@query(sql_bm25(CHUNKS_SQL, "id", ["text"], PHRASE_WORDS) + "SELECT id, round(rank, 6) AS rank FROM ranked")
 def keyword_phrase(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(lexical.bm25(_chunks(spark, d), "id", ["text"], PHRASE_TERMS), "rank")
 
 
-@query(sql_bm25(CHUNKS_SQL, "id", ["text"], DOC_TERMS) + "SELECT id, round(rank, 6) AS rank FROM ranked")
+@query(sql_bm25(CHUNKS_SQL, "id", ["text"], DOCS_WORDS) + "SELECT id, round(rank, 6) AS rank FROM ranked")
 def keyword_postings(spark: SparkSession, d: str) -> DataFrame:
-    """The same ranks from an inverted index."""
-    chunks = _chunks(spark, d)
-    return _rounded(lexical.bm25_of_postings(lexical.postings(chunks, "id", ["text"]), lexical.lengths(chunks, "id", ["text"]), "id", DOC_TERMS), "rank")
+    """The same ranks from a written index."""
+    path = new_path(spark, "index")
+    chunks = _chunks(spark, d).groupBy("id").agg(F.min("text").alias("text"))
+    lexical.write_index(chunks, "id", ["text"], path)
+    return _rounded(lexical.search_index(spark, path, "id", DOC_TERMS), "rank")
+
 
+@query(sql_bm25("SELECT doc_id, text FROM documents", "doc_id", ["text"], ACCENTED_WORDS) + "SELECT doc_id, round(rank, 6) AS rank FROM ranked")
+def keyword_accented(spark: SparkSession, d: str) -> DataFrame:
+    """Terms with diacritics find words with and without them."""
+    return _rounded(lexical.bm25(spread(table(spark, d, "documents", ["doc_id", "text"])), "doc_id", ["text"], ACCENTED_TERMS), "rank")
 
-@query(sql_bm25(CHUNKS_SQL, "id", ["text"], DOC_TERMS) + """, best AS (SELECT * FROM ranked ORDER BY round(rank, 9), id LIMIT 250)
+
+@query(sql_bm25(CHUNKS_SQL, "id", ["text"], DOCS_WORDS) + """, best AS (SELECT * FROM ranked ORDER BY round(rank, 9), id LIMIT 250)
 SELECT id, row_number() OVER (ORDER BY round(rank, 9), id) - 1 AS pos, round(greatest(0, 1 - (row_number() OVER (ORDER BY round(rank, 9), id) - 1) / 250.0), 6) AS score FROM best""")
 def keyword_rank_score(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ranking.keyword_positions(lexical.bm25(_chunks(spark, d), "id", ["text"], DOC_TERMS), "id").select("id", F.col("pos").cast("bigint").alias("pos"), "score"), "score")
 
 
-@query(sql_bm25(UNITS_SQL, "id", ["unit_type", "name", "source"], CODE_TERMS) + """, best AS (SELECT * FROM ranked ORDER BY round(rank, 9), id LIMIT 200), e AS (SELECT min(rank) AS lo, max(rank) AS hi FROM best)
+@query(sql_bm25(UNITS_SQL, "id", ["unit_type", "name", "source"], CODE_WORDS) + """, best AS (SELECT * FROM ranked ORDER BY round(rank, 9), id LIMIT 200), e AS (SELECT min(rank) AS lo, max(rank) AS hi FROM best)
 SELECT id, round(CASE WHEN hi - lo = 0 THEN 1.0 ELSE greatest(0, least(1, 1 - (rank - lo) / (hi - lo))) END, 6) AS lexical FROM best, e""")
 def lexical_minmax(spark: SparkSession, d: str) -> DataFrame:
     best = lexical.top(lexical.bm25(_units(spark, d), "id", ["unit_type", "name", "source"], CODE_TERMS), "id", 200)
@@ -191,16 +211,16 @@ def vector_cosine_or_zero(spark: SparkSession, d: str) -> DataFrame:
 
 
 # hybrid ranking
-UNIT_QUERY_SQL = f"uv AS (SELECT unit_id AS id, vector FROM unit_embeddings WHERE {SOUND_SQL.format('vector')} QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY vec_id) = 1), {QUERY_VECTOR_SQL}, sem AS (SELECT id, {sql_cosine('vector', 'q')} AS semantic FROM uv, q ORDER BY round(semantic, 9) DESC, id LIMIT 250)"
+#: The model whose vectors count in the embedding tables.
+CODE_MODEL, DOCS_MODEL = "code-embed-2", "text-embed-2"
+UNIT_QUERY_SQL = f"uv AS (SELECT unit_id AS id, vector FROM unit_embeddings WHERE model = '{CODE_MODEL}' AND {SOUND_SQL.format('vector')} QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY vec_id) = 1), {QUERY_VECTOR_SQL}, sem AS (SELECT id, {sql_cosine('vector', 'q')} AS semantic FROM uv, q ORDER BY round(semantic, 9) DESC, id LIMIT 250)"
 
 
 def _unit_vectors(spark: SparkSession, d: str) -> DataFrame:
-    sound = (F.size("vector") == 64) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = table(spark, d, "unit_embeddings").where(sound)
-    return rows.groupBy(F.col("unit_id").alias("id")).agg(F.min_by("vector", "vec_id").alias("vector"))
+    return vectors.usable(table(spark, d, "unit_embeddings"), "unit_id", "vector", "vec_id", CODE_MODEL, 64).withColumnRenamed("unit_id", "id")
 
 
-@query(sql_bm25(UNITS_SQL, "id", ["unit_type", "name", "source"], CODE_TERMS) + f""", best AS (SELECT * FROM ranked ORDER BY round(rank, 9), id LIMIT 200), e AS (SELECT min(rank) AS lo, max(rank) AS hi FROM best),
+@query(sql_bm25(UNITS_SQL, "id", ["unit_type", "name", "source"], CODE_WORDS) + f""", best AS (SELECT * FROM ranked ORDER BY round(rank, 9), id LIMIT 200), e AS (SELECT min(rank) AS lo, max(rank) AS hi FROM best),
 lex AS (SELECT id, CASE WHEN hi - lo = 0 THEN 1.0 ELSE 1 - (rank - lo) / (hi - lo) END AS lexical FROM best, e), {UNIT_QUERY_SQL},
 b AS (SELECT coalesce(sem.id, lex.id) AS id, semantic, lexical FROM sem FULL JOIN lex ON sem.id = lex.id),
 s AS (SELECT *, CASE WHEN semantic IS NOT NULL AND lexical IS NOT NULL THEN 'hybrid' WHEN semantic IS NOT NULL THEN 'semantic' ELSE 'keyword' END AS kind,
@@ -212,39 +232,53 @@ def hybrid_code_rank(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ranking.hybrid_code(semantic, lexical.minmax(best), "id", 100), "semantic", "lexical", "score")
 
 
-CHUNK_SEM_SQL = f"""cv AS (SELECT chunk_id AS id, vector FROM chunk_embeddings WHERE {SOUND_SQL.format('vector')} QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY vec_id) = 1), {QUERY_VECTOR_SQL},
-cc AS (SELECT DISTINCT id, docset_slug, page_id FROM search_chunks), sem AS (SELECT cc.id, docset_slug, page_id, {sql_cosine('vector', 'q')} AS score FROM cv JOIN cc ON cc.id = cv.id, q ORDER BY round(score, 9) DESC, cc.id LIMIT 1000)"""
+CHUNK_SEM_SQL = f"""cv AS (SELECT chunk_id AS id, vector FROM chunk_embeddings WHERE model = '{DOCS_MODEL}' AND {SOUND_SQL.format('vector')} QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY vec_id) = 1), {QUERY_VECTOR_SQL},
+cc AS (SELECT DISTINCT id, docset_slug, page_id FROM search_chunks), sem AS (SELECT cc.id, docset_slug, page_id, {sql_cosine('vector', 'q')} AS score FROM cv JOIN cc ON cc.id = cv.id, q)"""
 
 
 def _chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
-    sound = (F.size("vector") == 64) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
-    best = table(spark, d, "chunk_embeddings").where(sound).groupBy(F.col("chunk_id").alias("id")).agg(F.min_by("vector", "vec_id").alias("vector"))
-    best = best.join(_chunks(spark, d).select("id").distinct(), "id", "left_semi")
-    top = vectors.top_k(best, "id", "vector", _query_vector(spark, d), 1000)
-    return top.join(_chunks(spark, d).select("id", "docset_slug", "page_id").distinct(), "id")
+    """(id, docset_slug, page_id, cosine) of every chunk that has a vector of the model."""
+    best = vectors.usable(table(spark, d, "chunk_embeddings"), "chunk_id", "vector", "vec_id", DOCS_MODEL, 64).withColumnRenamed("chunk_id", "id")
+    scored = best.select("id", vectors.cosine_or_zero(F.col("vector"), vectors.literal(_query_vector(spark, d))).alias("cosine"))
+    return scored.join(_chunk_pages(spark, d), "id")
 
 
 def sql_diversified(source: str, limit: int) -> str:
     return f"""SELECT * EXCLUDE (later, pos), row_number() OVER (ORDER BY later, pos) - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY docset_slug, page_id ORDER BY pos) > 1 AS later FROM {source} ORDER BY later, pos LIMIT {limit})"""
 
 
-@query(sql_bm25(CHUNKS_SQL, "id, docset_slug, page_id", ["text"], DOC_TERMS) + f""", kb AS (SELECT * FROM ranked ORDER BY round(rank, 9), id LIMIT 250),
+def sql_docs(scope: str) -> str:
+    """Documentation search in a scope: every vector in it is scored."""
+    return sql_bm25(CHUNKS_SQL, "id, docset_slug, page_id", ["text"], DOCS_WORDS, scope) + f""", kb AS (SELECT * FROM ranked ORDER BY round(rank, 9), id LIMIT 250),
 kw AS (SELECT id, docset_slug, page_id, greatest(0, 1 - (row_number() OVER (ORDER BY round(rank, 9), id) - 1) / 250.0) AS score, row_number() OVER (ORDER BY round(rank, 9), id) - 1 AS pos FROM kb),
-{CHUNK_SEM_SQL}, s0 AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS pos FROM sem), s1 AS ({sql_diversified('s0', 250)}),
+{CHUNK_SEM_SQL}, s0 AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS pos FROM sem WHERE {scope}), s1 AS ({sql_diversified('s0', 250)}),
 u AS (SELECT id, docset_slug, page_id, score, pos, CASE WHEN id IN (SELECT id FROM kw) THEN 'hybrid' ELSE 'semantic' END AS kind, 0 AS side FROM s1 UNION ALL SELECT id, docset_slug, page_id, score, pos, 'keyword', 1 FROM kw WHERE id NOT IN (SELECT id FROM s1)),
 m AS (SELECT * EXCLUDE (pos, side), row_number() OVER (ORDER BY side, pos) - 1 AS pos FROM u)
-SELECT id, docset_slug, page_id, kind, round(score, 6) AS score, pos FROM ({sql_diversified('m', 50)})""")
-def hybrid_docs_rank(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(spark, d)
-    found = ranking.keyword_positions(lexical.bm25(chunks, "id", ["text"], DOC_TERMS), "id").join(chunks.select("id", "docset_slug", "page_id").distinct(), "id")
-    out = ranking.hybrid_docs(_chunk_semantic(spark, d), found, "id", ["docset_slug", "page_id"], 50)
+SELECT id, docset_slug, page_id, kind, round(score, 6) AS score, pos FROM ({sql_diversified('m', 50)})"""
+
+
+def _docs_search(spark: SparkSession, d: str, scope: list[str] | None) -> DataFrame:
+    inside = None if scope is None else F.col("docset_slug").isin(scope)
+    found = ranking.keyword_positions(lexical.bm25(_chunks(spark, d), "id", ["text"], DOC_TERMS, inside), "id").join(_chunk_pages(spark, d), "id")
+    semantic = _chunk_semantic(spark, d)
+    out = ranking.hybrid_docs(semantic if inside is None else semantic.where(inside), found, "id", ["docset_slug", "page_id"], 50)
     return _rounded(out.withColumn("pos", F.col("pos").cast("bigint")), "score")
 
 
+@query(sql_docs("TRUE"))
+def hybrid_docs_rank(spark: SparkSession, d: str) -> DataFrame:
+    return _docs_search(spark, d, None)
+
+
+@query(sql_docs(SCOPE_SQL))
+def hybrid_docs_scoped(spark: SparkSession, d: str) -> DataFrame:
+    return _docs_search(spark, d, DOCS_SCOPE)
+
+
 @query(f"""WITH {CHUNK_SEM_SQL}, s0 AS (SELECT id, docset_slug, page_id, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS pos FROM sem) {sql_diversified('s0', 250)}""")
 def diversify_pages(spark: SparkSession, d: str) -> DataFrame:
-    hits = _chunk_semantic(spark, d).withColumn("pos", F.row_number().over(Window.orderBy(F.round("cosine", 9).desc(), "id")) - 1).drop("cosine")
-    out = ranking.diversified(hits, ["docset_slug", "page_id"], "pos", 250)
+    order = F.struct((-F.round("cosine", 9)).alias("down"), F.col("id").alias("key"))
+    out = ranking.diversified(_chunk_semantic(spark, d).withColumn("pos", order).drop("cosine"), ["docset_slug", "page_id"], "pos", 250)
     return out.select("id", "docset_slug", "page_id", F.col("pos").cast("bigint").alias("pos"))
 
 
@@ -252,7 +286,7 @@ def diversify_pages(spark: SparkSession, d: str) -> DataFrame:
 def search_excerpts(spark: SparkSession, d: str) -> DataFrame:
     """Excerpts, links and hints of the 50 best keyword hits."""
     best = lexical.top(lexical.bm25(_chunks(spark, d), "id", ["text"], DOC_TERMS), "id", 50)
-    rows = best.join(_chunks(spark, d), "id")
+    rows = best.join(_chunks(spark, d), "id").dropDuplicates(["id"])
     hint = F.concat(F.lit("docs page "), text.shell_quoted(F.col("docset_slug")), F.lit(" "), text.shell_quoted(F.col("page_id")))
     return rows.select("id", F.round("rank", 6).alias("rank"), excerpt_column(F.col("text"), terms.docs_terms(DOCS_QUERY)).alias("excerpt"), text.resource_uri(F.col("docset_slug"), F.col("page_id")).alias("resource_uri"), hint.alias("read_hint"))
 
@@ -406,7 +440,7 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _chunks(spark, d).groupBy("id").agg(F.min("page_id").alias("page_id"), F.min("text").alias("text"))
+    chunks = _chunks(spark, d).groupBy("id").agg(F.min(F.struct("page_id", "text")).alias("c")).select("id", "c.*")
     return chunks.select("id", html.to_markdown_udf("page_id", F.concat(F.lit("guide/"), "page_id"), "text").alias("markdown"))
 
 
@@ -452,7 +486,7 @@ def scan_exclusion(spark: SparkSession, d: str) -> DataFrame:
 # listings
 @query("WITH u AS (SELECT DISTINCT id, file_path, start_line, language FROM code_units WHERE language = 'python' AND starts_with(file_path, 'harbor-mono/')) SELECT id, file_path, start_line FROM u ORDER BY file_path, start_line, id LIMIT 50 OFFSET 20")
 def list_units_page(spark: SparkSession, d: str) -> DataFrame:
-    return store.listing(_units(spark, d), 0, 20, "harbor-mono", "python").select("id", "file_path", "start_line")
+    return store.listing(_units(spark, d).drop("source").distinct().withColumn("source", F.lit(None).cast("string")), 0, 20, "harbor-mono", "python").select("id", "file_path", "start_line")
 
 
 @query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS lines FROM documents WHERE text IS NOT NULL")
@@ -571,7 +605,7 @@ def queue_stats(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
     """Requests for embeddings: chunks of a docset, in order, at most 64 and 262,144 bytes a request."""
-    rows = _chunks(spark, d).select("id", "docset_slug", F.octet_length("text").alias("bytes"))
+    rows = _chunks(spark, d).select("id", "docset_slug", F.octet_length("text").alias("bytes")).distinct()
     most, size, _ = embedding.DOCS_REQUEST
     return queueing.batches(rows, "id", "bytes", most, size, "docset_slug")
 
