@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codeunits import CLASS_TYPES, FUNCTION_TYPES
-from ..session import drop_materialized, materialize
-from . import vectors
+from ..session import materialize
+from . import components, vectors
 
 THRESHOLD, EXHAUSTIVE_LIMIT, MAX_CANDIDATES, DIMENSIONS, BAND, PRECISION = 0.92, 1024, 64, 12, 2, 1000
 LEVELS = ("function", "class", "file")
@@ -111,23 +111,8 @@ def transient_pairs(transient: DataFrame, stored: DataFrame, key: str, vector: s
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
-    """(id, cluster): connected units under their smallest id.
-
-    Labels pass along pairs; a label that meets a smaller one across a pair is hooked to it, and labels of labels are
-    followed, so that rounds grow with the logarithm of the longest chain.
-    """
-    both = materialize(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))).where("x <> y").distinct(), "links")
-    state = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")), "labels")
-    while True:
-        met = both.join(state.withColumnRenamed("label", "mine"), "x").join(state.withColumnsRenamed({"x": "y", "label": "theirs"}), "y")
-        near = met.select(F.explode(F.array("x", "mine")).alias("x"), "theirs").groupBy("x").agg(F.min("theirs").alias("near"))
-        jumped = state.alias("s").join(state.select(F.col("x").alias("l"), F.col("label").alias("far")), F.col("s.label") == F.col("l"), "left")
-        new = materialize(jumped.join(near, "x", "left").select("x", F.least("label", "far", "near").alias("new"), "label"), "labels")
-        changed = not new.where("new <> label").isEmpty()
-        drop_materialized(state)
-        state = new.select("x", F.col("new").alias("label"))
-        if not changed:
-            return state.select(F.col("x").alias("id"), F.col("label").alias("cluster"))
+    """(id, cluster): connected units (a, b), strings, under their smallest id. See :mod:`.components`."""
+    return components.components(pairs.select("a", "b")).withColumnsRenamed({"v": "id", "label": "cluster"})
 
 
 def report(pairs: DataFrame, units: DataFrame, key: str, fields: list[str]) -> DataFrame:

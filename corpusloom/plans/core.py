@@ -344,14 +344,17 @@ LINKS_SQL = "l AS (SELECT least(unit_id_a, unit_id_b) AS a, greatest(unit_id_a,
 CLUSTER_SQL = f"WITH RECURSIVE {LINKS_SQL}, e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), k AS (SELECT x AS id, min(y) AS cluster FROM r GROUP BY x)"
 
 
+def _link_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "duplicate_pairs", ["unit_id_a", "unit_id_b", "similarity"]).where("unit_id_a <> unit_id_b and similarity is not null and not isnan(similarity) and similarity >= 0.92")
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "duplicate_pairs").where("unit_id_a <> unit_id_b and similarity is not null and not isnan(similarity) and similarity >= 0.92")
-    return rows.groupBy(F.least("unit_id_a", "unit_id_b").alias("a"), F.greatest("unit_id_a", "unit_id_b").alias("b")).agg(F.max("similarity").alias("cosine"))
+    return _link_rows(spark, d).groupBy(F.least("unit_id_a", "unit_id_b").alias("a"), F.greatest("unit_id_a", "unit_id_b").alias("b")).agg(F.max("similarity").alias("cosine"))
 
 
 @query(CLUSTER_SQL + " SELECT id, cluster FROM k")
 def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.clusters(_links(spark, d))
+    return duplicates.clusters(_link_rows(spark, d).select(F.col("unit_id_a").alias("a"), F.col("unit_id_b").alias("b")))
 
 
 @query(CLUSTER_SQL + """, u AS (SELECT DISTINCT id, file_path, unit_type FROM code_units), m AS (SELECT cluster, count(*) AS units, string_agg(id, ',' ORDER BY id) AS ids FROM k JOIN u USING (id) GROUP BY cluster),
