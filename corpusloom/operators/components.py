@@ -103,12 +103,14 @@ def _follow(rows: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def components(links: DataFrame, deal: Dealer = by_hash, cell_links: int = CELL_LINKS) -> DataFrame:
-    """(v, label): each vertex of the links (a, b), as strings, with the smallest vertex of its component in string order.
+    """(v, label): each vertex of the links (a, b) with the smallest vertex of its component, in the order of their type.
 
     Links with a null end or of a vertex to itself are ignored; either direction and repeated links count once. Without
     links there are no rows.
     """
     named = lambda c: F.concat(F.lpad(F.hex(F.pmod(F.xxhash64(c), F.lit(1 << 32))), PREFIX, "0"), c)
+    kind = dict(links.dtypes)["a"]
+    bare = lambda c: F.substr(c, F.lit(PREFIX + 1)).cast(kind)
     now = materialize(links.where("a is not null and b is not null and a <> b").select(named("a").alias("a"), named("b").alias("b")), "links")
     rounds: list[tuple[DataFrame, DataFrame, int]] = []
     lows = None
@@ -119,7 +121,7 @@ def components(links: DataFrame, deal: Dealer = by_hash, cell_links: int = CELL_
         met, several = _round(now, total, deal, cell_links)
         state = materialize(met, "round")
         drop_materialized(now)
-        low = state.select("v", "parent", F.substr("v", F.lit(PREFIX + 1)).alias("low")) if lows is None else state.select("v", "parent").join(lows.withColumnRenamed("parent", "v"), "v", "left")
+        low = state.select("v", "parent", bare("v").alias("low")) if lows is None else state.select("v", "parent").join(lows.withColumnRenamed("parent", "v"), "v", "left")
         lows = materialize(low.groupBy("parent").agg(F.min("low").alias("low")), "lows")
         rounds.append((state, lows, 2 * total))
         if not several:
@@ -128,7 +130,7 @@ def components(links: DataFrame, deal: Dealer = by_hash, cell_links: int = CELL_
     else:
         raise RuntimeError("components did not become stable")
     if not rounds:
-        return now.select(F.col("a").alias("v"), F.col("b").alias("label"))
+        return now.select(bare("a").alias("v"), bare("b").alias("label"))
     found = None
     for k in range(len(rounds) - 1, -1, -1):
         state, lows, most = rounds[k]
@@ -140,4 +142,4 @@ def components(links: DataFrame, deal: Dealer = by_hash, cell_links: int = CELL_
         found = _follow(state.select("v", "parent"), labels, most)
         if k:
             found = materialize(found, "labels")
-    return found.select(F.substr("v", F.lit(PREFIX + 1)).alias("v"), "label")
+    return found.select(bare("v").alias("v"), "label")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,10 @@ from ..session import materialize
 from . import components, vectors
 
 THRESHOLD, EXHAUSTIVE_LIMIT, MAX_CANDIDATES, DIMENSIONS, BAND, PRECISION = 0.92, 1024, 64, 12, 2, 1000
+#: Entries a range of positions is meant to hold, most ranges, and rows from which their bounds are taken.
+RANGE_ROWS, MAX_RANGES, RANGE_SAMPLE = 100_000, 200, 20_000
+#: A bucket is crowded above this many rows and this share of all entries.
+HOT_ROWS, HOT_SHARE = 100_000, 0.001
 LEVELS = ("function", "class", "file")
 
 
@@ -59,24 +61,55 @@ def signature_keys(v: Column, dimensions: int = DIMENSIONS, band: int = BAND) ->
     return F.when(F.size(top) == 0, F.array(F.lit("zero-vector"))).otherwise(F.array_distinct(keys))
 
 
+def _numbered(rows: DataFrame, entries: int) -> DataFrame:
+    """``rows`` (bucket, at, ...) with ``n``, their number within the bucket in the order of ``at``, from 1.
+
+    Positions are cut into ranges; rows are numbered within bucket and range, and a range begins where those before it
+    end, so that a bucket that holds a large share of all rows is numbered by many tasks.
+    """
+    ranges = max(1, min(MAX_RANGES, -(-entries // RANGE_ROWS)))
+    if ranges == 1:
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("at")))
+    seen = sorted(r[0] for r in rows.select("at").sample(min(1.0, RANGE_SAMPLE / entries), 3).limit(4 * RANGE_SAMPLE).collect())
+    bounds = sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if seen else []
+    at = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("at"))) if bounds else F.lit(0)
+    parted = rows.withColumn("range", at)
+    before = F.sum("count").over(Window.partitionBy("bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parted.groupBy("bucket", "range").count().select("bucket", "range", F.coalesce(before, F.lit(0)).alias("offset"))
+    local = parted.withColumn("n", F.row_number().over(Window.partitionBy("bucket", "range").orderBy("at")))
+    return local.join(offsets, ["bucket", "range"]).withColumn("n", F.col("n") + F.col("offset")).drop("range", "offset")
+
+
 def bounded_pairs(entries: DataFrame, key: str, pos: str, vector: str, threshold: float, most: int = MAX_CANDIDATES) -> DataFrame:
     """(a, b, cosine) of entries that share a signature bucket within bounds: a comes before b in the order of ``pos``.
 
     For each of its keys an entry looks at the k latest and then at the k first earlier entries of the bucket, with
     k = ceil(most / (2 keys)), keeps different ones, the latest of all keys first, and at most ``most`` of them.
-    Neighbours in a bucket come from ranks within it, so that no bucket is multiplied with itself.
+    Neighbours in a bucket come from numbers within it, so that no bucket is multiplied with itself; the first entries
+    of buckets that hold many rows, few by their share, are sent to all tasks. Vectors come in last.
     """
     keyed = entries.select(F.col(key).alias("id"), F.col(pos).alias("at"), signature_keys(F.col(vector)).alias("keys"))
     scan = F.greatest(F.lit(1), F.ceil(F.lit(most) / (2 * F.size("keys"))))
     rows = keyed.select("id", "at", scan.cast("int").alias("scan"), F.posexplode("keys").alias("k", "bucket"))
-    rows = materialize(rows.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("at"))), "buckets")
-    late = rows.withColumn("m", F.explode(F.expr("if(n > 1, sequence(greatest(1, n - scan), n - 1), array())"))).withColumn("phase", F.lit(0)).withColumn("step", F.col("n") - F.col("m"))
-    early = rows.withColumn("m", F.explode(F.expr("if(n > 1, sequence(1, least(scan, n - 1)), array())"))).withColumn("phase", F.lit(1)).withColumn("step", F.col("m"))
-    wanted = late.unionByName(early)
-    there = rows.select("bucket", F.col("n").alias("m"), F.col("id").alias("a"), F.col("at").alias("a_at"))
-    found = wanted.join(there, ["bucket", "m"]).select("a", "a_at", F.col("id").alias("b"), "at", F.struct("phase", "k", "step").alias("rank"))
-    best = found.groupBy("b", "at", "a", "a_at").agg(F.min("rank").alias("rank"))
-    kept = best.withColumn("place", F.row_number().over(Window.partitionBy("b", "at").orderBy("rank"))).where(F.col("place") <= most)
+    total = entries.count()
+    rows = materialize(_numbered(rows, total), "buckets")
+    late = rows.where("n > 1").select("id", "bucket", F.explode(F.expr("sequence(greatest(1, n - scan), n - 1)")).alias("m"), F.lit(0).alias("phase"), "k", "n")
+    late = late.select("id", "bucket", F.col("m").cast("long"), F.struct("phase", "k", (F.col("n") - F.col("m")).cast("long").alias("step")).alias("rank"))
+    early = rows.where("n > 1").select("id", "bucket", F.explode(F.expr("sequence(1, least(scan, n - 1))")).alias("m"), F.lit(1).alias("phase"), "k")
+    early = early.select("id", "bucket", F.col("m").cast("long"), F.struct("phase", "k", F.col("m").cast("long").alias("step")).alias("rank"))
+    there = rows.select("bucket", F.col("n").cast("long").alias("m"), F.col("id").alias("a"))
+    limit = max(HOT_ROWS, int(HOT_SHARE * total))
+    # at most keys / HOT_SHARE buckets
+    hot = [r[0] for r in rows.groupBy("bucket").count().where(F.col("count") > limit).select("bucket").collect()] if total > limit else []
+    if hot:
+        crowded = F.col("bucket").isin(hot)
+        firsts = F.broadcast(there.where(crowded & (F.col("m") <= most)))
+        found = late.unionByName(early.where(~crowded)).join(there, ["bucket", "m"]).unionByName(early.where(crowded).join(firsts, ["bucket", "m"]))
+    else:
+        found = late.unionByName(early).join(there, ["bucket", "m"])
+    # a bounded list: at most 2 k entries a key
+    lists = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "a"))).alias("found"))
+    kept = lists.select(F.col("id").alias("b"), F.explode(F.slice(F.array_distinct(F.transform("found", lambda c: c["a"])), 1, most)).alias("a"))
     vs = entries.select(F.col(key).alias("id"), F.col(vector).alias("v"))
     scored = kept.join(vs.withColumnsRenamed({"id": "a", "v": "va"}), "a").join(vs.withColumnsRenamed({"id": "b", "v": "vb"}), "b")
     return scored.select("a", "b", vectors.cosine_or_null(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= threshold)
@@ -98,16 +131,11 @@ def find_pairs(entries: DataFrame, key: str, pos: str, vector: str, threshold: f
 
 
 def transient_pairs(transient: DataFrame, stored: DataFrame, key: str, vector: str, path: str, threshold: float) -> DataFrame:
-    """(a, b, cosine) of whole files given for one run (a bounded set) against stored units of other files, and among themselves."""
-    given = [(r[0], r[1]) for r in transient.select(key, vector).collect()]
-    kind = f"a {dict(transient.dtypes)[key]}, b {dict(transient.dtypes)[key]}, cosine double"
-    if not given:
-        return transient.sparkSession.createDataFrame([], kind)
-    outside = vectors.against_queries(stored, key, vector, given, threshold).withColumnsRenamed({"query": "a", "key": "b"})
-    home = transient.select(F.col(key).alias("a"), F.col(path).alias("pa")).join(stored.select(F.col(key).alias("b"), F.col(path).alias("pb")).join(outside.select("b").distinct(), "b"), F.col("pa") == F.col("pb")).select("a", "b")
-    outside = outside.join(home, ["a", "b"], "left_anti")
-    inside = vectors.against_queries(transient, key, vector, given, threshold).withColumnsRenamed({"query": "a", "key": "b"}).where("a < b")
-    return outside.select("a", "b", "cosine").unionByName(inside.select("a", "b", "cosine"))
+    """(a, b, cosine) of whole files given for one run against stored units of other files, and among themselves."""
+    met = vectors.near_pairs(stored, key, vector, threshold, transient)
+    at = lambda df, k, p: df.select(F.col(key).alias(k), F.col(path).alias(p)).distinct()
+    outside = met.join(at(transient, "a", "pa"), "a").join(at(stored, "b", "pb"), "b").where(~F.col("pa").eqNullSafe(F.col("pb")))
+    return outside.select("a", "b", "cosine").unionByName(vectors.near_pairs(transient, key, vector, threshold))
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
@@ -116,12 +144,15 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 
 def report(pairs: DataFrame, units: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row a cluster: its id, its units with their fields, and its pairs, both sorted."""
-    of = clusters(pairs)
-    members = of.join(units.withColumnRenamed(key, "id"), "id").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("id", *fields))).alias("units"))
-    linked = pairs.join(of.withColumnRenamed("id", "a"), "a").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("a", "b", F.round("cosine", 6).alias("similarity")))).alias("pairs"))
-    return members.join(linked, "cluster")
-
-
-def scan_limit(keys: int, most: int = MAX_CANDIDATES) -> int:
-    return max(1, math.ceil(most / max(1, 2 * keys)))
+    """One row a unit of a cluster: (cluster, id, fields, links, most, first): how many links it has, the greatest similarity among
+    them, and its first pair in the order of the pairs, by similarity down and ids. ``pairs`` has each pair (a, b, cosine) once."""
+    pair = F.struct((-F.round("cosine", 9)).alias("down"), "a", "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "cosine", pair.alias("pair"))
+    linked = ends.groupBy("id").agg(F.count("*").alias("links"), F.max("cosine").alias("most"), F.min("pair").alias("first"))
+    return clusters(pairs).join(linked, "id").join(units.withColumnRenamed(key, "id").select("id", *fields), "id").select("cluster", "id", *fields, "links", "most", "first")
+
+
+def summary(members: DataFrame) -> DataFrame:
+    """One row a cluster of a report: (cluster, units, pairs, most, first_a, first_b); the first pair orders clusters."""
+    made = members.groupBy("cluster").agg(F.count("*").alias("units"), (F.sum("links") / 2).cast("bigint").alias("pairs"), F.max("most").alias("most"), F.min("first").alias("first"))
+    return made.select("cluster", "units", "pairs", "most", F.col("first.a").alias("first_a"), F.col("first.b").alias("first_b"))

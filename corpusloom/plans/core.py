@@ -357,12 +357,23 @@ def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.clusters(_link_rows(spark, d).select(F.col("unit_id_a").alias("a"), F.col("unit_id_b").alias("b")))
 
 
-@query(CLUSTER_SQL + """, u AS (SELECT DISTINCT id, file_path, unit_type FROM code_units), m AS (SELECT cluster, count(*) AS units, string_agg(id, ',' ORDER BY id) AS ids FROM k JOIN u USING (id) GROUP BY cluster),
-p AS (SELECT cluster, count(*) AS pairs, round(max(cosine), 6) AS most FROM l JOIN k ON k.id = l.a GROUP BY cluster) SELECT cluster, units, ids, pairs, most FROM m JOIN p USING (cluster)""")
+MEMBERS_SQL = """, u AS (SELECT DISTINCT id, file_path, unit_type FROM code_units), e2 AS (SELECT a AS id, a, b, cosine FROM l UNION ALL SELECT b, a, b, cosine FROM l),
+g AS (SELECT id, count(*) AS links, max(cosine) AS most, min((-round(cosine, 9), a, b)) AS first FROM e2 GROUP BY id), mm AS (SELECT * FROM k JOIN g USING (id) JOIN u USING (id))"""
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    units = table(spark, d, "code_units", ["id", "file_path", "unit_type"]).distinct()
+    return duplicates.report(_links(spark, d), units, "id", ["file_path", "unit_type"])
+
+
+@query(CLUSTER_SQL + MEMBERS_SQL + " SELECT cluster, id, file_path, unit_type, links, round(most, 6) AS most FROM mm")
 def dup_report(spark: SparkSession, d: str) -> DataFrame:
-    units = table(spark, d, "code_units").select("id", "file_path", "unit_type").distinct()
-    made = duplicates.report(_links(spark, d), units, "id", ["file_path", "unit_type"])
-    return made.select("cluster", F.size("units").cast("bigint").alias("units"), F.array_join(F.transform("units", lambda u: u["id"]), ",").alias("ids"), F.size("pairs").cast("bigint").alias("pairs"), F.array_max(F.transform("pairs", lambda p: p["similarity"])).alias("most"))
+    return _rounded(_report(spark, d).drop("first"), "most")
+
+
+@query(CLUSTER_SQL + MEMBERS_SQL + " SELECT cluster, count(*) AS units, (sum(links) // 2)::BIGINT AS pairs, round(max(most), 6) AS most, min(first)[2] AS first_a, min(first)[3] AS first_b FROM mm GROUP BY cluster")
+def dup_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(duplicates.summary(_report(spark, d)), "most")
 
 
 @query("SELECT DISTINCT id, unit_type FROM code_units WHERE unit_type IN (" + ", ".join(f"'{t}'" for t in codeunits.FUNCTION_TYPES + codeunits.CLASS_TYPES) + ")")

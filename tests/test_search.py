@@ -84,7 +84,27 @@ def test_duplicates(spark):
     pairs = spark.createDataFrame([(i, i + 1, 0.95) for i in range(40)] + [(100, 101, 0.99)], "a long, b long, cosine double")
     assert {r["cluster"] for r in duplicates.clusters(pairs).collect()} == {0, 100}
     units = spark.createDataFrame([(i, f"f{i}") for i in range(102)], "id long, file_path string")
-    assert sorted(len(r["units"]) for r in duplicates.report(pairs, units, "id", ["file_path"]).collect()) == [2, 41]
+    report = duplicates.report(pairs, units, "id", ["file_path"])
+    assert {(r["id"], r["links"]) for r in report.where("cluster = 0 and links = 1").collect()} == {(0, 1), (40, 1)}
+    assert {tuple(r) for r in duplicates.summary(report).collect()} == {(0, 41, 40, 0.95, 0, 1), (100, 2, 1, 0.99, 100, 101)}
+
+
+def test_near_pairs_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(60, 16)), 5, axis=0) + rng.normal(size=(300, 16)) * 0.2
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, x[i].tolist()) for i in range(300)] + [(900, [1.0, 2.0]), (901, [1.0, 2.0]), (902, None), (903, []), (904, [0.0] * 16), (905, [float("nan")] * 16), (7, x[7].tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("cell", F.lit("clash"))
+    for threshold in (0.9, 0.2):
+        want = {(i, j) for i in range(300) for j in range(i + 1, 300) if unit[i] @ unit[j] >= threshold} | {(900, 901)}
+        for size in (12, 50, 5000):
+            got = [(r[0], r[1]) for r in vectors.pairs_above(df, "id", "v", threshold, size).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    asked = df.where("id % 10 = 0")
+    got = {(r[0], r[1]) for r in vectors.near_pairs(df, "id", "v", 0.9, asked, 12).collect()}
+    assert got == {(i, j) for i in range(0, 300, 10) for j in range(300) if unit[i] @ unit[j] >= 0.9} | {(900, 900), (900, 901)}
 
 
 def test_transient_pairs_leave_own_file(spark):
@@ -93,7 +113,7 @@ def test_transient_pairs_leave_own_file(spark):
     assert [(r[0], r[1]) for r in duplicates.transient_pairs(given, stored, "id", "v", "path", 0.9).collect()] == [("t", "o")]
 
 
-def test_signatures_against_a_loop(spark):
+def test_signatures_against_a_loop(spark, monkeypatch):
     """The windowed candidates equal those of a loop over entries and buckets."""
     import random
 
@@ -103,7 +123,7 @@ def test_signatures_against_a_loop(spark):
     keys = dict(df.select("id", duplicates.signature_keys(F.col("v"))).collect())
     want, buckets = set(), {}
     for i, _ in rows:
-        k = duplicates.scan_limit(len(keys[i]), 8)
+        k = max(1, -(-8 // (2 * len(keys[i]))))
         seen = []
         for phase in (0, 1):
             for key in keys[i]:
@@ -114,9 +134,12 @@ def test_signatures_against_a_loop(spark):
         want |= {(c, i) for c in seen}
         for key in keys[i]:
             buckets.setdefault(key, []).append(i)
-    got = {(r[0], r[1]) for r in duplicates.bounded_pairs(df, "id", "id", "v", -2.0, 8).collect()}
     norms = {i: sum(x * x for x in v) for i, v in rows}
-    assert got == {(a, b) for a, b in want if norms[a] and norms[b]}
+    for ranges, hot in ((100_000, 100_000), (9, 5)):  # whole buckets, and buckets in ranges with crowded ones
+        monkeypatch.setattr(duplicates, "RANGE_ROWS", ranges)
+        monkeypatch.setattr(duplicates, "HOT_ROWS", hot)
+        got = {(r[0], r[1]) for r in duplicates.bounded_pairs(df, "id", "id", "v", -2.0, 8).collect()}
+        assert got == {(a, b) for a, b in want if norms[a] and norms[b]}
 
 
 def test_catalog(spark):
