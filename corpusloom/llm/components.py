@@ -1,30 +1,25 @@
-"""Groups from pairwise links: a two-dimensional grid of edge blocks with local union-find.
+"""Groups from pairwise links: a two-dimensional grid of link blocks with local union-find.
 
-Vertices are hashed into ``B`` blocks, an edge belongs to the cell (block of one end, block of the other). A round has
-two steps: every cell runs union-find over its own edges and keeps, for each of its vertices, the smallest vertex of
-the local set as representative; then the cells of a vertex's row and column exchange representatives, the smallest of
-which becomes the vertex's parent and enters each of those cells as an edge. As parents are vertices of the cells they
-enter, the next exchange brings their own parents there, so that paths halve from round to round. When every cell has
-the parent of each of its vertices as representative, parents are stable and each is the smallest vertex of its
-component. A hub's edges spread over the 2B - 1 cells of its row and column, so that no task gets all of them, and a
-vertex has one representative in each cell, however many links it has.
+Vertices are hashed into ``B`` blocks, a link belongs to the cell (block of one end, block of the other). A round has
+two steps: every cell runs union-find over its own links and keeps for each of its vertices one representative; then
+the cells of a vertex's row and column exchange representatives. The first of them is the vertex's parent, and any other
+one is linked to the parent. These links, between representatives that changed, are dealt to a grid of their own, as
+large as they need, for the next round; components whose representatives agree are settled and drop out. When nothing is
+left, parents are stable, and each stands for the smallest vertex of its component.
+
+A hub's links spread over the 2B - 1 cells of its row and column, a cell that still holds too many of them is cut, and a
+vertex has at most one representative in each task, however many links it has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop_materialized, materialize
+from ..operators import components as core
 
-#: Edges a cell is meant to hold at most, and at least where there are more cores than cells.
-CELL_EDGES, MIN_CELL_EDGES = 250_000, 20_000
-#: Rounds after which something must be wrong; rounds grow with the logarithm of the longest path.
-MAX_ROUNDS = 60
+#: Links a cell is meant to hold.
+CELL_EDGES = core.CELL_LINKS
 
 
 def links(pairs: DataFrame, a: str, b: str, similarity: str | None = None, threshold: float = 0.0) -> DataFrame:
@@ -35,37 +30,13 @@ def links(pairs: DataFrame, a: str, b: str, similarity: str | None = None, thres
     return pairs.where(keep).select(F.col(a).alias("a"), F.col(b).alias("b"))
 
 
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, v, rep) from the edges (cell, a, b) of a task; cells that share a task become one."""
-    parent: dict[str, str] = {}
-    cell = None
-
-    def root(v: str) -> str:
-        top = v
-        while (p := parent[top]) != top:
-            top = p
-        while parent[v] != top:
-            parent[v], v = top, parent[v]
-        return top
-
-    setdefault = parent.setdefault
-    for batch in batches:
-        if batch.num_rows:
-            low = pc.min(batch.column(0)).as_py()
-            cell = low if cell is None else min(cell, low)
-        for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            setdefault(a, a)
-            setdefault(b, b)
-            a, b = root(a), root(b)
-            if a < b:
-                parent[b] = a
-            elif b < a:
-                parent[a] = b
-    vertices = list(parent)
-    for k in range(0, len(vertices), 50_000):
-        part = vertices[k : k + 50_000]
-        columns = [pa.array([cell] * len(part), pa.int32()), pa.array(part, pa.string()), pa.array([root(v) for v in part], pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["cell", "v", "rep"])
+def grid(edges: DataFrame, cells: int) -> DataFrame:
+    """``edges`` (a, b) with ``cell`` in a square grid of at least ``cells`` cells: its row is the block of a, its column that of b."""
+    blocks = 1
+    while blocks * blocks < cells:
+        blocks += 1
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    return edges.withColumn("cell", (block("a") * blocks + block("b")).cast("int"))
 
 
 def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES) -> DataFrame:
@@ -74,25 +45,4 @@ def connected_components(edges: DataFrame, cell_edges: int = CELL_EDGES) -> Data
     Ids are strings; edges with a null end or of a vertex to itself are ignored; repeated edges and either direction
     count once. No edges give no rows.
     """
-    spark = edges.sparkSession
-    found = links(edges, "a", "b")
-    total = found.count()
-    cells = max(min(spark.sparkContext.defaultParallelism, -(-total // MIN_CELL_EDGES)), -(-total // cell_edges), 1)
-    blocks = 1
-    while blocks * blocks < cells:
-        blocks += 1
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    now = found.select((block("a") * blocks + block("b")).cast("int").alias("cell"), "a", "b")
-    every, first = Window.partitionBy("v"), Window.partitionBy("v").orderBy("rep", "cell")
-    previous = None
-    for _ in range(MAX_ROUNDS):
-        local = now.repartition(blocks * blocks, "cell").mapInArrow(_union_find, "cell int, v string, rep string")
-        exchanged = local.select("*", F.min("rep").over(every).alias("parent"), F.row_number().over(first).alias("number"))
-        state = materialize(exchanged, "components")
-        if previous is not None:
-            drop_materialized(previous)
-        if state.where("rep <> parent").isEmpty():
-            return state.where("number = 1").select(F.col("v").alias("unit_id"), F.col("parent").alias("group_id"))
-        now = state.select("cell", F.col("v").alias("a"), F.explode(F.array_distinct(F.array("rep", "parent"))).alias("b"))
-        previous = state
-    raise RuntimeError("components did not become stable")
+    return core.components(links(edges, "a", "b"), grid, cell_edges).select(F.col("v").alias("unit_id"), F.col("label").alias("group_id"))

@@ -26,7 +26,7 @@ def brute_groups(edges):
 
 
 @pytest.mark.parametrize("case", ["chain", "random", "hub", "empty"])
-def test_components(spark, case):
+def test_components(spark, case, monkeypatch):
     rng = random.Random(2)
     ids = [f"{i:04d}" for i in range(400)]
     rng.shuffle(ids)
@@ -37,7 +37,10 @@ def test_components(spark, case):
         "empty": [],
     }[case]
     df = spark.createDataFrame(edges, "a string, b string").withColumn("cell", F.lit("clash")).withColumn("v", F.lit(1))
-    assert dict(components.connected_components(df, cell_edges=40).collect()) == brute_groups(edges)
+    monkeypatch.setattr(components.core, "MIN_CELL_LINKS", 20)
+    for size in (40, 10_000, 3):  # a grid, one cell, and cells that are cut
+        monkeypatch.setattr(components.core, "CELL_LINKS", size)
+        assert dict(components.connected_components(df, cell_edges=size).collect()) == brute_groups(edges)
 
 
 def test_links(spark):
