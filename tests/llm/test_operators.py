@@ -183,6 +183,24 @@ def test_shared_trees_mark_small_files(spark):
     assert found == {f"one-api/{p}" for p in tree} | {f"two-web/src/{p}" for p in tree}
 
 
+def test_near_copies_of_trees(spark):
+    """Copies with other line ends, in directories with a file that was changed and one that was added; small files of a tree count by its weight."""
+    tree = {f"lib/{c}.py": f"value_{c} = compute(1, 2)\n\n\nname_{c} = 'some {c}'\n" for c in "abcdefghi"}
+    rows = [(f"one-api/{p}", "one-api", c, None) for p, c in tree.items()] + [(f"two-web/x/y/{p}", "two-web", c.replace("\n", " \r\n"), None) for p, c in tree.items()]
+    rows += [(f"two-web/x/y/lib/sub/{p}", "two-web", c, None) for p, c in (("a.py", "import lib\n"),)] + [("two-web/x/own.py", "two-web", "import y\n", None), ("one-api/own.py", "one-api", "import lib\n" * 9, None)]
+    six = [(f"{repo}/{d}/{k}.py", repo, f"from . import other_module_{k}  # re-exported here as well\n", None) for repo, d in (("three-a", "p"), ("four-b", "q")) for k in range(6)]
+    own = [("three-a/main.py", "three-a", "import p\n", None), ("four-b/main.py", "four-b", "import q, sys\n", None)]
+    df = spark.createDataFrame(rows + six + own, "path string, repo string, contents string, hash string")
+    found = {r["path"] for r in handwritten.shared_files(handwritten.not_by_hand(df).select("repo", "path", "hash", "bytes")).collect()}
+    assert {p for p in found if p.split("/")[0] in ("three-a", "four-b")} == {r[0] for r in six}
+    big = {f"lib/{c}.py": CODE + f"# {c}" for c in "abcdefghi"}
+    rows = [(f"one-api/{p}", "one-api", c, None) for p, c in big.items()] + [(f"two-web/x/{p}", "two-web", c.replace("\n", " \r\n"), None) for p, c in big.items()]
+    rows += [("two-web/x/lib/local.py", "two-web", CODE + "# local", None), ("one-api/own.py", "one-api", "import lib\n", None), ("two-web/own.py", "two-web", "import lib\n", None)]
+    df = spark.createDataFrame(rows, "path string, repo string, contents string, hash string")
+    found = {r["path"] for r in handwritten.shared_files(handwritten.not_by_hand(df).select("repo", "path", "hash", "bytes")).collect()}
+    assert found == {r[0] for r in rows if r[0] not in ("one-api/own.py", "two-web/own.py")}  # with the file that was added
+
+
 def test_markup_of_table(spark):
     same = "<nav>Home | Docs</nav> &amp; more"
     rows = [(i, "s", f"p{i}", 0, f"{same}\n\nOwn **words** of page {i}.") for i in range(30)] + [(5, "s", "p5", 0, f"{same}\n\nOwn **words** of page 5."), (99, None, None, None, None), (98, "s", "p1", 1, "plain"), (None, "s", "p", 0, "x")]

@@ -106,6 +106,13 @@ def test_layout_kinds():
     assert kind("r/src/a.go", "package x\n\nvar d = []byte{\n" + "    0x96, 0x43, 0x04, 0xff,\n" * 40 + "}\n") == "data"
     assert kind("r/src/a.py", "".join(f"def get_{k}(m):\n    return m[{k}]\n\n" for k in range(9))) == "generated"
     assert kind("r/src/a.py", 'Q = "' + "select a from b where c " * 40 + '"\n' + code) is None
+    # names of directories alone say nothing, unless they hold packages
+    assert [kind(p, code) for p in ("r/deps/a.py", "r/gen/a.py", "r/static/js/app.js", "r/deps/lib/a.py")] == [None, None, None, "vendored"]
+    assert kind("r/src/a.py", "# built by make\n" + code) is None and kind("r/src/a.py", "# built by make tables, see tables.in\n" + code) == "generated"
+    assert kind("r/src/a.sh", "#!/bin/sh\nset -eu\n\n# Code generated by x. DO NOT EDIT.\necho\n") == "generated"
+    # data of any size
+    assert [kind("r/a.py", t) for t in ('[{"a": 1}]', '{"a": [1, 2', "[]", "[x]", "x = [1, 2]", "{ int a; }", "")] == ["data", "data", "data", None, None, None, None]
+    assert kind("r/a.sh", "cat <<'E'\n" + ("QUJD" * 18 + "\n") * 9 + "E\n") == "data"
 
 
 MARKUP = [
