@@ -90,6 +90,14 @@ class CParser(Parser):
         if self.at("template"):
             self.i += 1
             self.angles()
+            if self.take("requires"):
+                self.constraint()
+            if self.at("concept") and self.is_name(1):
+                self.i += 2
+                self.need("=")
+                self.constraint()
+                self.need(";")
+                return True
             self.external()
             return True
         if self.at("extern") and self.peek(1) == STR:
@@ -101,6 +109,27 @@ class CParser(Parser):
             return True
         return False
 
+    def constraint(self) -> None:
+        """What a template demands: names of concepts and demands in brackets, joined by && and ||."""
+        while True:
+            self.take("!")
+            if self.at("("):
+                self.balanced()
+            elif self.at("requires"):
+                self.demands()
+            else:
+                self.qualified()
+            if not self.take("&&") and not self.take("||"):
+                return
+
+    def demands(self) -> None:
+        self.need("requires")
+        if self.at("("):
+            self.balanced()
+        if not self.at("{"):
+            self.fail("'{' expected")
+        self.balanced()
+
     def block_of(self, rule) -> None:
         self.need("{")
         while not self.at("}", EOF):
@@ -214,7 +243,7 @@ class CParser(Parser):
             called = self.declarator()
             if self.take(":"):
                 self.climb(2)
-            if called and (self.at("{") or self.cpp and self.at("const", "noexcept", "override", "->", ":", "final")):
+            if called and (self.at("{") or self.cpp and self.at("const", "noexcept", "override", "->", ":", "final", "requires")):
                 if not body:
                     self.fail("';' expected")
                 self.function_rest()
@@ -222,6 +251,10 @@ class CParser(Parser):
             while self.at("__attribute__", "__asm__", "asm"):
                 self.i += 1
                 self.balanced()
+            if called and body and not self.cpp and (self.is_name() or self.v[self.i] in TYPE_WORDS or self.at("struct", "union", "enum")):
+                while not self.at("{", EOF):  # the old style: parameters are declared behind the brackets
+                    self.declaration(False)
+                return self.compound()
             if self.take("="):
                 if self.cpp and self.at("default", "delete"):
                     self.i += 1
@@ -242,6 +275,8 @@ class CParser(Parser):
             self.specifiers()
             while self.at("*", "&", "&&"):
                 self.i += 1
+        if self.cpp and self.take("requires"):
+            self.constraint()
         if self.take(":"):
             while not self.at("{", ";", EOF):
                 self.qualified()
@@ -494,6 +529,8 @@ class CParser(Parser):
             if self.at("(") and self.attempt(self.cast_type):
                 return None
             return self.unary()
+        if self.cpp and v == "requires" and self.peek(1) in ("(", "{"):
+            return self.demands()
         if self.cpp and v in ("new", "delete", "throw", "co_await"):
             self.i += 1
             if v == "new":

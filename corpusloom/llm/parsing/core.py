@@ -42,34 +42,41 @@ class Lexed:
 def lex(text: str, pattern: re.Pattern, special: dict[str, Callable] | None = None) -> Lexed:
     """Tokens of ``text``: ``pattern`` has the groups skip, name, num, str, op and, for faults, open; others are in ``special``."""
     out, i, n, fresh = Lexed(), 0, len(text), False
-    match = pattern.match
-    special = special or {}
+    match, special = pattern.match, special or {}
+    value, name, at, newline = out.value.append, out.name.append, out.at.append, out.newline.append
     while i < n:
+        if text[i] == " ":  # the most frequent skip of all
+            i += 1
+            if i == n:
+                break
         m = match(text, i)
         if m is None:
             out.faults.append((i, f"stray character {text[i]!r}"))
             out.add(BAD, False, i, fresh)
             i += 1
             continue
-        kind, j = m.lastgroup, m.end()
-        if kind == "skip":
+        kind = m.lastgroup
+        if kind == "name":
+            value(m[0])
+            name(True)
+        elif kind == "op":
+            value(m[0])
+            name(False)
+        elif kind == "skip":
             fresh = fresh or "\n" in m[0]
-            i = j
+            i = m.end()
             continue
-        if kind in special:
-            j = special[kind](text, i, j, out, fresh)
-        elif kind == "name":
-            out.add(m[0], True, i, fresh)
-        elif kind == "op":
-            out.add(m[0], False, i, fresh)
-        elif kind == "num":
-            out.add(NUM, False, i, fresh)
-        elif kind == "str":
-            out.add(STR, False, i, fresh)
-        else:  # a literal or comment that is never closed
-            out.faults.append((i, "unterminated " + kind.replace("_", " ")))
-            out.add(BAD, False, i, fresh)
-        i, fresh = j, False
+        elif kind in special:
+            i, fresh = special[kind](text, i, m.end(), out, fresh), False
+            continue
+        else:
+            if kind != "num" and kind != "str":  # a literal or comment that is never closed
+                out.faults.append((i, "unterminated " + kind.replace("_", " ")))
+            value(NUM if kind == "num" else STR if kind == "str" else BAD)
+            name(False)
+        at(i)
+        newline(fresh)
+        i, fresh = m.end(), False
     out.add(EOF, False, n, True)
     return out
 
@@ -224,12 +231,17 @@ class Parser:
 
     def climb(self, power: int = 0) -> None:
         """Precedence climbing: operands joined by operators that bind at least as strongly as ``power``."""
-        self.deeper()
+        self.depth += 1
+        if self.depth > MAX_DEPTH:
+            raise Undecided("nesting too deep")
         self.unary()
+        powers, values = self.binary, self.v
         while True:
-            op = self.v[self.i]
-            bind = self.binary.get(op)
-            if bind is None or bind < power:
+            op = values[self.i]
+            if op not in powers:
+                break
+            bind = powers[op]
+            if bind < power:
                 break
             joined = self.joins(op)
             if joined is None:

@@ -28,11 +28,16 @@ class GoParser(Parser):
     def lexed(self, text: str) -> Lexed:
         raw, out = lex(text, PATTERN), Lexed()
         out.faults = raw.faults
-        for value, name, at, newline in zip(raw.value, raw.name, raw.at, raw.newline):
-            last = out.value[-1] if out.value else None
-            if newline and last is not None and (last in ENDS or out.name[-1] and last not in KEYWORDS):
+        last, named = None, False
+        for token in zip(raw.value, raw.name, raw.at, raw.newline):
+            value, is_name, at, newline = token
+            if newline and last is not None and (last in ENDS or named and last not in KEYWORDS):
                 out.add(";", False, at, True)
-            out.add(value, name, at, newline)
+            out.value.append(value)
+            out.name.append(is_name)
+            out.at.append(at)
+            out.newline.append(newline)
+            last, named = value, is_name
         return out
 
     def top(self) -> None:

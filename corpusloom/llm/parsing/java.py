@@ -21,6 +21,8 @@ ASSIGNS = ["=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">
 
 
 class JavaParser(Parser):
+    """``flag``: in a label or its guard, where an arrow begins what the case does, and not the body of a lambda."""
+
     keywords = KEYWORDS
     binary = dict.fromkeys(ASSIGNS, 1) | {"?": 2, "||": 3, "&&": 4, "|": 5, "^": 6, "&": 7, "==": 8, "!=": 8, "<": 9, ">": 9, "<=": 9, ">=": 9, "instanceof": 9, "<<": 10, "+": 11, "-": 11, "*": 12, "/": 12, "%": 12}
     right = frozenset(ASSIGNS)
@@ -234,9 +236,11 @@ class JavaParser(Parser):
         self.need("}")
 
     def parens(self) -> None:
+        held, self.flag = self.flag, False
         self.need("(")
         self.climb()
         self.need(")")
+        self.flag = held
 
     def local(self) -> None:
         self.modifiers()
@@ -334,11 +338,13 @@ class JavaParser(Parser):
                 pass
             else:
                 self.need("case")
+                held, self.flag = self.flag, True
                 self.pattern()
                 while self.take(","):
                     self.pattern()
                 if self.take("when"):
-                    self.climb()
+                    self.climb(2)
+                self.flag = held
             if self.take("->"):
                 if self.at("{", "throw"):
                     self.statement()
@@ -362,7 +368,7 @@ class JavaParser(Parser):
         self.type_()
         if self.take("("):
             self.listed(self.type_pattern, ")", trailing=False)
-            if self.is_name():
+            if self.is_name() and not (self.at("when") and self.peek(1) not in ("->", ":", ",", ")", "when", "&&")):
                 self.i += 1
         else:
             self.name()
@@ -454,14 +460,19 @@ class JavaParser(Parser):
             self.cases()
             return self.postfix()
         if v == "(":
-            if self.attempt(self.lambda_head) or self.attempt(self.cast):
+            if not self.flag and self.attempt(self.lambda_head) or self.attempt(self.cast):
                 return None
-        if self.is_name() and self.peek(1) == "->":
+        if not self.flag and self.is_name() and self.peek(1) == "->":
             self.i += 2
             return self.lambda_body()
         self.primary()
         return self.postfix()
 
+    def listed(self, item, close: str, separator: str = ",", empty: bool = True, trailing: bool = True) -> None:
+        held, self.flag = self.flag, False
+        super().listed(item, close, separator, empty, trailing)
+        self.flag = held
+
     def lambda_head(self) -> None:
         self.need("(")
         if self.is_name() and self.peek(1) in (",", ")"):

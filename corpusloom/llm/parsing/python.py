@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from .core import BAD, EOF, NUM, STR, Fault, Lexed, Parser
 
@@ -21,6 +22,27 @@ ZEROS = re.compile(r"0[\d_]*[1-9][\d_]*$")
 KEYWORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 AUGMENTED = frozenset(["+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", ">>=", "<<=", "**="])
 CLOSES = {"(": ")", "[": "]", "{": "}"}
+CLOSING = frozenset(CLOSES.values())
+#: What a string without fields holds up to its end or a backslash, by its mark.
+INNER = {mark: re.compile(f"(?:[^{mark[0]}\\\\{end}]+{tail})+") for mark, end, tail in (("'", r"\r\n", ""), ('"', r"\r\n", ""), ("\'\'\'", "", "|'(?!'')"), ('"""', "", '|"(?!"")'))}
+#: Escapes that strings refuse, by kind.
+BAD_ESCAPE = re.compile(r"x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})|N(?!\{[A-Za-z][^{}\n]*\})")
+BAD_BYTE = re.compile(r"x(?![0-9a-fA-F]{2})")
+
+
+#: The prefix of a formatted string, just before its mark; conversions; expressions that need no parser.
+FORMATTED = re.compile(r"(?<![\w])(?i:[ft]r?|r[ft])\Z")
+CONVERSION = re.compile(r"[sra]\s*[:}]")
+SIMPLE = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*|\[[A-Za-z_\d]\w*\]|\([A-Za-z_]?\w*\))*")
+#: What may follow an operand that is a whole expression.
+STOPS = frozenset([",", ")", "]", "}", NEWLINE, ":", "=", ";"])
+
+
+@lru_cache(4096)
+def _is_expression(text: str) -> bool:
+    """Whether ``text`` is an expression, or several, that can stand in brackets."""
+    inner = PythonParser(f"({text}\n)")
+    return not inner.run() and inner.v[1] != ")"
 
 
 class PythonParser(Parser):
@@ -32,61 +54,85 @@ class PythonParser(Parser):
 
     def lexed(self, text: str) -> Lexed:
         out, i, n = Lexed(), 0, len(text)
-        indents, opened, line_start = [0], [], True
+        indents, opened, line_start = [(0, 0)], [], True
         match = PATTERN.match
+        value, name, at, newline = out.value.append, out.name.append, out.at.append, out.newline.append
         while i < n:
             if line_start and not opened:
-                j, width = i, 0
+                j, width, plain = i, 0, 0  # with tabs to columns of eight, and with tabs as one
                 while j < n and text[j] in " \t\f":
-                    width = width + 1 if text[j] == " " else 0 if text[j] == "\f" else (width // 8 + 1) * 8
+                    c = text[j]
+                    width = width + 1 if c == " " else 0 if c == "\f" else (width // 8 + 1) * 8
+                    plain = 0 if c == "\f" else plain + 1
                     j += 1
                 if j < n and text[j] not in "\r\n#":
-                    if width > indents[-1]:
-                        indents.append(width)
+                    if width > indents[-1][0]:
+                        if plain <= indents[-1][1]:
+                            out.faults.append((j, "tabs and blanks are mixed in indentation"))
+                        indents.append((width, plain))
                         if len(indents) == MAX_INDENTS + 2:  # a limit of the language
                             out.faults.append((j, "too many levels of indentation"))
                         out.add(INDENT, False, j)
                     else:
-                        while width < indents[-1]:
+                        while width < indents[-1][0]:
                             indents.pop()
                             out.add(DEDENT, False, j)
-                        if width != indents[-1]:
+                        if width != indents[-1][0]:
                             out.faults.append((j, "unindent matches no outer indentation"))
-                            indents.append(width)
+                            indents.append((width, plain))
+                        elif plain != indents[-1][1]:
+                            out.faults.append((j, "tabs and blanks are mixed in indentation"))
                 i, line_start = j, False
                 if i >= n:
                     break
+            if text[i] == " ":  # the most frequent skip of all
+                i += 1
+                if i == n:
+                    break
             m = match(text, i)
             if m is None:
                 out.faults.append((i, f"stray character {text[i]!r}"))
                 out.add(BAD, False, i)
                 i += 1
                 continue
-            kind, j, v = m.lastgroup, m.end(), m[0]
-            if kind == "line":
-                if not opened:
-                    if out.value and out.value[-1] not in (NEWLINE, INDENT, DEDENT):
-                        out.add(NEWLINE, False, i)
-                    line_start = True
-            elif m["quote"]:
-                j = self.string(text, j, m["mark"], "f" in m["prefix"].lower() or "t" in m["prefix"].lower(), "r" in m["prefix"].lower(), out.faults, i)
-                out.add(STR, False, i)
-            elif kind == "num":
-                if ZEROS.match(v):
-                    out.faults.append((i, "leading zeros in a decimal number"))
-                out.add(NUM, False, i)
-            elif kind == "name":
-                out.add(v, True, i)
+            kind, j = m.lastgroup, m.end()
+            if kind == "name":
+                value(m[0])
+                name(True)
             elif kind == "op":
+                v = m[0]
                 if v in CLOSES:
                     opened.append((CLOSES[v], i))
                     if len(opened) == MAX_BRACKETS + 1:
                         out.faults.append((i, "too many nested brackets"))
-                elif v in ")]}":
+                elif v in CLOSING:
                     if not opened or opened.pop()[0] != v:
                         out.faults.append((i, f"{v!r} closes nothing"))
                         opened = []
-                out.add(v, False, i)
+                value(v)
+                name(False)
+            elif kind == "skip":
+                i = j
+                continue
+            elif kind == "line":
+                if not opened:
+                    if out.value and out.value[-1] not in (NEWLINE, INDENT, DEDENT):
+                        out.add(NEWLINE, False, i)
+                    line_start = True
+                i = j
+                continue
+            elif kind == "quote":
+                prefix = m["prefix"].lower()
+                j = self.string(text, j, m["mark"], "f" in prefix or "t" in prefix, "r" in prefix, out.faults, i, "b" in prefix)
+                value(STR)
+                name(False)
+            else:
+                if ZEROS.match(m[0]):
+                    out.faults.append((i, "leading zeros in a decimal number"))
+                value(NUM)
+                name(False)
+            at(i)
+            newline(False)
             i = j
         if opened:
             out.faults.append((opened[-1][1], "bracket never closed"))
@@ -97,17 +143,25 @@ class PythonParser(Parser):
         out.add(EOF, False, n)
         return out
 
-    def string(self, text: str, i: int, mark: str, formatted: bool, raw: bool, faults: list, start: int) -> int:
-        n = len(text)
+    def string(self, text: str, i: int, mark: str, formatted: bool, raw: bool, faults: list, start: int, of_bytes: bool = False) -> int:
+        n, inner, bad = len(text), INNER[mark], None if raw else BAD_BYTE if of_bytes else BAD_ESCAPE
         while i < n:
             c = text[i]
             if c == "\\":
-                i += 3 if text.startswith("\r\n", i + 1) else 2
+                if bad is not None and bad.match(text, i + 1):
+                    faults.append((i, "broken escape in a string"))
+                if formatted and not raw and text.startswith("N{", i + 1):
+                    i = (text.find("}", i) + 1) or n
+                    continue
+                i += 3 if text.startswith("\r\n", i + 1) else 1 if formatted and text[i + 1 : i + 2] in ("{", "}") else 2
             elif text.startswith(mark, i):
                 return i + len(mark)
             elif c in "\r\n" and len(mark) == 1:
                 break
-            elif formatted and c == "{":
+            elif not formatted:
+                m = inner.match(text, i)
+                i = m.end() if m else i + 1
+            elif c == "{":
                 if text.startswith("{{", i):
                     i += 2
                     continue
@@ -118,41 +172,54 @@ class PythonParser(Parser):
         return min(i, n)
 
     def field(self, text: str, i: int, mark: str, faults: list) -> int:
-        """A replacement field of a formatted string; where it ends."""
-        level, start = 0, i
-        while i < len(text):
+        """A replacement field of a formatted string: an expression, perhaps a conversion and a format; where it ends."""
+        n, level, start = len(text), 0, i
+        while i < n:
             c = text[i]
             if c in "([{":
                 level += 1
-            elif c in ")]":
+            elif level and c in ")]}":
                 level -= 1
-            elif c == "}":
-                if level == 0:
-                    if not text[start:i].strip():
-                        faults.append((start, "empty field in a formatted string"))
-                    return i + 1
-                level -= 1
-            elif text.startswith(mark, i) and len(mark) == 1 and level == 0 and not text[start:i].strip():
-                break
             elif c in "\"'":
-                k = 3 if text[i : i + 3] in ('"""', "'''") else 1
-                end = self.string(text, i + k, text[i : i + k], False, False, faults, i)
-                i = end
+                if level == 0 and len(mark) == 1 and c == mark and not text[start:i].strip() and "}" not in text[i : text.find("\n", i) if "\n" in text[i:] else n]:
+                    break
+                k = 3 if text[i : i + 3] in ('"""', "\'\'\'") else 1
+                prefix = FORMATTED.search(text, max(start, i - 2), i)
+                i = self.string(text, i + k, text[i : i + k], prefix is not None, prefix is not None and "r" in prefix[0].lower(), faults, i)
                 continue
             elif c == "\n" and len(mark) == 1:
                 break
-            elif c == ":" and level == 0:
-                # a format specification, with fields of its own
-                i += 1
-                while i < len(text) and text[i] != "}":
-                    if text.startswith(mark, i) or text[i] == "\n" and len(mark) == 1:
-                        break
-                    i = self.field(text, i + 1, mark, faults) if text[i] == "{" else i + 1
-                continue
+            elif level == 0 and (c in ":}" or c == "!" and not text.startswith("=", i + 1)):
+                self.value(text[start:i], start, faults)
+                if c == "!":
+                    i += 1
+                    if not CONVERSION.match(text, i):
+                        faults.append((i, "unknown conversion in a formatted string"))
+                    while i < n and text[i] not in ":}" and not text.startswith(mark, i) and text[i] != "\n":
+                        i += 1
+                if text.startswith(":", i):  # a format, with fields of its own
+                    i += 1
+                    while i < n and text[i] != "}":
+                        if text.startswith(mark, i) or text[i] == "\n" and len(mark) == 1:
+                            break
+                        i = self.field(text, i + 1, mark, faults) if text[i] == "{" else i + 1
+                if text.startswith("}", i):
+                    return i + 1
+                break
             i += 1
         faults.append((start, "unterminated field in a formatted string"))
         return i
 
+    def value(self, text: str, start: int, faults: list) -> None:
+        """The expression of a field, perhaps with = for its own text."""
+        bare = text.strip()
+        if bare.endswith("=") and bare[-2:-1] not in ("=", "!", "<", ">"):
+            bare = bare[:-1].rstrip()
+        if not bare:
+            faults.append((start, "empty field in a formatted string"))
+        elif not (SIMPLE.fullmatch(bare) and bare.partition(".")[0] not in KEYWORDS) and not _is_expression(bare):
+            faults.append((start, "broken expression in a formatted string"))
+
     def top(self) -> None:
         while not self.at(EOF):
             self.line_of(self.statement)
@@ -251,7 +318,9 @@ class PythonParser(Parser):
         held, self.flag = self.flag, True
         while True:
             self.take("*")
+            start = self.i
             self.climb(7)
+            self.assignable(start, self.i)
             if not self.take(",") or self.at("in"):
                 break
         self.flag = held
@@ -294,8 +363,10 @@ class PythonParser(Parser):
     def with_item(self) -> None:
         self.expression()
         if self.take("as"):
+            start = self.i
             self.take("*")
             self.climb(7)
+            self.assignable(start, self.i)
 
     def s_async(self) -> None:
         self.i += 1
@@ -308,43 +379,69 @@ class PythonParser(Parser):
         self.name()
         self.type_parameters()
         self.need("(")
-        self.listed(self.parameter, ")")
+        self.parameters(")")
         if self.take("->"):
-            self.stars()
+            self.expression()
         self.block()
 
     def type_parameters(self) -> None:
         if self.at("["):
             self.balanced()
 
-    def parameter(self) -> None:
-        if self.take("/"):
-            return
-        if self.take("*"):
-            if self.at(",", ")"):
-                return
-        else:
-            self.take("**")
-        self.name()
-        if self.take(":"):
-            self.take("*")
-            self.expression()
-        if self.take("="):
-            self.expression()
+    def parameters(self, close: str) -> None:
+        """Parameters up to ``close``, which is read; only those of a function, which end with a bracket, are annotated."""
+        default = star = bare = slash = last = False
+        first = self.i
+        while not self.take(close):
+            if last:
+                self.fail("parameters end with **")
+            if self.take("/"):
+                if slash or star or self.i == first + 1:
+                    self.fail("'/' can't stand here")
+                slash = True
+            elif self.take("*"):
+                if star:
+                    self.fail("a second '*'")
+                star = True
+                bare = self.at(",", close)
+                if not bare:
+                    self.name()
+                    if close == ")" and self.take(":"):
+                        self.take("*")
+                        self.expression()
+            else:
+                last = self.take("**")
+                if last and bare:
+                    self.fail("a name must follow '*'")
+                bare = False
+                self.name()
+                if close == ")" and self.take(":"):
+                    self.expression()
+                if not last and self.take("="):
+                    self.expression()
+                    default = True
+                elif not last and default and not star:
+                    self.fail("a parameter without a default follows one that has one")
+            if not self.take(","):
+                self.need(close)
+                break
+        if bare:
+            self.i -= 1
+            self.fail("a name must follow '*'")
 
     def s_class(self) -> None:
         self.i += 1
         self.name()
         self.type_parameters()
         if self.take("("):
-            self.listed(self.argument, ")")
+            self.arguments()
         self.block()
 
     def s_match(self) -> None:
         self.need("match")
         if self.at("=", ".", ",", ":", NEWLINE, ")") or self.v[self.i] in AUGMENTED:
             self.fail("subject expected")
-        self.stars()
+        self.stars(named=True)
         self.need(":")
         self.need(NEWLINE)
         self.need(INDENT)
@@ -423,29 +520,55 @@ class PythonParser(Parser):
         start = self.i
         self.stars(True)
         if self.take(":"):
+            self.assignable(start, self.i - 1, False)
             self.expression()
             if self.take("="):
                 self.stars(True)
             return None
         if self.v[self.i] in AUGMENTED:
+            self.assignable(start, self.i, False)
             self.i += 1
             return self.stars(True)
-        if self.at("="):
-            first = self.v[start]
-            if first in (STR, NUM, "None", "True", "False") and self.i == start + 1 or self.v[self.i - 1] == ")" and first not in ("(", "[") and self.calls(start):
-                self.fail("cannot assign to this")
-            while self.take("="):
-                self.stars(True)
+        while self.at("="):
+            self.assignable(start, self.i)
+            self.i += 1
+            start = self.i
+            self.stars(True)
         return None
 
-    def calls(self, start: int) -> bool:
-        level, i = 0, self.i - 1
-        while i > start:
-            level += (self.v[i] in (")", "]")) - (self.v[i] in ("(", "["))
-            if level == 0:
-                return self.v[i] == "("
-            i -= 1
-        return False
+    def assignable(self, start: int, end: int, several: bool = True) -> None:
+        """Fails unless the tokens from ``start`` to before ``end``, an expression, can be assigned to: a name, an attribute, an item, or ``several`` of them."""
+        v, n = self.v, self.n
+        if end == start + 1 and n[start] and v[start] not in KEYWORDS:
+            return
+        level, parts, last, simple = 0, [start], start, True
+        for i in range(start, end):
+            w = v[i]
+            if w in (")", "]", "}"):
+                level -= 1
+            elif level == 0 and w == ",":
+                parts.append(i + 1)
+            elif level == 0 and not (n[i] and (w not in KEYWORDS or i == start) or w in (".", "(", "[", "{", STR, NUM) or w == "*" and i in parts):
+                simple = False
+            if w in ("(", "[", "{"):
+                if level == 0:
+                    last = i
+                level += 1
+        if len(parts) > 1 or v[start] == "*":
+            if several:
+                for a, b in zip(parts, [*(p - 1 for p in parts[1:]), end]):
+                    if a < b:
+                        self.assignable(a + (v[a] == "*"), b)
+                return
+        elif last == start and v[start] in ("(", "[") and v[end - 1] == (")" if v[start] == "(" else "]"):  # brackets around it all
+            if end == start + 2 and several:
+                return
+            if not any(w in ("for", "yield", ":=") for w in v[start:end]):
+                return self.assignable(start + 1, end - 1, several)
+        elif simple and end > start + 1 and (n[end - 1] and v[end - 2] == "." or v[end - 1] == "]" and v[last] == "[" and last > start):
+            return
+        self.i = start
+        self.fail("cannot assign to this")
 
     def p_pass(self) -> None:
         pass
@@ -463,7 +586,13 @@ class PythonParser(Parser):
                 self.expression()
 
     def p_del(self) -> None:
+        start = self.i
         self.stars()
+        end = self.i
+        self.assignable(start, end)
+        if "*" in (self.v[start], self.v[start + 1]):
+            self.fail("cannot delete this")
+        self.i = end
 
     def p_assert(self) -> None:
         self.expression()
@@ -512,15 +641,17 @@ class PythonParser(Parser):
             self.name()
 
     # expressions
-    def stars(self, yields: bool = False) -> None:
-        """Expressions separated by commas, some starred."""
+    def stars(self, yields: bool = False, named: bool = False) -> None:
+        """Expressions separated by commas, some starred, or ``named``."""
         if yields and self.at("yield"):
             return self.yielded()
         while True:
             if self.take("*"):
                 self.climb(7)
-            else:
+            elif named:
                 self.named()
+            else:
+                self.expression()
             if not self.take(","):
                 return None
             if self.at(NEWLINE, "=", ")", "]", "}", ":", ";", EOF, "in") or self.v[self.i] in AUGMENTED:
@@ -540,10 +671,13 @@ class PythonParser(Parser):
         self.expression()
 
     def expression(self) -> None:
-        if self.at("lambda"):
+        i = self.i
+        if self.v[i + 1] in STOPS and (self.v[i] == NUM or self.n[i] and self.v[i] not in KEYWORDS):  # a lone operand
+            self.i = i + 1
+            return None
+        if self.v[i] == "lambda":
             self.i += 1
-            if not self.take(":"):
-                self.listed(self.lambda_parameter, ":")
+            self.parameters(":")
             return self.expression()
         self.climb(3)
         if self.take("if"):
@@ -552,18 +686,6 @@ class PythonParser(Parser):
             self.expression()
         return None
 
-    def lambda_parameter(self) -> None:
-        if self.take("/"):
-            return
-        if self.take("*"):
-            if self.at(",", ":"):
-                return
-        else:
-            self.take("**")
-        self.name()
-        if self.take("="):
-            self.expression()
-
     def joins(self, op: str) -> bool | None:
         if op == "not":
             if self.peek(1) != "in":
@@ -681,7 +803,7 @@ class PythonParser(Parser):
             elif v == "(":
                 held, self.flag = self.flag, False
                 self.i += 1
-                self.listed(self.argument, ")")
+                self.arguments()
                 self.flag = held
             elif v == "[":
                 held, self.flag = self.flag, False
@@ -691,16 +813,34 @@ class PythonParser(Parser):
             else:
                 return
 
-    def argument(self) -> None:
-        if self.at("*", "**"):
-            self.i += 1
-            return self.expression()
-        if self.is_name() and self.peek(1) == "=":
-            self.i += 2
-            return self.expression()
-        self.named()
-        if self.at("for", "async"):
-            self.comprehension()
+    def arguments(self) -> None:
+        """What stands between the brackets of a call; the closing one is read."""
+        keyword = unpacked = False
+        first = self.i
+        while not self.take(")"):
+            start = self.i
+            if self.take("**"):
+                unpacked = keyword = True
+                self.expression()
+            elif self.take("*"):
+                if unpacked:
+                    self.fail("'*' after '**'")
+                self.expression()
+            elif self.v[start + 1] == "=" and self.is_name():
+                self.i += 2
+                keyword = True
+                self.expression()
+            else:
+                self.named()
+                if self.at("for", "async"):
+                    self.comprehension()
+                    if start != first or not self.at(")"):
+                        self.fail("brackets needed around a generator")
+                elif keyword:
+                    self.i = start
+                    self.fail("an argument without a name follows one with a name")
+            if not self.take(","):
+                return self.need(")")
         return None
 
     def subscript(self) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +33,25 @@ def check_files(files: DataFrame) -> DataFrame:
     null path are dropped; null contents are an empty file. Paths with other endings give no rows.
     """
     out = "path string, repo string, hash string, language string, sound boolean, n_faults int, cause string, line int, message string, faults array<struct<line:int,message:string>>, undecided string"
+    kinds = [("path", pa.string()), ("repo", pa.string()), ("hash", pa.string()), ("language", pa.string()), ("sound", pa.bool_()), ("n_faults", pa.int32()), ("cause", pa.string()), ("line", pa.int32()), ("message", pa.string()), ("faults", pa.list_(pa.struct([("line", pa.int32()), ("message", pa.string())]))), ("undecided", pa.string())]
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(kinds)
         for b in batches:
             rows = []
-            for path, repo, contents, digest in zip(b["path"], b["repo"], b["contents"], b["hash"]):
+            for path, repo, contents, digest in zip(*(c.to_pylist() for c in b.columns)):
                 found, limit = examined(path, contents)
-                text = (contents or "").removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-                listed = [(text.count("\n", 0, at) + 1, message) for at, message in found]
-                rows.append((path, repo, digest, language_of(path), None if limit and not found else not found, len(found), first_cause(text, found) if found else None, listed[0][0] if found else None, listed[0][1] if found else None, [{"line": n, "message": m} for n, m in listed], limit))
-            yield pd.DataFrame(rows, columns=["path", "repo", "hash", "language", "sound", "n_faults", "cause", "line", "message", "faults", "undecided"]).astype({"line": "Int32"})
+                row = {"path": path, "repo": repo, "hash": digest, "language": language_of(path), "sound": None if limit and not found else not found, "n_faults": len(found), "faults": [], "undecided": limit}
+                if found:
+                    text = (contents or "").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+                    row["faults"] = [{"line": text.count("\n", 0, at) + 1, "message": message} for at, message in found]
+                    row |= {"cause": first_cause(text, found)} | row["faults"][0]
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     mine = files.where(ending.isin(*LANGUAGES)).select("path", "repo", "contents", F.coalesce("hash", F.sha2("contents", 256), F.lit("")).alias("hash"))
-    seen = mine.mapInPandas(check, out)
+    seen = mine.mapInArrow(check, out)
     one = seen.groupBy("path").agg(F.min_by(F.struct("repo", "language", "sound", "n_faults", "cause", "line", "message", "faults", "undecided"), "hash").alias("s"))
     return one.select("path", "s.*")
 

@@ -31,6 +31,162 @@ BROKEN = {
 }
 
 
+#: Python that the language's own parser refuses, and takes.
+REFUSED = [
+    'f(a=1, 2)',
+    'f(**k, *a)',
+    'f(**k, 2)',
+    'def f(a=1, b): pass',
+    'def f(*a, *b): pass',
+    "x=f'{a b}'",
+    'x := 1',
+    'del f()',
+    'if x:\n        a\n\tb',
+    "'\\N{bad'",
+    'def f(*): pass',
+    'def f(**k, a): pass',
+    'f(x for x in y, 1)',
+    'lambda a=1, b: 0',
+    'y = x := 1',
+    'f() = 1',
+    'a + b = 1',
+    '1 = x',
+    'for f() in x: pass',
+    'f() += 1',
+    '(a, b) += 1',
+    'a, b: int',
+    'del a + b',
+    "f'{x!z}'",
+    "f'{}'",
+    "'\\x1'",
+    'None = 1',
+    'x = (yield) = 1',
+    'def f(/, a): pass',
+    'def f(*, **k): pass',
+    'return x := 1',
+    "f'{a:{b c}}'",
+    "f'{a'",
+    '[x for x in y] = 1',
+    "'a' = 1",
+    'lambda *: 0',
+    'with f() as g(): pass',
+    "print 'a'",
+    'del *a',
+]
+TAKEN = [
+    'f(1, *a, b=2, *c, **d)',
+    'f(a=1, *b)',
+    'def f(a, b=1, *c, d, e=2, **g): pass',
+    'def f(a, /, b, *, c): pass',
+    'x=f\'{a}{b!r:>{w}}{c=}{d["k"]}{e.f()}{g+1:.2f}{h!s}\'',
+    '(x := 1)',
+    'if (y := f(x)) and z: pass',
+    'del a, b[0], c.d, (e, f), [g]',
+    'if x:\n\ta\n\tb\nc',
+    "'\\N{EM DASH}'",
+    "f'\\N{EM DASH} {x}'",
+    'a, *b = c',
+    '[a, b] = c',
+    '(a) = 1',
+    'a.b[c].d = e = f',
+    'for a, (b, *c) in d: pass',
+    'f(x for x in y)',
+    'f(x for x in y)',
+    'lambda: 0',
+    'lambda a, *b, c=1, **d: 0',
+    'lambda *, a: 0',
+    'x: int = 3',
+    'a.b: int',
+    'a[1]: int = 2',
+    'x = yield',
+    "f'{x:%Y-%m}'",
+    "f'{ {1:2}[1] }'",
+    'f"{x[\'a\']}"',
+    "f'''{\na\n}'''",
+    "rf'\\d{x}'",
+    "f'{x!r}'",
+    "f'{(lambda y: y)(1)}'",
+    "f'{a if b else c}'",
+    "print(f'{x}', sep='')",
+    "f'{{}}'",
+    "b'\\N'",
+    'async def f():\n    async for x in y: pass\n    return [z async for z in w]',
+    'with (a as b, c as d): pass',
+    'with open(a) as f.g, h() as (i, j): pass',
+    "match x:\n    case {'a': 1, **r}: pass",
+    'match (y := 1):\n    case _: pass',
+    'def f(*args: *Ts): pass',
+    'x[a:=1]',
+    "{**a, 'b': 1}",
+    '() = x',
+    'a = b = c, d = e',
+    '*a, = b',
+    "f'{x}' f'{y}'",
+    'assert (a, b)',
+    "f'{x:{y}.{z}}'",
+    "f'{x,}'",
+    "f'{*a,}'",
+    "f'{yield}' if 0 else 1",
+    'x = a if b else c',
+    'global x, y',
+    'return',
+    'x = *a, b',
+    "print(*a, sep='')",
+    'def f(a, b=1, *, c): pass',
+    'f(a)(b)[c].d = 1',
+    '(a).b = 1',
+    "'a'.b = 1",
+    "{}['a'] = 1",
+    "f'{a!r:^{w}}'",
+    'x = not a in b',
+    "f'{x:\\n}'",
+    "f'({', '.join(a)})'",
+    "rf'(\\{{%)({x})'",
+]
+#: Constructs of other languages: sound ones, then faults.
+OTHERS = [
+    ('a.java', 'class T { void f(Object o) { int y = switch (o) { case A(int x) when x > 0 -> x; default -> 0; }; } }'),
+    ('a.java', 'class T { void f(Object o) { switch (o) { case A a when x -> g(1); case B b when (y) -> g(2); case FOO -> g(3); case A(B(var q), int z) r when r.ok(k -> k > 1) -> g(4); default -> { } } } }'),
+    ('a.java', 'class T { void f(Object o) { switch (o) { case 1: case 2: g(x -> x); break; default: } } }'),
+    ('a.java', 'class T { void f(Object o) { Runnable r = () -> { }; F f = (a, b) -> a + b; g(x -> x); } }'),
+    ('a.java', 'class T { void f(Object o) { switch (o) { case String s when s.length() > 2 && (s.isEmpty()) -> g(); default -> g(); } } }'),
+    ('a.java', 'class T { void f(Object o) { int z = a ? (b) : c; switch (o) { case A when -> g(); default -> g(); } } }'),
+    ('a.cc', 'template<class T> requires C<T> auto f(T t) { return t; }'),
+    ('a.cc', 'template<class T> concept C = requires(T t) { t.f(); { t.g() } -> D; };'),
+    ('a.cc', 'template<class T> concept C = A<T> && (B<T> || !D<T>);'),
+    ('a.cc', 'template<class T> void f(T t) requires C<T> { }'),
+    ('a.cc', 'auto f(C auto x) { return requires { x.f(); }; }'),
+    ('a.cc', 'template<typename T> requires requires(T t) { t(); } struct S { };'),
+    ('a.c', 'int f(a,b) int a; char b; { return a; }'),
+    ('a.c', 'static char *g(s, n)\nconst char *s;\nunsigned n;\n{ return 0; }'),
+    ('a.c', 'int f(int a);\nint g(void) { return 1; }'),
+    ('a.c', 'int x = ((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((((1))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))))));'),
+    ('a.ts', 'let x = a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : a ? b : c;'),
+]
+OTHER_FAULTS = [
+    ('a.java', 'class T { void f(Object o) { switch (o) { case A a when -> g(); } } }'),
+    ('a.c', 'int f(int a)\nint g(void) { return 1; }'),
+    ('a.cc', 'template<class T> concept C = ;'),
+    ('a.c', 'int f(a) int a {'),
+    ('a.java', 'class T { void f(Object o) { int y = switch (o) { case A(int x when x -> 1; }; } }'),
+]
+
+
+@pytest.mark.parametrize("text", REFUSED + TAKEN)
+def test_python_against_its_own_parser(text):
+    try:
+        compile(text, "x", "exec")
+        sound = True
+    except SyntaxError as e:
+        sound = "outside" in str(e) or "await" in str(e)  # faults of names, not of grammar
+    assert (not faults("a.py", text)) == sound == (text in TAKEN)
+
+
+@pytest.mark.parametrize("path,text", OTHERS + OTHER_FAULTS)
+def test_other_constructs(path, text):
+    assert bool(faults(path, text)) == ((path, text) in OTHER_FAULTS)
+
+
 @pytest.mark.parametrize("path", SOUND)
 def test_sound(path):
     assert faults(path, SOUND[path]) == [] and faults(path, "﻿" + SOUND[path].replace("\n", "\r\n")) == []
