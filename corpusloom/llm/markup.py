@@ -1,11 +1,15 @@
 """Clean text from chunks of documentation that hold HTML, Markdown, wiki or LaTeX markup.
 
-Each chunk is parsed to a flat list of blocks (heading, paragraph, list, table, quote, code, formula) under the syntax
-they are written in, with inline markup resolved; nested elements are no tree. Blocks of one host, a docset, with the
-same syntax and kind are one style node, and the entropy of a content over the host's pages gives its importance.
-Paragraphs, tables and quotes that recur on most pages that have the style (notices) carry no information and are
-removed from each page; what remains is joined to clean text. No whole branches (navigation) are removed, and
-presentation has no importance here.
+Each chunk is parsed to a tree: HTML elements, sections under their headings, lists, tables and quotes are inner nodes,
+and their leaves hold text without markup, with its kind. A node's label is its presentation (element and class, or kind),
+its path the labels from the root. The trees of one host, a docset, are merged into a site style tree by these paths:
+an element node of the merged tree has as styles the sequences of labels that its children form on the host's pages.
+
+The importance of an inner node comes from the entropy of its styles (many different presentations: content) and, through
+them, from its children; that of a leaf from the entropy of its contents over the pages (the same text everywhere:
+noise). Elements of low importance that nearly all pages have, such as navigation, are removed as whole branches;
+contents that nearly all pages with their style share, such as notices, are removed from paragraphs, tables and
+quotes. What remains is joined to clean text, with plain signs for headings, lists and code.
 """
 
 from __future__ import annotations
@@ -13,24 +17,29 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Contents below this importance are removed; pages a style must have, and a content recur on, before that may happen;
-#: the share of a style's pages that a content must be on, whatever their number.
-IMPORTANT, STYLE_PAGES, CONTENT_PAGES, PAGE_SHARE = 0.3, 8, 4, 0.7
-#: Kinds of blocks that are never removed because their own text recurs.
+#: What lies below this importance is removed, if the lower bound (95 %) of the share of pages that have it is at least SHARE;
+#: the bound takes the place of a least number of pages.
+IMPORTANT, SHARE = 0.3, 0.5
+#: How much a node's own presentation counts, beside its children: 1 - DAMPING to the number of its styles.
+DAMPING = 0.9
+#: Levels of the tree; what is nested deeper hangs on the last of them.
+DEPTH = 8
+#: Kinds of leaves that are never removed because their own text recurs.
 KEPT_KINDS = ("heading", "code", "list", "formula")
 KINDS = ("html", "markdown", "wiki", "latex")
 
 #: Names of HTML elements. Those that are also common words count only with attributes or an end tag.
 TAGS = frozenset("a abbr b big blockquote body br button caption center cite code col colgroup dd del dfn dl dt em fieldset font form h1 h2 h3 h4 h5 h6 head hr html i iframe img input ins kbd li nav ol optgroup p pre s samp script small span strike strong style sub sup table tbody td textarea tfoot th thead tr tt u ul var div svg video audio".split())
 WORD_TAGS = frozenset("address article aside canvas data details dialog figure footer header label legend link main map mark menu meta meter object option output param picture progress q section select source summary template time title track base area embed".split())
-BLOCK_TAGS = "p|div|h[1-6]|ul|ol|li|pre|table|tr|br|hr|blockquote|section|article|nav|header|footer"
+BLOCK_TAGS = "p|div|h[1-6]|ul|ol|li|pre|table|tr|br|hr|blockquote|section|article|nav|header|footer|aside|main"
 #: LaTeX commands, with and without arguments.
 LATEX_WITH = "part|chapter|(?:sub){0,2}section|(?:sub)?paragraph|textbf|textit|texttt|textsc|textrm|textsf|emph|underline|ref|eqref|pageref|cite[pt]?|label|footnote|url|href|caption|includegraphics|frac|sqrt|mathbb|mathbf|mathcal|mathrm|text|operatorname|usepackage|documentclass|title|author|input|bibliography|vspace|hspace|mbox|verb|begin|end"
 LATEX_BARE = "item|maketitle|tableofcontents|newline|newpage|noindent|centering|cdot|cdots|ldots|times|sum|prod|int|le|leq|ge|geq|neq|approx|infty|alpha|beta|gamma|delta|epsilon|lambda|mu|sigma|theta|pi|omega|log|ln|sin|cos|max|min|in|to|rightarrow|leftarrow|left|right|quad|par"
@@ -71,32 +80,133 @@ CODE_LINE = re.compile(r"(?:[;{}]|\)\s*\{|=>|->)\s*(?://.*|/\*.*)?$|^\s*(?:def|c
 TABLE_LINE = re.compile(r"^[^\t\n]+\t[^\n]*$")
 
 
-def is_code(lines: list[str]) -> bool:
-    """Whether a paragraph is bare code of a program."""
-    some = [x for x in lines if x.strip()]
-    hits = sum(bool(CODE_LINE.search(x)) and not (WIKI_TEMPLATE.search(x) or LATEX_COMMAND.search(x)) for x in some)
-    return bool(some) and hits * 2 >= len(some) and (len(some) > 1 or not re.match(r"^[A-Z][a-z]+ .*\w\.$", some[0]) and not some[0].lstrip().startswith("<"))
+CONTROL = re.compile("[\x00-\x03]")
+#: Attributes that tell how an element looks; marks that stand for block elements within a text.
+LOOKS = re.compile(r"\s(class|style|role|align|bgcolor|width|color)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>`=]+))", re.I)
+MARK = re.compile("\x02(/?)([^\x02\x03]*)\x03")
+TEXT_ELEMENT, HEADING_ELEMENT = re.compile("h[1-6]|p"), re.compile("h[1-6]")
+#: Elements that end where one of their own name begins, and elements without contents.
+SIBLINGS, VOID = frozenset(["p", "li", "tr"]), frozenset(["br", "hr"])
+
+
+def _is_code_line(line: str) -> bool:
+    return bool(CODE_LINE.search(line)) and not (WIKI_TEMPLATE.search(line) or LATEX_COMMAND.search(line))
+
+
+def _lone_code(line: str) -> bool:
+    """Whether a line of code that stands alone isn't rather a sentence or an element."""
+    return not re.match(r"^[A-Z][a-z]+ .*\w\.$", line) and not line.lstrip().startswith("<")
 
 
 class Document:
-    """The blocks of one chunk, as (style path, kind, clean text), and the kinds of markup met."""
+    """The tree of one chunk. ``nodes`` in the order of the text: [parent, above, label, path, kind, text, syntax], with an empty kind for inner nodes."""
 
     def __init__(self, text: str | None):
         self.kinds: set[str] = set()
-        self.blocks: list[tuple[str, str, str]] = []
+        self.nodes: list[list] = []
+        #: Open inner nodes, the section of each heading level among them, as (name, node).
+        self.open: list[tuple[str, int]] = []
         body = re.sub(r"\r\n?", "\n", text or "").strip("\n")
         at = 0
         while m := HEADER_LINE.match(body, at):
             at = m.end()
         self.head = body[:at].rstrip("\n")
         self.lines = body[at:].split("\n")
+        blank = [not x.strip() for x in self.lines]
+        #: The next blank line from each line on; sums of lines that aren't blank, and of those that look like code or rows.
+        self.ends = list(accumulate(range(len(blank) - 1, -1, -1), lambda end, i: i if blank[i] else end, initial=len(blank)))[::-1]
+        self.filled = [0, *accumulate(not x for x in blank)]
+        self.coded: list[int] | None = None
+        self.tabbed = [0, *accumulate(bool(TABLE_LINE.match(x)) for x in self.lines)] if "\t" in body else None
         self.i = 0
         self.parse()
 
+    def inner(self, name: str, label: str) -> int:
+        """A new inner node below the open ones, which stays open; one that is nested too deeply is only marked as open."""
+        if len(self.open) >= DEPTH:
+            self.open.append((name, self.open[DEPTH - 1][1]))
+        else:
+            self.open.append((name, self.node(label, "", "", "")))
+        return len(self.open)
+
+    def node(self, label: str, kind: str, text: str, syntax: str) -> int:
+        above = [k for _, k in self.open[:DEPTH]]
+        parent = above[-1] if above else -1
+        path = (self.nodes[parent][3] if above else "") + "/" + label
+        self.nodes.append([parent, above, label, path, kind, text, syntax])
+        return len(self.nodes) - 1
+
     def add(self, syntax: str, kind: str, text: str) -> None:
-        text = text.strip("\n")
-        if text.strip():
-            self.blocks.append((f"{syntax}/{kind}", kind, text))
+        """Leaves of ``text``, of which marks of elements open and close inner nodes. What markup left no text has an empty leaf."""
+        base = kind.rstrip("123456")
+        pieces = MARK.split(text) if "\x02" in text else [text]
+        if base == "heading" and len(pieces) == 1:
+            self.section(int(kind[7:] or 1))
+        depth = None
+        if base in ("list", "table", "quote"):
+            depth = len(self.open)
+            self.inner(base, base)
+        some = False
+        for k, piece in enumerate(pieces):
+            if k % 3 == 0:
+                piece = piece.strip("\n")
+                if piece.strip():
+                    self.leaf(syntax, kind, base, piece, len(pieces) > 1)
+                    some = True
+            elif k % 3 == 2:
+                self.element(piece, closing)
+            else:
+                closing = piece == "/"
+        if depth is not None:
+            del self.open[depth:]
+        while self.open and TEXT_ELEMENT.fullmatch(self.open[-1][0]):  # no more than a block
+            self.open.pop()
+        if not some and syntax != "text":
+            self.node("mark", "mark", "", syntax)
+
+    def section(self, level: int) -> None:
+        """Opens the section of a heading, which ends those of its level and below in the same element."""
+        while self.open and self.open[-1][0][0] == "#" and int(self.open[-1][0][1:]) >= level:
+            self.open.pop()
+        self.inner(f"#{level}", f"section{level}")
+
+    def leaf(self, syntax: str, kind: str, base: str, text: str, marked: bool) -> None:
+        if marked:  # the elements around it tell what it is
+            names = [name for name, _ in self.open]
+            heading = next((name for name in names if HEADING_ELEMENT.fullmatch(name)), None)
+            if heading:
+                kind = "heading" + heading[1]
+            elif "li" in names or base == "list":
+                kind = "list"
+            elif base == "heading":
+                kind = "paragraph"
+        if kind == "list":
+            for item in re.split(r"\n(?=- |[-*+] |\d{1,3}[.)] )", text):
+                self.node("item", kind, item, syntax)
+        else:
+            self.node(kind, kind, text, syntax)
+
+    def element(self, label: str, closing: bool) -> None:
+        name = label.split(".", 1)[0]
+        if name in VOID:
+            return
+        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == name), None)
+        if closing:
+            if at is not None:
+                del self.open[at:]
+        else:
+            if name in SIBLINGS and at == len(self.open) - 1:
+                del self.open[at:]
+            if HEADING_ELEMENT.fullmatch(name):
+                self.section(int(name[1]))
+            self.inner(name, label)
+
+    def is_code(self, start: int, end: int) -> bool:
+        """Whether the lines of a paragraph are bare code of a program."""
+        if self.coded is None:
+            self.coded = [0, *accumulate(map(_is_code_line, self.lines))]
+        n, hits = self.filled[end] - self.filled[start], self.coded[end] - self.coded[start]
+        return n > 0 and hits * 2 >= n and (n > 1 or _lone_code(next(x for x in self.lines[start:end] if x.strip())))
 
     def parse(self) -> None:
         lines, n = self.lines, len(self.lines)
@@ -162,11 +272,11 @@ class Document:
             self.i += 1
             return True
         if MD_DEFINITION.match(line):
-            self.kinds.add("markdown")
+            self.add("markdown", "definition", "")
             self.i += 1
             return True
         following = lines[self.i + 1] if self.i + 1 < len(lines) else ""
-        if SETEXT.match(following) and not SETEXT.match(line) and "\t" not in line and not is_code([line]) and re.search(r"\w", line) and not re.match(r"^\s*[|{#>]", line):
+        if SETEXT.match(following) and not SETEXT.match(line) and "\t" not in line and not self.is_code(self.i, self.i + 1) and re.search(r"\w", line) and not re.match(r"^\s*[|{#>]", line):
             self.kinds.add("markdown")
             self.add("markdown", "heading1" if "=" in following else "heading2", self.inline(line))
             self.i += 2
@@ -206,20 +316,19 @@ class Document:
 
     def paragraph(self) -> None:
         lines, start = self.lines, self.i
-        end = self.until(lambda x: not x.strip(), start)
-        part = lines[start:end]
-        if is_code(part):
+        end = self.ends[start]
+        code = self.is_code(start, end)
+        if code:
             self.i = end
-            return self.add("text", "code", "\n".join(part))
-        if all(TABLE_LINE.match(x) for x in part):
+            return self.add("text", "code", "\n".join(lines[start:end]))
+        if self.tabbed and self.tabbed[end] - self.tabbed[start] == end - start:
             self.i = end
-            return self.add("text", "table", "\n".join(part))
+            return self.add("text", "table", "\n".join(lines[start:end]))
         # a paragraph ends where another block begins
         stop = start + 1
         while stop < end:
-            self.i = stop
             x = lines[stop]
-            if FENCE.match(x) or ENVIRONMENT.match(x) or x.startswith("{|") or WIKI_HEADING.match(x) or re.match(r"\s*<pre\b", x, re.I) or MD_DEFINITION.match(x) or MD_QUOTE.match(x) or MD_HEADING.match(x) and not is_code(part):
+            if FENCE.match(x) or ENVIRONMENT.match(x) or x.startswith("{|") or WIKI_HEADING.match(x) or re.match(r"\s*<pre\b", x, re.I) or MD_DEFINITION.match(x) or MD_QUOTE.match(x) or MD_HEADING.match(x):
                 break
             stop += 1
         self.i = stop
@@ -237,7 +346,7 @@ class Document:
             kind = f"heading{1 + m[1].count('sub') if 'section' in m[1] else 1}"
         syntax = "+".join(sorted(self.kinds)) or "text"
         self.kinds |= before
-        return self.add(syntax, kind, text)
+        return self.add(syntax, "mark" if syntax != "text" and not MARK.sub("", text).strip() else kind, text)
 
     def inline(self, text: str) -> str:
         """``text`` without inline markup."""
@@ -254,7 +363,8 @@ class Document:
 
             return done
 
-        text = text.replace("\x00", "").replace("\x01", "")
+        if CONTROL.search(text):
+            text = CONTROL.sub("", text)
         if "`" in text:
             text = MD_CODE.sub(put("markdown", lambda m: keep(m[2].strip())), text)
         if "$" in text or "\\" in text:
@@ -275,7 +385,11 @@ class Document:
                     return m[0]
                 self.kinds.add("html")
                 if re.fullmatch(BLOCK_TAGS, name):
-                    return "\n- " if name == "li" and not m[1] else "\n"
+                    looks = ".".join(sorted(f"{a.lower()}={b or c or d}" for a, b, c, d in LOOKS.findall(m[3]))) if m[3] else ""
+                    mark = f"\x02{m[1]}{name}{'.' + looks if looks and not m[1] else ''}\x03"
+                    if m[4] and not m[1]:
+                        mark += f"\x02/{name}\x03"
+                    return mark + ("\n- " if name == "li" and not m[1] else "\n")
                 return "\t" if name in ("td", "th") else ""
 
             text = TAG.sub(tag, text)
@@ -317,57 +431,125 @@ class Document:
         return re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{2,}", "\n", text)).strip()
 
 
+NODE = "parent int, above array<int>, label string, path string, kind string, text string, syntax string"
+NODES = [pa.field("parent", pa.int32()), pa.field("above", pa.list_(pa.int32())), *[pa.field(name, pa.string()) for name in ("label", "path", "kind", "text", "syntax")]]
+
+
 def parse_chunks(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, host, page_id, ordinal, loose, head, blocks) of each chunk; rows that repeat an id count once.
+    """(chunk_id, host, page_id, ordinal, head, nodes) of each chunk; rows that repeat an id count once.
 
-    ``blocks`` has style, kind and text; a style begins with the syntaxes of its block. ``loose`` has the kinds of markup
-    that left no block of their own, such as comments. An empty or null text has neither.
+    ``nodes`` is the tree, in the order of the text: the parent and all nodes above as positions, the label, the path of
+    labels, and of leaves the kind, the text and the syntaxes of its markup. An empty or null text has no nodes.
     """
-    out = "chunk_id long, host string, page_id string, ordinal int, loose array<string>, head string, blocks array<struct<style:string,kind:string,text:string>>"
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [Document(t) for t in b["text"]]
-            yield pd.DataFrame({
-                "chunk_id": b["id"], "host": b["docset_slug"], "page_id": b["page_id"], "ordinal": b["ordinal"].astype("Int32"),
-                "loose": [sorted(m.kinds - {k for style, _, _ in m.blocks for k in style.split("/")[0].split("+")}) for m in made], "head": [m.head for m in made],
-                "blocks": [[{"style": s, "kind": k, "text": t} for s, k, t in m.blocks] for m in made],
-            })
+            made = [Document(t) for t in b.column(4).to_pylist()]
+            flat = [n for d in made for n in d.nodes]
+            columns = list(zip(*flat)) or [[]] * len(NODES)
+            offsets = pa.array([0, *accumulate(len(d.nodes) for d in made)], pa.int32())
+            nodes = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, NODES)], fields=NODES))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([d.head for d in made], pa.string()), nodes], ["chunk_id", "host", "page_id", "ordinal", "head", "nodes"])
 
     one = chunks.where("id is not null").groupBy("id").agg(F.min(F.struct("text", "docset_slug", "page_id", "ordinal")).alias("s")).select("id", "s.*")
-    return one.select("id", F.coalesce("docset_slug", F.lit("")).alias("docset_slug"), F.coalesce("page_id", F.lit("")).alias("page_id"), "ordinal", "text").mapInPandas(parse, out)
+    rows = one.select(F.col("id").cast("long"), F.coalesce("docset_slug", F.lit("")).alias("docset_slug"), F.coalesce("page_id", F.lit("")).alias("page_id"), F.col("ordinal").cast("int"), "text")
+    return rows.mapInArrow(parse, f"chunk_id long, host string, page_id string, ordinal int, head string, nodes array<struct<{', '.join(f.replace(' ', ':') for f in NODE.split(', '))}>>")
+
+
+def share_bound(some: Column, of: Column) -> Column:
+    """The lower bound of the share that ``some`` are ``of`` all, at 95 % (Wilson's interval)."""
+    n, z = of.cast("double"), 1.96
+    p = F.least(some / n, F.lit(1.0))
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _entropy(total: Column, nlogn: Column, base: Column) -> Column:
+    """-sum p log p over parts n of ``total``, p = n / total, to the base given, which counts as 2 at least."""
+    return (F.log(total) - nlogn / total) / F.log(F.greatest(base, F.lit(2)))
 
 
-def style_tree(parsed: DataFrame) -> DataFrame:
-    """(host, style, feature, pages, style_pages, importance) of the contents of each style node of the merged trees.
+def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merged tree of each host: (host, path, depth, pages, presentation, importance) of inner nodes, and (host, path, feature, pages,
+    style_pages, importance) of the contents of leaves.
 
-    With n occurrences of a content on each page, N in all, on m pages that have the style, its entropy over the pages
-    is -sum (n / N) log_m (n / N), and its importance 1 minus that.
+    Presentation: with m pages that have the node, the entropy to the base m of its styles, which are the sequences of
+    labels of its children without repetitions in a row; 1 if only one page has it. Importance of a node with l styles:
+    (1 - DAMPING^l) of its presentation and DAMPING^l of the mean over styles, and over the children in each, of their
+    importance. Importance of a content: 1 minus the entropy of its occurrences over the pages that have its path;
+    that of a leaf is the mean over the contents it has.
     """
-    nodes = parsed.select("host", "page_id", F.explode("blocks").alias("b")).select("host", "page_id", F.col("b.style").alias("style"), F.xxhash64("b.text").alias("feature"))
-    per_page = nodes.groupBy("host", "style", "feature", "page_id").agg(F.count("*").alias("n"))
-    contents = per_page.groupBy("host", "style", "feature").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    styles = nodes.groupBy("host", "style", "page_id").count().groupBy("host", "style").agg(F.count("*").alias("style_pages"))
-    entropy = (F.log("total") - F.col("nlogn") / F.col("total")) / F.log(F.greatest(F.col("style_pages"), F.lit(2)))
-    return contents.where(F.col("pages") >= CONTENT_PAGES).join(styles, ["host", "style"]).select("host", "style", "feature", "pages", "style_pages", (1 - entropy).alias("importance"))
+    flat = parsed.select("host", "page_id", "chunk_id", F.posexplode("nodes").alias("at", "n")).select("host", "page_id", "chunk_id", "at", "n.parent", "n.label", "n.path", "n.kind", F.xxhash64("n.text").alias("feature"))
+    leaves = flat.where("kind <> ''")
+    per_page = leaves.groupBy("host", "path", "feature", "page_id").agg(F.count("*").alias("n"))
+    contents = per_page.groupBy("host", "path", "feature").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    held = flat.groupBy("host", "path", "page_id").agg(F.max("kind").alias("kind")).groupBy("host", "path").agg(F.count("*").alias("style_pages"))
+    held = materialize(held, "held")
+    contents = contents.join(held, ["host", "path"]).select("host", "path", "feature", "pages", "style_pages", "total", F.when(F.col("style_pages") < 2, 1.0).otherwise(1 - _entropy(F.col("total"), F.col("nlogn"), F.col("style_pages"))).alias("importance"))
+    contents = materialize(contents, "contents")
+    # inner nodes: the labels of children in order; leaves come with their kind as label
+    depth = F.size(F.split("path", "/")) - 1
+    rows = parsed.select("host", "page_id", F.posexplode("nodes").alias("at", "n"), F.col("nodes").alias("every")).where("n.kind = ''")
+    labels = F.transform(F.filter("every", lambda c: c["parent"] == F.col("at")), lambda c: c["label"])
+    changes = F.filter(F.arrays_zip(labels.alias("a"), F.concat(F.array(F.lit("")), labels).alias("b")), lambda z: z["a"].isNotNull() & (z["a"] != z["b"]))
+    styled = rows.select("host", "page_id", F.col("n.path").alias("path"), F.transform(changes, lambda z: z["a"]).alias("style")).distinct()
+    styles = styled.groupBy("host", "path", "style").agg(F.count("*").alias("n"))
+    nodes = styles.groupBy("host", "path").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("styles")).join(held, ["host", "path"])
+    shown = F.when(F.col("style_pages") < 2, 1.0).otherwise(F.least(F.lit(1.0), _entropy(F.col("total"), F.col("nlogn"), F.col("style_pages"))))
+    nodes = materialize(nodes.select("host", "path", depth.alias("depth"), F.col("style_pages").alias("pages"), "styles", "total", shown.alias("presentation")), "nodes")
+    share = F.col("n") / F.col("total") / F.greatest(F.size(F.array_distinct("style")), F.lit(1))
+    edges = styles.join(nodes.select("host", "path", "depth", "total"), ["host", "path"]).select("host", "path", "depth", F.explode(F.array_distinct("style")).alias("label"), share.alias("w"))
+    edges = edges.groupBy("host", "path", "depth", "label").agg(F.sum("w").alias("w")).select("host", "path", "depth", F.concat("path", F.lit("/"), "label").alias("child"), "w")
+    edges = materialize(edges, "edges")
+    known = contents.groupBy("host", "path").agg((F.sum(F.col("importance") * F.col("total")) / F.sum("total")).alias("importance"))
+    made = []
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0  # DEPTH at most
+    for level in range(deepest, 0, -1):
+        below = edges.where(F.col("depth") == level).join(known.withColumnRenamed("path", "child"), ["host", "child"]).groupBy("host", "path").agg(F.sum(F.col("w") * F.col("importance")).alias("of_children"))
+        damped = F.pow(F.lit(DAMPING), "styles")
+        here = nodes.where(F.col("depth") == level).join(below, ["host", "path"], "left")
+        here = here.withColumn("importance", (1 - damped) * F.col("presentation") + damped * F.coalesce("of_children", F.lit(1.0))).select("host", "path", "depth", "pages", "presentation", "importance")
+        if level % 3 == 0:
+            here = materialize(here, "level")
+        made.append(here)
+        known = known.unionByName(here.select("host", "path", "importance"))
+    every = nodes.limit(0).select("host", "path", "depth", "pages", "presentation", F.lit(0.0).alias("importance"))
+    for here in made:
+        every = every.unionByName(here)
+    return every, contents.drop("total")
+
+
+def _signed(node: Column) -> Column:
+    """A leaf's text with a sign of its kind: # for headings by level, four blanks before lines of code."""
+    kind = node["kind"]
+    heading = F.concat(F.repeat(F.lit("#"), F.coalesce(F.try_to_number(F.substr(kind, F.lit(8), F.lit(1)), F.lit("9")).cast("int"), F.lit(1))), F.lit(" "), node["text"])
+    item = F.when(node["text"].rlike(r"^(?:[-*+]|\d{1,3}[.)]) "), node["text"]).otherwise(F.concat(F.lit("- "), node["text"]))
+    code = F.concat(F.lit("    "), F.regexp_replace(node["text"], "\n", "\n    "))
+    return F.when(kind.startswith("heading"), heading).when(kind == "code", code).when(kind == "list", item).otherwise(node["text"])
 
 
 def clean_chunks(chunks: DataFrame) -> DataFrame:
     """(chunk_id, host, page_id, kinds, text, blocks, removed) of each chunk of (id, docset_slug, page_id, ordinal, text).
 
-    ``kinds``: the markup met in the chunk, in what is kept, what is removed and what left no block; ``text``: header lines and blocks of importance, without markup; ``blocks``:
-    those blocks with their kind; ``removed``: how many were left out as the host's pages share them.
+    ``kinds``: the markup of the nodes of the chunk's tree; ``text``: header lines and the leaves that are left, without
+    markup; ``blocks``: those leaves with their kind; ``removed``: how many leaves went, with a branch or by themselves.
     """
     parsed = materialize(parse_chunks(chunks), "parsed")
-    recurring = (F.col("importance") < IMPORTANT) & (F.col("style_pages") >= STYLE_PAGES) & (F.col("pages") >= PAGE_SHARE * F.col("style_pages"))
-    kind = F.regexp_replace(F.substring_index("style", "/", -1), r"\d+$", "")
-    low = style_tree(parsed).where(recurring & ~kind.isin(*KEPT_KINDS)).select("host", "style", "feature")
-    at = parsed.select("chunk_id", "host", F.posexplode("blocks").alias("at", "b")).select("chunk_id", "host", "at", F.col("b.style").alias("style"), F.xxhash64("b.text").alias("feature"))
-    dropped = at.join(low, ["host", "style", "feature"], "left_semi").groupBy("chunk_id").agg(F.collect_set("at").alias("dropped"))
+    tree, contents = style_tree(parsed)
+    hosts = parsed.groupBy("host", "page_id").count().groupBy("host").agg(F.count("*").alias("host_pages"))
+    element = ~F.substring_index("path", "/", -1).rlike(r"^(?:section\d|list|table|quote)$")
+    branches = tree.where((F.col("importance") < IMPORTANT) & element).join(hosts, "host").where(share_bound(F.col("pages"), F.col("host_pages")) >= SHARE).select("host", "path")
+    low = contents.where((F.col("importance") < IMPORTANT) & (share_bound(F.col("pages"), F.col("style_pages")) >= SHARE)).select("host", "path", "feature")
+    flat = parsed.select("chunk_id", "host", F.posexplode("nodes").alias("at", "n")).select("chunk_id", "host", "at", "n.path", "n.kind", F.xxhash64("n.text").alias("feature"))
+    kind = F.regexp_replace("kind", r"\d+$", "")
+    alone = flat.where(F.col("kind").isin("") == F.lit(False)).where(~kind.isin(*KEPT_KINDS)).join(low, ["host", "path", "feature"], "left_semi").select("chunk_id", "at")
+    gone = flat.where("kind = ''").join(branches, ["host", "path"], "left_semi").select("chunk_id", "at").unionByName(alone)
+    dropped = gone.groupBy("chunk_id").agg(F.collect_set("at").alias("dropped"))
     both = parsed.join(dropped, "chunk_id", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
-    both = both.withColumn("gone", F.expr("filter(blocks, (b, i) -> array_contains(dropped, i))"))
-    kept = both.withColumn("blocks", F.expr("filter(blocks, (b, i) -> not array_contains(dropped, i))"))
-    syntaxes = lambda c: F.flatten(F.transform(c, lambda b: F.split(F.substring_index(b["style"], "/", 1), r"\+")))
-    kinds = F.array_intersect(F.array(*map(F.lit, KINDS)), F.concat(syntaxes("blocks"), syntaxes("gone"), "loose"))
-    text = F.concat_ws("\n\n", F.when(F.col("head") != "", F.col("head")), F.expr("transform(blocks, b -> b.text)"))
-    return kept.select("chunk_id", "host", "page_id", kinds.alias("kinds"), text.alias("text"), F.expr("transform(blocks, b -> struct(b.kind as kind, b.text as text))").alias("blocks"), F.size("dropped").alias("removed"))
+    both = both.withColumn("gone", F.expr("filter(nodes, (n, i) -> n.kind <> '' and n.text <> '' and (array_contains(dropped, i) or arrays_overlap(n.above, dropped)))"))
+    both = both.withColumn("kept", F.expr("filter(nodes, (n, i) -> n.kind <> '' and n.text <> '' and not (array_contains(dropped, i) or arrays_overlap(n.above, dropped)))"))
+    syntaxes = F.flatten(F.transform("nodes", lambda n: F.split(n["syntax"], r"\+")))
+    kinds = F.array_intersect(F.array(*map(F.lit, KINDS)), syntaxes)
+    # items of a list follow each other, other leaves stand apart
+    signed = F.transform("kept", lambda n: F.struct(_signed(n).alias("text"), (n["kind"] == "list").alias("item")))
+    joined = F.aggregate(signed, F.struct(F.lit("").alias("text"), F.lit(False).alias("item")), lambda a, b: F.struct(F.concat(a["text"], F.when(a["text"] == "", "").when(a["item"] & b["item"], "\n").otherwise("\n\n"), b["text"]).alias("text"), b["item"].alias("item")))
+    text = F.concat_ws("\n\n", F.when(F.col("head") != "", F.col("head")), F.when(F.size("kept") > 0, joined["text"]))
+    return both.select("chunk_id", "host", "page_id", kinds.alias("kinds"), text.alias("text"), F.expr("transform(kept, n -> struct(n.kind as kind, n.text as text))").alias("blocks"), F.size("gone").alias("removed"))

@@ -1,6 +1,7 @@
 """Operators over DataFrames: brute force, exact round trips, held-out accuracy, and awkward inputs."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -202,7 +203,7 @@ def test_near_copies_of_trees(spark):
 
 
 def test_markup_of_table(spark):
-    same = "<nav>Home | Docs</nav> &amp; more"
+    same = "Home | Docs &amp; more"
     rows = [(i, "s", f"p{i}", 0, f"{same}\n\nOwn **words** of page {i}.") for i in range(30)] + [(5, "s", "p5", 0, f"{same}\n\nOwn **words** of page 5."), (99, None, None, None, None), (98, "s", "p1", 1, "plain"), (None, "s", "p", 0, "x")]
     df = spark.createDataFrame(rows, "id long, docset_slug string, page_id string, ordinal int, text string").withColumn("kinds", F.lit("clash"))
     got = {r["chunk_id"]: r for r in markup.clean_chunks(df).collect()}
@@ -211,6 +212,33 @@ def test_markup_of_table(spark):
     assert markup.clean_chunks(df.where("false")).count() == 0
 
 
+def test_markup_branches(spark):
+    """Navigation goes as a branch, with its headings and lists and although its links vary a little; the same lists elsewhere stay."""
+    def page(i):
+        links = "".join(f"<li>{name}</li>\n" for name in ("Home", "Guide", "Blog", f"Page {i}"))
+        return f'<div class="menu">\n<h3>Site</h3>\n<ul>\n{links}</ul>\n</div>\n<div class="body">\n<h1>About {i}</h1>\n<p>Text of page {i} <b>here</b>.</p>\n<ul>\n<li>Home</li>\n<li>own {i}</li>\n</ul>\n</div>'
+
+    rows = [(i, "d", f"p{i}", 0, page(i)) for i in range(40)] + [(100 + i, "other", f"p{i}", 0, page(i)) for i in range(2)]
+    got = {r["chunk_id"]: r for r in markup.clean_chunks(spark.createDataFrame(rows, "id long, docset_slug string, page_id string, ordinal int, text string")).collect()}
+    assert got[7]["text"] == "# About 7\n\nText of page 7 here.\n\n- Home\n- own 7" and got[7]["removed"] == 5 and got[7]["kinds"] == ["html"]
+    assert "Guide" in got[100]["text"] and got[100]["removed"] == 0  # two pages prove nothing
+
+
+def test_markup_signs(spark):
+    text = "Docset: D\nPage: p\n\n# Title\n\nSome *text*.\n\n## Sub\n\n- one\n- two\n\n```py\nif a:\n    b()\n```\n\n$$a_1$$\n\n<!-- note -->"
+    row = markup.clean_chunks(spark.createDataFrame([(1, "d", "p", 0, text)], "id long, docset_slug string, page_id string, ordinal int, text string")).first()
+    assert row["text"] == "Docset: D\nPage: p\n\n# Title\n\nSome text.\n\n## Sub\n\n- one\n- two\n\n    if a:\n        b()\n\na_1"
+    assert row["kinds"] == ["html", "markdown", "latex"] and [b["kind"] for b in row["blocks"]] == ["heading1", "paragraph", "heading2", "list", "list", "code", "formula"]
+
+
+def test_markup_of_long_blocks():
+    begin = time.time()
+    markup.Document("text of a line\n> quote\n" * 20_000)
+    markup.Document("x = 1;\n# not a heading. \nplain words here\n" * 20_000)
+    deep = markup.Document("<div>" * 5_000 + "deep" + "</div>" * 5_000)
+    assert time.time() - begin < 20 and max(n[3].count("/") for n in deep.nodes) <= markup.DEPTH + 1
+
+
 def test_markup_keeps_common_blocks(spark):
     same = "# Parameters\n\n```py\nrun(1)\n```\n\n- one\n- two\n\n$$a_1 \\le b$$"
     rows = [(i, "d", f"p{i}", 0, f"{same}\n\nPage number {i}.\n\n{'Often said.' if i < 60 else f'Said {i}.'}\n\nOn all pages.") for i in range(200)]

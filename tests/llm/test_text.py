@@ -290,7 +290,10 @@ def test_markup_kinds(text, kinds):
 
 def test_markup_text():
     d = markup.Document("# T *x*\n\n- a\n- b\n\n```py\nx  = `1`\n```\n\n<ul><li>c</li><li>d</li></ul>\n\n$$a_1 \\le b$$\n\nSee [l](u) &amp; \\emph{e}.")
-    assert d.blocks == [("markdown/heading1", "heading1", "T x"), ("text/list", "list", "- a\n- b"), ("markdown/code", "code", "x  = `1`"), ("html/list", "list", "- c\n- d"), ("latex/formula", "formula", "a_1 \\le b"), ("html+latex+markdown/paragraph", "paragraph", "See l & e.")]
+    assert [(n[3], n[4], n[5], n[6]) for n in d.nodes if n[4]] == [
+        ("/section1/heading1", "heading1", "T x", "markdown"), ("/section1/list/item", "list", "- a", "text"), ("/section1/list/item", "list", "- b", "text"), ("/section1/code", "code", "x  = `1`", "markdown"),
+        ("/section1/list/ul/li/item", "list", "- c", "html"), ("/section1/list/ul/li/item", "list", "- d", "html"), ("/section1/formula", "formula", "a_1 \\le b", "latex"), ("/section1/paragraph", "paragraph", "See l & e.", "html+latex+markdown"),
+    ]
 
 
 @pytest.mark.parametrize("limit,overlap", [(100, 0), (100, 20), (37, 36), (1, 0), (50, 49), (10, 500)])
