@@ -2,8 +2,9 @@
 
 A text of n characters needs at least ``ceil((n - overlap) / (limit - overlap))`` pieces. That many equally long
 targets are laid over it, and each cut moves to the strongest boundary near its target: the end of a block before that
-of a line, of a sentence, of a word. If a piece would exceed the limit with its overlap, the number of pieces is
-raised by one and the targets are laid anew. Cuts inside of words are the last resort.
+of a line, of a sentence, of a word. Cuts stay where this and all later pieces keep within the limit. If a cut finds no
+boundary there, up to MORE pieces are added and the targets are laid anew; if some cut still falls within a word, the
+plan with the fewest such cuts is taken, and among those the one with the fewest pieces.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 DEFAULTS = {"max_chunk_chars": 2400, "overlap_chars": 200, "min_chunk_chars": 200, "max_chunks_per_page": 512}
+#: Pieces that are added at most to find boundaries for all cuts.
+MORE = 3
 #: Boundaries, strongest first; a cut comes after the match.
 BOUNDARIES = [re.compile(p) for p in (r"\n{2,}(?=#{1,6} )", r"\n{2,}", r"\n", r"[.!?;:…。！？]['\")\]]*\s+|[。！？]", r"\s+")]
 
@@ -41,37 +44,34 @@ def cut_points(body: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     marks: list[list[int]] = []
     for k, boundary in enumerate(BOUNDARIES):
         marks.append([m.end() for m in boundary.finditer(body)])
-    stride = limit - overlap
-    pieces = -(-(n - overlap) // stride)
-    raised = 0
-    while True:
-        # cuts are ends of pieces; with equal pieces each of them adds (n - overlap) / pieces new characters
-        new = (n - overlap) / pieces
-        slack = max(0, int(limit - overlap - new))
-        found, cuts, last = True, [], 0
-        for i in range(1, pieces):
-            target = int(overlap + new * i)
-            high = min(n - 1, (cuts[-1] - overlap if cuts else 0) + limit)
-            low = max((cuts[-1] if cuts else overlap) + 1, target - max(1, int(new) // 2))
-            at = _strongest(marks, low, min(high, target + max(slack, int(new) // 2)), target)
-            if at is None:
-                at = min(high, target) if raised > 2 or high - low < 1 else None
-            if at is None:
-                found = False
-                break
-            cuts.append(at)
-        if found and (not cuts or n - (cuts[-1] - overlap) <= limit):
+    least = -(-(n - overlap) // (limit - overlap))
+    best: tuple[int, list[int]] | None = None
+    for pieces in range(least, least + MORE + 1):
+        found = _laid(marks, n, pieces, limit - overlap, overlap)
+        if best is None or found[0] < best[0]:
+            best = found
+        if not best[0]:
             break
-        pieces += 1
-        raised += 1
-        if raised > 3 + n // max(1, stride):  # no boundary anywhere: plain equal pieces
-            cuts = list(range(limit, n, stride))
-            break
-    ends = [*cuts, n]
-    starts = [0]
-    for end in cuts:
-        starts.append(max(starts[-1] + 1, end - overlap))
-    return list(zip(starts, ends))
+    cuts = best[1]
+    return list(zip([0, *(end - overlap for end in cuts)], [*cuts, n]))
+
+
+def _laid(marks: list[list[int]], n: int, pieces: int, stride: int, overlap: int) -> tuple[int, list[int]]:
+    """Cuts for that many pieces, each of which adds at most ``stride`` characters, and how many of the cuts are at no boundary."""
+    hard, cuts, last = 0, [], overlap
+    new = (n - overlap) / pieces
+    near = max(1, int(new) // 2)
+    for i in range(1, pieces):
+        target = int(overlap + new * i)
+        low = max(last + 1, n - (pieces - i) * stride)
+        high = max(low, min(n - 1, last + stride))
+        at = _strongest(marks, max(low, target - near), min(high, target + near), target)
+        if at is None:
+            hard += 1
+            at = min(max(target, low), high)
+        cuts.append(at)
+        last = at
+    return hard, cuts
 
 
 def _strongest(marks: list[list[int]], low: int, high: int, target: int) -> int | None:

@@ -97,23 +97,38 @@ def test_packing(spark):
     assert packing.pack(df.where("false"), "doc_id", "n_tokens", 2048).count() == 0
 
 
-def test_plan_uses_every_item_once():
+@pytest.mark.parametrize("capacity,low,high,fill", [(256, 0, 256, 0.97), (2048, 3, 13, 0.99), (2048, 9, 26, 0.99), (2048, 20, 900, 0.99), (101, 1, 60, 0.98), (7, 1, 8, 0.9)])
+def test_plan_uses_every_item_once(capacity, low, high, fill):
     rng = np.random.default_rng(1)
-    histogram = rng.integers(0, 60, size=257)
-    used = np.zeros(257, int)
-    for combo, times in packing.plan(histogram):
-        assert sum(combo) <= 256 and times > 0
-        for s in combo:
-            used[s] += times
-    assert (used[1:] == histogram[1:]).all()
-    assert packing.plan(np.zeros(257, int)) == []
+    histogram = np.bincount(rng.integers(low, high, 20_000), minlength=capacity + 1)
+    used, containers = np.zeros(capacity + 1, int), 0
+    for need, times in packing.plan(histogram):
+        assert sum(s * n for s, n in need.items()) <= capacity and times > 0
+        containers += times
+        for s, n in need.items():
+            used[s] += n * times
+    assert (used[1:] == histogram[1:]).all() and (histogram * np.arange(capacity + 1)).sum() >= fill * capacity * containers
+    assert packing.plan(np.zeros(capacity + 1, int)) == []
+
+
+def test_combinations_fill():
+    lengths, times = packing.combinations(50, np.isin(np.arange(51), [3, 5, 11, 20, 34]))
+    made = {tuple(sorted((int(s), int(n)) for s, n in zip(a, b) if s)) for a, b in zip(lengths, times)}
+    assert len(made) == len(lengths) and ((5, 10),) in made and ((5, 1), (11, 1), (34, 1)) in made and ((5, 2), (20, 2)) in made
+    assert all(sum(s * n for s, n in c) == 50 for c in made)
 
 
 def test_nnls():
     rng = np.random.default_rng(2)
-    a = rng.random((6, 12))
-    x = np.maximum(0, rng.normal(size=12))
-    assert np.allclose(a @ packing.nnls(a, a @ x, 5000), a @ x, atol=1e-2)
+    present = np.isin(np.arange(51), [3, 5, 11, 14, 20, 34])
+    lengths, times = packing.combinations(50, present)
+    x = rng.integers(0, 9, len(lengths))
+    target = np.zeros(51)
+    np.add.at(target, lengths, times * x[:, None])
+    made = packing.nnls((lengths, times), target, 5000)
+    got = np.zeros(51)
+    np.add.at(got, lengths, times * made[:, None])
+    assert (made >= 0).all() and np.allclose(got[1:], target[1:], atol=1e-2)
 
 
 def test_tokens_of_table(spark):

@@ -316,6 +316,15 @@ def test_overlap_is_exact():
             assert len(spans) > 2 and all(a[1] - b[0] == overlap for a, b in zip(spans, spans[1:])) and all(e - s <= limit for s, e in spans)
 
 
+def test_fewest_pieces():
+    assert [e - s for s, e in splitting.cut_points("x" * 10_000, 2400, 200)] == [2160] * 5
+    for n in (2401, 4599, 4600, 4601, 9999):
+        assert len(splitting.cut_points("x" * n, 2400, 200)) == -(-(n - 200) // 2200)
+    # a piece more where that finds boundaries for all cuts
+    body = "word " * 459 + "x" * 300
+    assert all(body[e - 1] == " " for _, e in splitting.cut_points(body, 1300, 0)[:-1])
+
+
 def test_cuts_prefer_strong_boundaries():
     body = "\n\n".join(" ".join(f"word{i}" for i in range(12)) for _ in range(6))
     spans = splitting.cut_points(body, 200, 0)
