@@ -9,7 +9,6 @@ documents' side stays distributed. Cuts between levels are set where the graded
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
@@ -22,10 +21,14 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Hash buckets of words (a broadcast of 2 MB), iterations, and weight of a document that has no label.
-BUCKETS, ROUNDS, UNLABELLED = 1 << 18, 6, 0.1
-#: A word's spread of levels is taken for at least this; documents a word must have to count.
-LEAST_SPREAD, LEAST_DOCS = 0.05, 3
+#: Hash buckets of words (a broadcast of 2 MB), and weight of a document that has no label.
+BUCKETS, UNLABELLED = 1 << 18, 0.1
+#: Iterations end when levels of words move by less than this on average, each word counted by its documents, or after so many.
+TOLERANCE, MAX_ROUNDS = 0.01, 40
+#: A word's spread of levels is taken for at least this; documents a word must have to be an edge between documents.
+LEAST_SPREAD, LEAST_DOCS = 0.05, 2
+#: Share of a text's words that must be frequent English ones; the graded texts have 0.15 to 0.5.
+ENGLISH_SHARE = 0.04
 WORDS = re.compile(r"[^\W\d_]+")
 ASCII_WORDS = re.compile(r"[a-z]+")
 #: Frequent words by which languages written in Latin letters are told apart.
@@ -45,7 +48,7 @@ for _language, _words in STOPWORDS.items():
 
 
 def is_english(counts: Counter, letters: int) -> bool:
-    """Whether words of these counts are English: Latin letters, and no other language's frequent words prevail."""
+    """Whether words of these counts are English: Latin letters, enough of its frequent words, and more than of any other language."""
     seen: Counter = Counter()
     for word in LANGUAGE_OF.keys() & counts.keys():
         for language in LANGUAGE_OF[word]:
@@ -53,7 +56,8 @@ def is_english(counts: Counter, letters: int) -> bool:
     latin = sum(n * len(w) for w, n in counts.items() if w.isascii())
     if not latin or latin < 0.6 * letters:
         return False
-    return seen["en"] >= max([0, *(n for language, n in seen.items() if language != "en")])
+    others = max((n for language, n in seen.items() if language != "en"), default=0)
+    return seen["en"] > others and seen["en"] >= ENGLISH_SHARE * counts.total()
 
 
 _BUCKET: dict[str, int] = {}
@@ -73,7 +77,6 @@ def word_graph(documents: DataFrame, key: str, text: str) -> DataFrame:
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = _bucket
-        logs = [0.0] + [1 + math.log(n) for n in range(1, 5000)]
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
@@ -89,10 +92,10 @@ def word_graph(documents: DataFrame, key: str, text: str) -> DataFrame:
                             b = bucket(w)
                             merged[b] = merged.get(b, 0) + n
                         words += merged
-                        weights += [logs[min(n, 4999)] for n in merged.values()]
+                        weights += merged.values()
                     ends.append(len(words))
                 offsets = pa.array(ends, pa.int32())
-                columns = [batch.column(0), pa.array(english), pa.ListArray.from_arrays(offsets, pa.array(words, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(weights, pa.float32()))]
+                columns = [batch.column(0), pa.array(english), pa.ListArray.from_arrays(offsets, pa.array(words, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(1 + np.log(np.array(weights, np.float64)), pa.float32()))]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "english", "words", "weights"])
 
     kind = dict(documents.dtypes)[key]
@@ -130,7 +133,7 @@ def levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     prior = 3.0 if prior is None else float(prior)
     spark = documents.sparkSession
     state = None
-    for _ in range(ROUNDS):
+    for _ in range(MAX_ROUNDS):
         sent = spark.sparkContext.broadcast(state)
 
         def spread(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -149,7 +152,7 @@ def levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 
         words = english.mapInArrow(spread, "word int, w double, x double, xx double, n double").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("w", "x", "xx", "n")])
         got = words.toArrow()  # at most BUCKETS rows
-        state = np.zeros((2, BUCKETS), np.float32)
+        before, state = state, np.zeros((2, BUCKETS), np.float32)
         at = got["word"].to_numpy()
         w, x, xx, n = (got[c].to_numpy() for c in ("w", "x", "xx", "n"))
         some = (w > 0) & (n >= min(LEAST_DOCS, n.max(initial=0)))
@@ -158,6 +161,10 @@ def levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
         state[0][at] = mean
         state[1][at] = np.where(some, (LEAST_SPREAD + var) ** -0.5, 0)
         sent.unpersist()
+        if before is not None:
+            moved = np.abs(state[0][at] - before[0][at]) * n * some
+            if moved.sum() <= TOLERANCE * max(1.0, (n * some).sum()):
+                break
     sent = spark.sparkContext.broadcast(state)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
