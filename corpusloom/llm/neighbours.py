@@ -25,10 +25,14 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 
-#: Members of a coarse cell and of a list, on average; rows of a cell that one task holds at most, on average.
+#: Members of a coarse cell and of a list, on average; rows above which a cell is divided.
 CELL_ROWS, LIST_ROWS, PART_ROWS = 4096, 160, 20_000
-#: Most coarse cells (4 MB of centroids are broadcast), and sample rows for each cell.
+#: Most coarse cells before any is divided (4 MB of centroids are broadcast), and sample rows for each cell.
 MAX_CELLS, SAMPLE_PER_CELL, MIN_SAMPLE = 16_384, 24, 4_096
+#: Times that cells are divided, and most cells after that.
+DIVISIONS, MOST_CELLS = 4, 65_536
+#: Copies of a vector are many above this number and this share of all vectors, so that there are few such classes.
+MANY_COPIES, MANY_SHARE = 100_000, 0.001
 #: Share of the radius within which a bisecting plane lets a list be probed; 1 would be exact.
 REACH = 0.45
 #: Column blocks, and the tolerance of the test (larger abandons later).
@@ -87,6 +91,20 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
     return c
 
 
+def _coarse(sample: np.ndarray, k: int) -> np.ndarray:
+    """About k centroids of ``sample`` in two levels, so that the work grows with k's square root."""
+    if k <= 512:
+        return _kmeans(sample, min(k, len(sample)), 8)
+    first = _kmeans(sample, int(k**0.5), 8)
+    home = _nearest(sample, first)
+    out = []
+    for j in range(len(first)):
+        mine = sample[home == j]
+        if len(mine):
+            out.append(_kmeans(mine, int(min(len(mine), max(1, round(k * len(mine) / len(sample))))), 8))
+    return np.concatenate(out)
+
+
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = 0.5 * (c * c).sum(axis=1)
     return np.concatenate([np.zeros(0, int)] + [(x[i : i + 4096] @ c.T - half).argmax(axis=1) for i in range(0, len(x), 4096)])
@@ -219,19 +237,39 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
     picked = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(min(1 << 20, -(-want * (1 << 20)) // n))).select("raw").limit(2 * want).collect() if cells > 1 else []
     if picked:
         sample = (_unit([r[0] for r in picked], dims) @ turn).astype(np.float32)
-        centres = _kmeans(sample, min(cells, len(sample)), 8)
+        centres = _coarse(sample, cells)
     else:
-        centres = np.zeros((1, dims), np.float32)
+        sample, centres = np.zeros((0, dims), np.float32), np.zeros((1, dims), np.float32)
+
+    def placed_by(centres: np.ndarray) -> DataFrame:
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = (_unit(batch.column(0).to_pylist(), dims) @ turn) if batch.num_rows else np.zeros((0, dims))
+                cell = _nearest(x.astype(np.float32), centres)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(1), batch.column(0)], ["cell", "rep", "raw"])
+
+        return classes.select("raw", "rep").mapInArrow(assign, "cell int, rep long, raw binary")
+
+    # cells that are too large are divided by more centroids, from their own part of the sample
+    for division in range(DIVISIONS + 1):
+        placed = placed_by(centres)
+        sizes = dict(placed.groupBy("cell").count().collect())  # at most MOST_CELLS rows
+        large = {c: size for c, size in sizes.items() if size > PART_ROWS}
+        if not large or division == DIVISIONS or not len(sample) or len(centres) >= MOST_CELLS:
+            break
+        home, added = _nearest(sample, centres), []
+        for c, size in large.items():
+            mine = sample[home == c]
+            more = int(min(len(mine) // 4, -(-size // CELL_ROWS), MOST_CELLS - len(centres)))
+            if more > 1:
+                made = _kmeans(mine, more, 8)
+                centres[c] = made[0]
+                added.append(made[1:])
+        if not added:
+            break
+        centres = np.concatenate([centres, *added])
     gaps = _gaps(centres) if len(centres) <= 2048 else None
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = (_unit(batch.column(0).to_pylist(), dims) @ turn) if batch.num_rows else np.zeros((0, dims))
-            cell = _nearest(x.astype(np.float32), centres)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(1), batch.column(0)], ["cell", "rep", "raw"])
-
-    placed = classes.select("raw", "rep").mapInArrow(assign, "cell int, rep long, raw binary")
-    sizes = dict(placed.groupBy("cell").count().collect())  # at most MAX_CELLS rows
+    # what can't be divided, as it lies in one place, is cut by a hash
     parts = np.ones(len(centres), np.int64)
     for cell, size in sizes.items():
         parts[cell] = -(-size // PART_ROWS)
@@ -239,14 +277,11 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
     split = F.element_at(F.lit(parts.tolist()), F.col("cell") + 1) if parts.max() > 1 else F.lit(1)
     begin = F.element_at(F.lit(first_part[:-1].tolist()), F.col("cell") + 1)
     home = placed.withColumn("part", (begin + F.pmod(F.xxhash64("rep"), split)).cast("int"))
-    result = "q long, n long, cos double, radius double, raw binary, cell int, part int, is_query boolean"
-
-    def emit(q_ids, ids, cos, radius, raw, cell, part):
-        m = len(q_ids)
-        none = [None] * m
-        return pd.DataFrame({"q": q_ids, "n": ids if ids is not None else none, "cos": cos if cos is not None else none, "radius": radius if radius is not None else none, "raw": raw if raw is not None else none, "cell": cell if cell is not None else none, "part": part if part is not None else none, "is_query": np.full(m, raw is not None)})
+    result = "q long, n long, cos double, radius double, raw binary, part int, is_query boolean"
+    # every task gets a few parts, however many there are
+    tasks = max(3 * spark.sparkContext.defaultParallelism, 2 * int(first_part[-1]))
 
-    def own(key, members: pd.DataFrame) -> pd.DataFrame:
+    def own(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
         """Neighbours within the part, and queries to other parts."""
         x = _unit(members["raw"], dims) @ turn
         ids = members["rep"].to_numpy(np.int64)
@@ -255,7 +290,6 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
         qi, mi, cos = scan.search(x, ids, None)
         keep = best(qi, ids[mi], cos, k)
         qi, mi, cos = qi[keep], mi[keep], cos[keep]
-        out = [emit(ids[qi], ids[mi], cos, None, None, None, None)]
         held = np.bincount(qi, minlength=len(x))
         worst = np.full(len(x), 1.0)
         np.minimum.at(worst, qi, cos)
@@ -276,19 +310,20 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
         for other in range(int(first_part[cell]), int(first_part[cell + 1])):
             if other != mine:
                 targets.append((np.arange(len(x)), np.full(len(x), other)))
-        if targets:
-            a, p = (np.concatenate(t) for t in zip(*targets))
-            if len(a):
-                raw = members["raw"].to_numpy(object)
-                out.append(emit(ids[a], None, None, radius[a], raw[a], None, p))
-        return pd.concat(out, ignore_index=True)
-
-    one = materialize(home.groupBy("part").applyInPandas(own, result), "own")
+        a, p = (np.concatenate([np.zeros(0, np.int64), *t]) for t in (zip(*targets) if targets else ((), ())))
+        m = len(qi)
+        none = np.full(len(a), np.nan)
+        return pd.DataFrame({
+            "q": np.r_[ids[qi], ids[a]], "n": np.r_[ids[mi], np.full(len(a), -1)], "cos": np.r_[cos, none], "radius": np.r_[np.full(m, np.nan), radius[a]],
+            "raw": np.r_[np.full(m, None, object), members["raw"].to_numpy(object)[a]], "part": np.r_[np.full(m, -1), p].astype(np.int32), "is_query": np.r_[np.zeros(m, bool), np.ones(len(a), bool)],
+        })
+
+    one = materialize(home.repartition(tasks, "part").groupBy("part").applyInPandas(own, result), "own")
     near = one.where("not is_query").select("q", "n", "cos")
     if len(centres) > 1 or parts.max() > 1:
         queries = one.where("is_query").select("part", F.col("q").alias("rep"), "raw", "radius")
 
-        def others(key, members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        def others(key: tuple, members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if not len(members) or not len(asked):
                 return pd.DataFrame({"q": [], "n": [], "cos": []})
             ids = members["rep"].to_numpy(np.int64)
@@ -298,27 +333,43 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
             keep = best(qi, ids[mi], cos, k)
             return pd.DataFrame({"q": q_ids[qi[keep]], "n": ids[mi[keep]], "cos": cos[keep]})
 
-        far = home.groupBy("part").cogroup(queries.groupBy("part")).applyInPandas(others, "q long, n long, cos double")
+        far = home.repartition(tasks, "part").groupBy("part").cogroup(queries.repartition(tasks, "part").groupBy("part")).applyInPandas(others, "q long, n long, cos double")
         near = near.unionByName(far)
     return _expand(near, vectors, classes, k)
 
 
+def _ranked(rows: DataFrame, q: str, n: str, most: int) -> DataFrame:
+    """The first ``most`` rows of each ``q``: cosine down, those less than TIE below the one before by ``n`` up. See :func:`best`."""
+    order = f"partition by {q} order by cos desc, {n}"
+    apart = rows.withColumn("apart", F.expr(f"coalesce(lag(cos) over ({order}) - cos >= {TIE}D, false)"))
+    level = apart.withColumn("level", F.expr(f"sum(int(apart)) over ({order})"))
+    return level.withColumn("rank", F.expr(f"row_number() over (partition by {q} order by level, {n})")).where(F.col("rank") <= most).drop("apart", "level", "rank")
+
+
 def _expand(near: DataFrame, vectors: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """From neighbours of classes to neighbours of rows; a class stands for its k + 1 smallest ids, as more never count."""
-    many = classes.where("copies > 1").select("h1", "h2", "rep")
+    """From neighbours of classes to neighbours of rows; a class stands for its k + 1 smallest ids, as more never count.
+
+    Classes of very many copies, few by their share of all rows, are sent to all tasks instead of bringing their copies together.
+    """
+    several = materialize(classes.where("copies > 1").select("h1", "h2", "rep", "copies"), "several")
+    limit = max(MANY_COPIES, int(MANY_SHARE * classes.count()))
+    huge = F.broadcast(several.where(F.col("copies") > limit).drop("copies"))  # at most 1 / MANY_SHARE rows
+    usual = several.where(F.col("copies") <= limit).drop("copies")
+    hashed = distinct_vectors(vectors, False)
+    members = materialize(hashed.join(usual, ["h1", "h2"]).select("rep", "key", F.lit(False).alias("huge")).unionByName(hashed.join(huge, ["h1", "h2"]).select("rep", "key", F.lit(True).alias("huge"))), "members")
     top = f"row_number() over (partition by rep order by key) <= {k + 1}"
-    members = distinct_vectors(vectors, False).join(many, ["h1", "h2"]).select("rep", "key")
     first = members.withColumn("kept", F.expr(top)).where("kept").select(F.col("rep").alias("n"), F.col("key").alias("id"))
     ranked = near.join(first, "n", "left").select("q", F.coalesce("id", "n").alias("id"), "cos")
     own = first.select(F.col("n").alias("q"), "id", F.lit(1.0).alias("cos"))
-    ranked = ranked.unionByName(own).withColumn("step", F.floor(F.col("cos") / TIE + 0.5))
     # a row of a class may itself be among the first k + 1
-    order = "row_number() over (partition by q order by step desc, id)"
-    listed = ranked.withColumn("rank", F.expr(order)).where(F.col("rank") <= k + 1)
-    rows = listed.join(members.select(F.col("rep").alias("q"), F.col("key").alias("copy")), "q", "left")
-    rows = rows.select(F.coalesce("copy", "q").alias("vec_id"), F.col("id").alias("neighbour_id"), "cos", "step").where("vec_id <> neighbour_id")
-    last = "row_number() over (partition by vec_id order by step desc, neighbour_id)"
-    return rows.withColumn("rank", F.expr(last)).where(F.col("rank") <= k).select("vec_id", "neighbour_id", F.col("cos").alias("cosine"))
+    listed = materialize(_ranked(ranked.unionByName(own), "q", "id", k + 1), "listed")
+    copies = members.select(F.col("rep").alias("q"), F.col("key").alias("copy"), "huge")
+    lists_of_huge = F.broadcast(listed.join(huge.select(F.col("rep").alias("q")), "q", "left_semi"))  # k + 1 rows each
+    rows = listed.join(several.select(F.col("rep").alias("q")), "q", "left_anti").select(F.col("q").alias("vec_id"), "id", "cos")
+    rows = rows.unionByName(listed.join(copies.where("not huge"), "q").select(F.col("copy").alias("vec_id"), "id", "cos"))
+    rows = rows.unionByName(copies.where("huge").join(lists_of_huge, "q").select(F.col("copy").alias("vec_id"), "id", "cos"))
+    rows = rows.select("vec_id", F.col("id").alias("neighbour_id"), "cos").where("vec_id <> neighbour_id")
+    return _ranked(rows, "vec_id", "neighbour_id", k).select("vec_id", "neighbour_id", F.col("cos").alias("cosine"))
 
 
 def neighbour_pairs(neighbours: DataFrame) -> DataFrame:

@@ -109,8 +109,10 @@ USABLE_SQL = "len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL O
 
 def _neighbours_sql(table_name: str) -> str:
     return f"""SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM (
-SELECT a, b FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.v, y.v) AS c FROM {table_name}_v x JOIN {table_name}_v y ON x.vec_id <> y.vec_id)
-QUALIFY row_number() OVER (PARTITION BY a ORDER BY floor(c / 1e-9 + 0.5) DESC, b) <= 5)"""
+SELECT a, b FROM (SELECT *, sum(apart) OVER (PARTITION BY a ORDER BY c DESC, b) AS level FROM (
+SELECT *, CASE WHEN lag(c) OVER (PARTITION BY a ORDER BY c DESC, b) - c >= 1e-9 THEN 1 ELSE 0 END AS apart FROM (
+SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.v, y.v) AS c FROM {table_name}_v x JOIN {table_name}_v y ON x.vec_id <> y.vec_id)))
+QUALIFY row_number() OVER (PARTITION BY a ORDER BY level, b) <= 5)"""
 
 
 def _vectors_sql(table_name: str) -> str:

@@ -74,6 +74,30 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert {j for i, j in pairs if i == 9} == {5, 6, 7, 8, 10} and {j for i, j in pairs if i == 5} == {6, 7, 8, 9, 10}
 
 
+def test_ties_by_difference(spark):
+    edge = 0.5 + 0.5e-9
+    rows = [(1, 9, edge - 1e-12), (1, 3, edge + 1e-12), (1, 2, edge - 3e-12), (1, 7, 0.9), (1, 1, 0.1), (2, 5, 0.3), (2, 4, 0.3 - 2e-9)]
+    df = spark.createDataFrame(rows, "q long, n long, cos double")
+    assert [(r["q"], r["n"]) for r in neighbours._ranked(df, "q", "n", 3).orderBy("q", "cos", ascending=[True, False]).collect()] == [(1, 7), (1, 3), (1, 2), (2, 5), (2, 4)]
+
+
+def test_neighbours_of_many_copies_and_divided_cells(spark, monkeypatch):
+    for name, value in (("CELL_ROWS", 60), ("LIST_ROWS", 20), ("PART_ROWS", 100), ("MIN_SAMPLE", 600)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(300, 64)), np.ones((200, 64)), rng.normal(size=64) + rng.normal(size=(400, 64)) * 0.05])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    run = lambda: {(r[0], r[1]) for r in neighbours.nearest_neighbours(neighbours.usable_vectors(df, "vec_id", "vector")).collect()}
+    usual = run()
+    monkeypatch.setattr(neighbours, "MANY_COPIES", 50)
+    monkeypatch.setattr(neighbours, "MANY_SHARE", 0.0)
+    assert run() == usual and len(usual) == 5 * len(x)
+    cos = (u := x / np.linalg.norm(x, axis=1, keepdims=True)) @ u.T
+    np.fill_diagonal(cos, -9)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -np.floor(cos[i] / 1e-9 + 0.5)))[:5]}
+    assert len(usual & want) >= 0.95 * len(want)
+
+
 def test_neighbours_of_few(spark):
     make = lambda rows: neighbours.usable_vectors(spark.createDataFrame(rows, "vec_id long, vector array<float>"), "vec_id", "vector")
     assert neighbours.nearest_neighbours(make([])).collect() == [] and neighbours.nearest_neighbours(make([(1, [1.0] * 64)])).collect() == []
