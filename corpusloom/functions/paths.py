@@ -109,3 +109,47 @@ def resolve_link(href: str, current: str) -> str:
 def resolve_link_udf(href: pd.Series, current: pd.Series) -> pd.Series:
     """:func:`resolve_link`; null if either is."""
     return pd.Series([None if h is None or c is None else resolve_link(h, c) for h, c in zip(href, current)], dtype=object)
+
+
+def escapes(path: Column) -> Column:
+    """Whether a relative path leads out of its folder, or is none: absolute, with a drive or a backslash, or more steps up than down."""
+    steps = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    depth = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda a, x: F.struct((a["at"] + F.when(x == "..", -1).otherwise(1)).alias("at"), F.least(a["low"], a["at"] + F.when(x == "..", -1).otherwise(1)).alias("low")))
+    return F.coalesce(path.startswith("/") | path.contains("\\") | path.rlike("^[A-Za-z]:") | (depth["low"] < 0) | (depth["at"] <= 0), F.lit(True))
+
+
+def ignore_rules(text: str, folder: str = "") -> list[tuple[str, bool]]:
+    """(pattern over paths, whether it ignores) for the lines of an ignore file in ``folder``, in order; the last rule that fits decides."""
+    rules = []
+    for line in text.splitlines():
+        line = line.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        keep, line = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
+        below, bare = line.endswith("/"), line.strip("/")
+        pattern, k = "", 0
+        while k < len(bare):
+            if bare.startswith("**/", k):
+                pattern, k = pattern + "(?:.*/)?", k + 3
+            elif bare.startswith("**", k):
+                pattern, k = pattern + ".*", k + 2
+            else:
+                c = bare[k]
+                end = bare.find("]", k + 2) if c == "[" else -1
+                if end > 0:
+                    pattern, k = pattern + "[" + bare[k + 1 : end].replace("!", "^", 1).replace("\\", "\\\\") + "]", end
+                else:
+                    pattern += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
+                k += 1
+        top = re.escape(folder + "/") if folder else ""
+        anywhere = "" if "/" in line.rstrip("/") else "(?:.*/)?"
+        rules.append((f"^{top}{anywhere}{pattern}" + ("/.*$" if below else "(?:/.*)?$"), not keep))
+    return rules
+
+
+def is_ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether the last of ``rules`` that fits a path ignores it."""
+    out = F.lit(False)
+    for pattern, ignores in rules:
+        out = F.when(path.rlike(pattern), F.lit(ignores)).otherwise(out)
+    return out

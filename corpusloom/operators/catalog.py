@@ -63,7 +63,7 @@ def in_scope(rows: DataFrame, docsets: DataFrame, names: list[str], slug: str =
         return rows
     spark = rows.sparkSession
     wanted = resolved(spark.createDataFrame([(n,) for n in names], "request string"), docsets)
-    return rows.join(F.broadcast(wanted.select(F.col("slug").alias(slug)).distinct()), slug, "left_semi")
+    return rows.join(wanted.select(F.col("slug").alias(slug)).distinct(), slug, "left_semi")
 
 
 def is_current(installed: DataFrame, catalog: DataFrame) -> DataFrame:

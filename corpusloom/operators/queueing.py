@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HIGH, LOW = 100, 0
@@ -42,16 +42,28 @@ def claim(queue: DataFrame, me: str, now: Column, limit: int = 1) -> DataFrame:
     """``queue`` after ``me`` has taken the next items: in progress, one more attempt."""
     mine = claimable(queue, limit).select("id", F.lit(True).alias("mine"))
     taken = F.coalesce("mine", F.lit(False))
-    after = queue.join(F.broadcast(mine), "id", "left")
+    after = queue.join(F.broadcast(mine) if limit <= 10_000 else mine, "id", "left")
     return after.withColumns({"status": F.when(taken, "in_progress").otherwise(F.col("status")), "owner": F.when(taken, me).otherwise(F.col("owner")), "claimed_at": F.when(taken, now).otherwise(F.col("claimed_at")), "attempts": F.col("attempts") + taken.cast("int")}).drop("mine")
 
 
-def finished(queue: DataFrame, me: str, done: list[int], failed: list[int] | None = None) -> DataFrame:
-    """``queue`` without the items that ``me`` has done; failed ones are pending again. Items of others are left alone."""
-    mine = F.col("owner").eqNullSafe(me)
-    kept = queue.where(~(mine & F.col("id").isin(done or [-1])))
-    again = mine & F.col("id").isin(failed or [-1])
-    return kept.withColumns({"status": F.when(again, "pending").otherwise(F.col("status")), "owner": F.when(again, None).otherwise(F.col("owner"))})
+def finished(queue: DataFrame, me: str, outcomes: DataFrame) -> DataFrame:
+    """``queue`` after the ``outcomes`` (id, done) of items that ``me`` holds: those done are gone, failed ones are pending again.
+
+    Outcomes of an id that differ count as failed; items of others are left alone.
+    """
+    known = outcomes.where("id is not null").groupBy("id").agg(F.min("done").alias("done"))
+    after = queue.join(known, "id", "left")
+    mine = F.col("owner").eqNullSafe(me) & F.col("done").isNotNull()
+    again = mine & ~F.coalesce("done", F.lit(True))
+    kept = after.where(~(mine & F.coalesce("done", F.lit(False))))
+    return kept.withColumns({"status": F.when(again, "pending").otherwise(F.col("status")), "owner": F.when(again, None).otherwise(F.col("owner")), "claimed_at": F.when(again, None).otherwise(F.col("claimed_at"))}).drop("done") if "claimed_at" in queue.columns else kept.withColumns({"status": F.when(again, "pending").otherwise(F.col("status")), "owner": F.when(again, None).otherwise(F.col("owner"))}).drop("done")
+
+
+def renewed(queue: DataFrame, me: str, held: DataFrame, now: Column) -> DataFrame:
+    """``queue`` with the claims of ``held`` (id) that ``me`` still has counted from ``now``; lost ones stay lost."""
+    asked = held.select("id").where("id is not null").distinct().withColumn("asked", F.lit(True))
+    mine = F.col("owner").eqNullSafe(me) & (F.col("status") == "in_progress") & F.coalesce("asked", F.lit(False))
+    return queue.join(asked, "id", "left").withColumn("claimed_at", F.when(mine, now).otherwise(F.col("claimed_at"))).drop("asked")
 
 
 def lease(held: tuple[str, float] | None, me: str, now: float, seconds: int = LEASE_SECONDS) -> tuple[tuple[str, float] | None, bool]:
@@ -118,5 +130,26 @@ def batches(items: DataFrame, order: str, size: str, most_items: int, most_size:
     return items.repartition(lane).sortWithinPartitions(lane, order).mapInPandas(fold, schema)
 
 
-def ranked_window(partition: list[str], order: list) -> Column:
-    return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
+def file_batches(items: DataFrame, file: str, order: str, size: str, most_items: int, most_size: int, lane: str) -> DataFrame:
+    """``items`` with ``batch`` as :func:`batches` makes them, but no file is split: files stay whole, in the order of their first item.
+
+    A file that alone exceeds a bound is a batch.
+    """
+    files = items.groupBy(lane, file).agg(F.min(order).alias("first"), F.count("*").alias("count"), F.sum(F.coalesce(size, F.lit(0))).alias("size"))
+    kinds = ", ".join(f"`{c}` {k}" for c, k in files.dtypes if c in (lane, file))
+
+    def fold(parts):
+        at, number, count, total = None, 0, 0, 0
+        for part in parts:
+            made = []
+            for where, n, s in zip(part[lane], part["count"], part["size"]):
+                if where != at:
+                    at, number, count, total = where, 0, 0, 0
+                elif count + n > most_items or total + s > most_size:
+                    number, count, total = number + 1, 0, 0
+                count, total = count + n, total + s
+                made.append(number)
+            yield part[[c for c in part.columns if c in (lane, file)]].assign(batch=made)
+
+    numbered = files.repartition(lane).sortWithinPartitions(lane, "first", file).mapInPandas(fold, f"{kinds}, batch int")
+    return items.join(numbered, [lane, file])

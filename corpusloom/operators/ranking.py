@@ -83,4 +83,4 @@ def in_order(ids: list, df: DataFrame, key: str) -> DataFrame:
     left out. ``ids`` is a bounded list."""
     spark = df.sparkSession
     wanted = spark.createDataFrame([(k, i) for i, k in enumerate(dict.fromkeys(ids))], f"{key} {dict(df.dtypes)[key]}, mention int")
-    return df.drop("mention").join(F.broadcast(wanted), key).orderBy("mention")
+    return df.drop("mention").join(wanted, key).orderBy("mention")

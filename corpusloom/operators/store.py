@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import has_component, terminal, under_prefix
@@ -41,12 +41,20 @@ def remove_partition(spark: SparkSession, path: str, partition: str, value: str)
     drop_path(spark, f"{path}/{partition}={value}")
 
 
-def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` win over those of the same key; their null columns keep what was there."""
+def upsert(table: DataFrame, new: DataFrame, key: str, exact: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``new`` win over those of the same key; their null columns keep what was there, but for those in ``exact``, whose nulls win too."""
     rest = [c for c in table.columns if c != key]
-    a, b = table.alias("a"), new.alias("b")
+    a, b = table.alias("a"), new.withColumn("is_new", F.lit(True)).alias("b")
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
-    return joined.select(F.coalesce(f"b.{key}", f"a.{key}").alias(key), *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) if c in new.columns else F.col(f"a.{c}") for c in rest])
+
+    def merged(c: str) -> Column:
+        if c not in new.columns:
+            return F.col(f"a.{c}")
+        if c in exact:
+            return F.when(F.col("b.is_new"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
+        return F.coalesce(f"b.{c}", f"a.{c}").alias(c)
+
+    return joined.select(F.coalesce(f"b.{key}", f"a.{key}").alias(key), *map(merged, rest))
 
 
 def rewrite(spark: SparkSession, df: DataFrame, path: str) -> None:
@@ -139,9 +147,34 @@ def index_version(rows: DataFrame, group: list[str], parts: list[str]) -> DataFr
 
 
 def deduplicated(pages: DataFrame, group: str, content: Column, order: str) -> DataFrame:
-    """The first page, by ``order``, of each content within its group."""
-    n = F.row_number().over(Window.partitionBy(group, "content_key").orderBy(order))
-    return pages.withColumn("content_key", content).withColumn("n", n).where("n = 1").drop("n", "content_key")
+    """The first page, by ``order``, of each content within its group; copies are dropped before they are brought together."""
+    row = F.struct(*pages.columns)
+    return pages.withColumn("content_key", content).groupBy(group, "content_key").agg(F.min_by(row, order).alias("page")).select("page.*")
+
+
+def vector_state(vectors: DataFrame, model: str | None = None, group: tuple[str, ...] = ()) -> DataFrame:
+    """(group, vectors, updated_at, low, high): number of vectors of ``model``, the latest change as text ('' without any), and the range of dimensions."""
+    rows = vectors if model is None else vectors.where(F.col("model") == model)
+    latest = F.coalesce(F.date_format(F.max("updated_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(""))
+    return rows.groupBy(*group).agg(F.count("*").alias("vectors"), latest.alias("updated_at"), F.min("dimensions").alias("low"), F.max("dimensions").alias("high"))
+
+
+def freshness(now: DataFrame, noted: DataFrame, key: str) -> DataFrame:
+    """(key, state) of each index: ``fresh`` if the noted state (vectors, updated_at) is that of the vectors, ``stale`` if not, ``missing``
+    if none was noted, ``empty`` without vectors; ``mixed`` if vectors have several numbers of dimensions."""
+    both = now.alias("a").join(noted.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
+    same = F.col("a.vectors").eqNullSafe(F.col("b.vectors")) & F.col("a.updated_at").eqNullSafe(F.col("b.updated_at"))
+    state = F.when(F.coalesce("a.vectors", F.lit(0)) == 0, "empty").when(F.col("a.low") != F.col("a.high"), "mixed").when(F.col(f"b.{key}").isNull(), "missing").when(same, "fresh").otherwise("stale")
+    return both.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), state.alias("state"))
+
+
+def docset_counts(pages: DataFrame, chunks: DataFrame, vectors: DataFrame, model: str, slugs: list[str] | None = None) -> DataFrame:
+    """(docset_slug, pages, chunks, vectors) of all docsets or those named: distinct pages, chunks, and chunks with a vector of ``model``."""
+    named = lambda df: df if slugs is None else df.where(F.col("docset_slug").isin(slugs))
+    p = named(pages).select("docset_slug", "id").distinct().groupBy("docset_slug").agg(F.count("*").alias("pages"))
+    embedded = vectors.where(F.col("model") == model).select(F.col("chunk_id").alias("id"), F.lit(1).alias("one")).distinct()
+    c = named(chunks).select("docset_slug", "id").distinct().join(embedded, "id", "left").groupBy("docset_slug").agg(F.count("*").alias("chunks"), F.count("one").alias("vectors"))
+    return p.join(c, "docset_slug", "full_outer").fillna(0, ["pages", "chunks", "vectors"])
 
 
 def to_refresh(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

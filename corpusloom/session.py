@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, lineage cuts by written tables, sizes of broadcasts."""
+"""Session helpers: the shared folder and lineage cuts by written tables."""
 
 from __future__ import annotations
 
@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
-#: Largest table, in estimated bytes, that an operator here marks for broadcast.
-BROADCAST_LIMIT = 8 << 20
-
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the operators are written for."""
@@ -86,5 +83,15 @@ def spread(df: DataFrame) -> DataFrame:
 
     Inputs of that many partitions, which is to say all large ones, stay as they are and aren't shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    sizes = [p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths]
+    # as the reader cuts files: at most maxPartitionBytes, and less if the cores would not all be used
+    in_bytes = lambda key, usual: spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, usual))
+    opening = in_bytes("spark.sql.files.openCostInBytes", "4MB")
+    largest = min(in_bytes("spark.sql.files.maxPartitionBytes", "128MB"), max(opening, (sum(sizes) + opening * len(sizes)) // cores))
+    return df if sum(-(-n // largest) for n in sizes) >= cores else df.repartition(cores)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import time
 import urllib.error
 import urllib.request
@@ -53,6 +55,33 @@ def fetch(url: str, opener: Callable = urllib.request.urlopen, wait: float = 0.5
     raise AssertionError
 
 
+def download(url: str, target: str, sha256: str | None = None, opener: Callable = urllib.request.urlopen, wait: float = 0.5, piece: int = 1 << 20) -> str:
+    """Stream an answer to the file ``target``; its SHA-256. The file appears at once, when all of it is there and has the digest asked for."""
+    part = f"{target}.part-{os.getpid()}"
+    for attempt in range(RETRIES + 1):
+        try:
+            digest = hashlib.sha256()
+            with opener(url) as answer, open(part, "wb") as out:
+                while data := answer.read(piece):
+                    digest.update(data)
+                    out.write(data)
+            if sha256 is not None and digest.hexdigest() != sha256.lower():
+                raise ValueError(f"{url} has the digest {digest.hexdigest()}")
+            os.replace(part, target)
+            return digest.hexdigest()
+        except urllib.error.HTTPError as e:
+            if attempt == RETRIES or not (e.code in RETRIED or e.code >= 500):
+                raise
+        except (urllib.error.URLError, TimeoutError):
+            if attempt == RETRIES:
+                raise
+        finally:
+            if os.path.exists(part):
+                os.remove(part)
+        time.sleep(wait * (attempt + 1))
+    raise AssertionError
+
+
 def catalog_or_copy(load: Callable[[], bytes], copy: Callable[[], bytes | None], offline: bool = False) -> tuple[list, str | None]:
     """The catalog, from its source or else from a kept copy with a warning; offline only the copy counts."""
     if not offline:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import MAX_FILE_BYTES, is_excluded
+from ..functions.paths import MAX_FILE_BYTES, ignore_rules, is_excluded, is_ignored
 
 
 def relative(path: str, root: str) -> Column:
@@ -30,6 +30,29 @@ def scan_tree(spark: SparkSession, root: str, ignored: DataFrame | None = None,
     return readable(rows.select(F.col("rel").alias("path"), "content", F.col("length").cast("int").alias("size_bytes"), F.col("modificationTime").alias("mtime")))
 
 
+def ignored_paths(spark: SparkSession, root: str, name: str = ".gitignore") -> DataFrame:
+    """(path) of the files below ``root`` that ignore files in their folders, or in those above, leave out; rules nearer to a file come last.
+
+    Ignore files are few and small: one search a level of directories finds them, and their rules become one predicate over the listing.
+    """
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative("path", root).alias("path"))
+    depth = every.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
+    jvm = spark._jvm.org.apache.hadoop
+    fs = jvm.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    rules: list[tuple[str, bool]] = []
+    top = re.sub("^[a-z]+:/+", "/", root).rstrip("/") + "/"
+    for level in range(depth):
+        for status in fs.globStatus(jvm.fs.Path("/".join([root.rstrip("/"), *["*"] * level, name]))) or []:
+            stream = fs.open(status.getPath())
+            try:
+                text = bytes(stream.readAllBytes()).decode("utf-8", "replace")
+            finally:
+                stream.close()
+            path = re.sub("^[a-z]+:/+", "/", status.getPath().toString()).removeprefix(top)
+            rules += ignore_rules(text, path.rpartition("/")[0])
+    return every.where(is_ignored(F.col("path"), rules))
+
+
 def readable(files: DataFrame) -> DataFrame:
     """Files (path, content, ...) whose bytes are text: decoded contents and the SHA-256 of the bytes."""
     text = F.expr("is_valid_utf8(content)") & ~F.expr("contains(content, X'00')")

@@ -13,22 +13,23 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-from ..functions.paths import EXCLUDED_DIRS, EXCLUDED_FILES
+from ..functions.paths import EXCLUDED_DIRS, EXCLUDED_FILES, EXCLUDED_SUFFIXES, MAX_FILE_BYTES
 from ..operators.queueing import HIGH
 
 
 def listing(root: str) -> dict[str, str]:
-    """Path below ``root`` to signature (time of change and size); excluded directories aren't entered, links not followed."""
+    """Path below ``root`` to signature (time of change and size), of what a scan takes: excluded names, directories among them, and files
+    that are too large are left out, links not followed."""
     found = {}
     for folder, dirs, files in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in EXCLUDED_DIRS)
+        dirs[:] = sorted(d for d in dirs if d not in EXCLUDED_DIRS and not d.endswith(tuple(EXCLUDED_SUFFIXES)))
         for name in files:
             path = os.path.join(folder, name)
             try:
                 s = os.stat(path)
             except OSError:
                 continue
-            if name not in EXCLUDED_FILES:
+            if name not in EXCLUDED_FILES and name not in EXCLUDED_DIRS and not name.endswith(tuple(EXCLUDED_SUFFIXES)) and s.st_size <= MAX_FILE_BYTES:
                 found[os.path.relpath(path, root)] = f"{s.st_mtime_ns}:{s.st_size}"
     return found
 

@@ -1,10 +1,13 @@
+import io
 import json
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import paths
 from corpusloom.operators import incremental, queueing, report, store
+from corpusloom.plans import indexing
 from corpusloom.sources import docsets, files
 
 
@@ -28,7 +31,11 @@ def test_stale_claims(spark):
     assert {r["id"]: r["status"] for r in after.collect()} == {1: "pending", 2: "in_progress", 3: "pending"}
     taken = queueing.claim(after, "me", now)
     assert {r["id"]: r["attempts"] for r in taken.collect()} == {1: 2, 2: 1, 3: 0}
-    assert {r["id"] for r in queueing.finished(taken, "me", [1, 3], [2]).collect()} == {2, 3}
+    outcomes = spark.createDataFrame([(1, True), (3, True), (2, False), (2, True), (None, True)], "id int, done boolean")
+    after = queueing.finished(taken, "me", outcomes)
+    assert {r["id"]: (r["status"], r["owner"]) for r in after.collect()} == {2: ("pending", None), 3: ("pending", None)}
+    again = queueing.renewed(queue, "me", spark.createDataFrame([(1,), (2,), (3,)], "id int"), F.lit("2024-01-01 00:00:20").cast("timestamp"))
+    assert {r["id"]: str(r["claimed_at"])[-2:] for r in again.where("claimed_at is not null").collect()} == {1: "00", 2: "20"}
     assert queueing.lease(("you", 10.0), "me", 5.0) == (("you", 10.0), False) and queueing.lease(("you", 10.0), "me", 10.0)[1]
 
 
@@ -38,6 +45,82 @@ def test_batches(spark):
     assert [r["batch"] for r in made] == [0, 0, 1, 2, 2, 3]
 
 
+def test_file_batches(spark):
+    rows = spark.createDataFrame([("l", "a", 0, 3), ("l", "b", 1, 1), ("l", "a", 2, 3), ("l", "c", 3, 9), ("l", "d", 4, 1), ("m", "d", 5, None)], "lane string, file string, pos int, size int")
+    made = queueing.file_batches(rows, "file", "pos", "size", 3, 7, "lane").collect()
+    assert {(r["lane"], r["file"]): r["batch"] for r in made} == {("l", "a"): 0, ("l", "b"): 0, ("l", "c"): 1, ("l", "d"): 2, ("m", "d"): 0} and len(made) == 6
+
+
+def test_lease(spark, tmp_path):
+    path = f"file://{tmp_path}/lease"
+    assert indexing.acquire(spark, path, "a", 10.0) and not indexing.acquire(spark, path, "b", 12.0) and indexing.acquire(spark, path, "a", 20.0)
+    assert not indexing.acquire(spark, path, "b", 34.0) and indexing.acquire(spark, path, "b", 35.0) and not indexing.acquire(spark, path, "a", 36.0)
+
+
+def test_ignore_rules(spark, tmp_path):
+    for name, text in {".gitignore": "*.log\n/only\nout/\n!keep.log\n# x\ndocs/**/*.tmp\n", "sub/.gitignore": "local.*\n!a.log\n", "a.log": "", "keep.log": "", "only/x": "", "sub/only": "", "sub/out/y": "", "sub/a.log": "", "sub/local.py": "", "local.py": "", "docs/p/q/z.tmp": "", "z.tmp": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text or "x")
+    got = {r["path"] for r in files.ignored_paths(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a.log", "only/x", "sub/out/y", "sub/local.py", "docs/p/q/z.tmp"}
+
+
+def test_escapes(spark):
+    rows = spark.createDataFrame([("a/b",), ("../a",), ("a/../../b",), ("/a",), ("a/../b",), ("C:/x",), ("a\\b",), ("",), (".",), (None,)], "p string")
+    assert [r[0] for r in rows.select(paths.escapes(F.col("p"))).collect()] == [False, True, True, True, False, True, True, True, True, True]
+
+
+def test_download(tmp_path):
+    target = str(tmp_path / "t")
+    digest = docsets.download("u", target, None, lambda u: io.BytesIO(b"abc"), 0, 2)
+    assert open(target).read() == "abc" and docsets.download("u", target, digest.upper(), lambda u: io.BytesIO(b"abc"), 0)
+    with pytest.raises(ValueError):
+        docsets.download("u", target, "0" * 64, lambda u: io.BytesIO(b"other"), 0)
+    assert open(target).read() == "abc" and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_index_loop(spark, tmp_path):
+    """Prepare, embed, recheck, commit: files that changed or went meanwhile aren't committed, failures are noted."""
+    contents = {"a.py": "def f():\n    return 1\n", "b.py": "x = 1\n", "c.py": "y = 2\n", "bad.py": "boom\n"}
+    read = lambda names: spark.createDataFrame([(p, contents[p]) for p in names if p in contents], "path string, contents string")
+    store_ = indexing.Index(spark, str(tmp_path / "index"))
+
+    def embedder(texts):
+        contents["b.py"] = "changed = 1\n"
+        contents.pop("c.py", None)
+        if any("boom" in t for t in texts):
+            raise ValueError("no vector")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    done = store_.run(["a.py", "b.py", "c.py", "bad.py"], read, embedder)
+    assert done == {"a.py": "indexed", "b.py": "requeued", "c.py": "deleted", "bad.py": "error"}
+    units, vectors = store_.read("units"), store_.read("vectors")
+    assert {r["file_path"] for r in units.collect()} == {"a.py"} and vectors.count() == units.count() == 1
+    assert store_.run(["b.py", "a.py"], read, lambda ts: [[1.0, 2.0] for _ in ts]) == {"a.py": "indexed", "b.py": "indexed"}
+    assert {(r["path"], r["status"], r["error"] is None) for r in store_.read("files").collect()} == {("a.py", "indexed", True), ("b.py", "indexed", True), ("bad.py", "error", False)}
+    assert store_.purge(F.col("path") == "a.py") == 1 and {r["file_path"] for r in store_.read("vectors").collect()} == {"b.py"}
+
+
+def test_docset_operations(spark, tmp_path):
+    catalog_ = spark.createDataFrame([("py~3", 5, "r1", "3"), ("node", 7, "r1", None)], "slug string, mtime long, release string, version string")
+    payload = lambda slug, text: spark.createDataFrame([(slug, json.dumps({"entries": [{"name": "A", "path": "a"}, {"name": "B", "path": "b"}]}), json.dumps({"a": f"<p>{text}</p>", "b": "<p>same</p>"}))], "slug string, index string, db string")
+    shelf = indexing.Shelf(spark, str(tmp_path / "shelf"))
+    assert shelf.install("py~3", catalog_, payload("py~3", "one")) and not shelf.install("py~3", catalog_, payload("py~3", "two"))
+    assert shelf.install("py~3", catalog_, payload("py~3", "two"), force=True) and shelf.install("node", catalog_, payload("node", "n"))
+    assert {(r["docset_slug"], r["name"]) for r in shelf.read("pages").collect()} == {("py~3", "A"), ("py~3", "B"), ("node", "A"), ("node", "B")}
+    assert shelf.update(catalog_.withColumn("mtime", F.col("mtime") + 1).where("slug = 'node'"), lambda slug: payload(slug, "new")) == ["node"]
+    assert "new" in shelf.read("pages").where("docset_slug = 'node' and name = 'A'").first()["markdown"]
+    assert shelf.remove("py~3") == 2 and shelf.remove("py~3") == 0 and shelf.read("docsets").count() == 1
+    with pytest.raises(KeyError):
+        shelf.install("none", catalog_, payload("none", "x"))
+
+
+def test_upsert_with_nulls(spark):
+    table = spark.createDataFrame([("a", 1, "e"), ("b", 2, "e")], "k string, n int, error string")
+    new = spark.createDataFrame([("a", None, None), ("c", 3, None)], "k string, n int, error string")
+    assert {tuple(r) for r in store.upsert(table, new, "k", ("error",)).collect()} == {("a", 1, None), ("b", 2, "e"), ("c", 3, None)}
+
+
 def test_store(spark, tmp_path):
     table = spark.createDataFrame([("a/__pycache__/x", 1), ("a/b", 2), ("c", None)], "path string, n int")
     assert {r["path"] for r in store.remove(table, "path", component="__pycache__").collect()} == {"a/b", "c"}
