@@ -663,7 +663,7 @@ def results_xml(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", report.as_xml({"slug": F.col("docset_slug"), "page": F.col("id")}, F.col("title")).alias("xml"))
 
 
-@query("SELECT DISTINCT path, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE printf('%.1f', size_bytes / 1024.0) || ' KB' END AS size FROM source_files WHERE size_bytes < 1048576")
+@query("SELECT DISTINCT path, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f', size_bytes / 1024.0) || ' KB' WHEN size_bytes < 1073741824 THEN printf('%.1f', size_bytes / 1048576.0) || ' MB' ELSE printf('%.1f', size_bytes / 1073741824.0) || ' GB' END AS size FROM source_files")
 def byte_sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").select("path", text.byte_size(F.col("size_bytes")).alias("size")).distinct()
 
