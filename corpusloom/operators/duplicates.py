@@ -110,9 +110,13 @@ def bounded_pairs(entries: DataFrame, key: str, pos: str, vector: str, threshold
     # a bounded list: at most 2 k entries a key
     lists = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "a"))).alias("found"))
     kept = lists.select(F.col("id").alias("b"), F.explode(F.slice(F.array_distinct(F.transform("found", lambda c: c["a"])), 1, most)).alias("a"))
-    vs = entries.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    scored = kept.join(vs.withColumnsRenamed({"id": "a", "v": "va"}), "a").join(vs.withColumnsRenamed({"id": "b", "v": "vb"}), "b")
-    return scored.select("a", "b", vectors.cosine_or_null(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= threshold)
+    # lengths once an entry; entries without one have no pairs
+    length = vectors.norm(F.col(vector))
+    vs = entries.select(F.col(key).alias("id"), F.col(vector).alias("v"), length.alias("n")).where((F.col("n") > 0) & (F.col("n") < float("inf")))
+    vs = materialize(vs, "lengths")
+    scored = kept.join(vs.withColumnsRenamed({"id": "a", "v": "va", "n": "na"}), "a").join(vs.withColumnsRenamed({"id": "b", "v": "vb", "n": "nb"}), "b")
+    cosine = vectors.dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))
+    return scored.where(F.size("va") == F.size("vb")).select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def knn_pairs(pairs: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:

@@ -30,7 +30,8 @@ def phrases(terms: list[str]) -> list[list[str]]:
 def occurrences(text: Column, words: list[str]) -> Column:
     """How often a phrase begins in a folded text; its last word is a prefix. Words of letters and digits need no quoting."""
     later = "".join(f"[^\\p{{L}}\\p{{N}}]+{w}" for w in words[1:])
-    return F.regexp_count(text, F.lit(f"(?<!{LETTER}){words[0]}" + (f"(?={later})" if later else "")))
+    # the word itself comes first, as a literal is found fastest
+    return F.regexp_count(text, F.lit(f"{words[0]}(?<!{LETTER}{words[0]})" + (f"(?={later})" if later else "")))
 
 
 def bm25(df: DataFrame, key: str, columns: list[str], terms: list[str], scope: Column | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SEMANTIC_SHARE, LEXICAL_SHARE, KEYWORD_ONLY, POOL = 0.7, 0.3, 0.85, 250
 
 
@@ -71,7 +73,9 @@ def hybrid_docs(semantic: DataFrame, keyword: DataFrame, key: str, page: list[st
     """
     limit = max(1, min(50, limit))
     order = F.struct((-F.round("cosine", 9)).alias("down"), F.col(key).alias("id"))
-    first = diversified(semantic.select(key, *page, F.col("cosine").alias("score"), order.alias("pos")), page, "pos", pool)
+    scored = materialize(semantic.select(key, *page, F.col("cosine").alias("score"), order.alias("pos")), "scored")
+    first = materialize(diversified(scored, page, "pos", pool), "pool")
+    keyword = materialize(keyword, "keyword")
     found = keyword.select(key).distinct().withColumn("by_keyword", F.lit(True))
     first = first.join(found, key, "left").withColumn("kind", F.when(F.col("by_keyword"), "hybrid").otherwise("semantic")).drop("by_keyword")
     rest = keyword.select(key, *page, "score", "pos").withColumn("kind", F.lit("keyword"))

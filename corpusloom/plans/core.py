@@ -327,7 +327,7 @@ c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY b ORDER BY rank) <
 s AS (SELECT a, b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS cosine FROM c JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b)
 SELECT a, b, round(cosine, 6) AS cosine FROM s WHERE cosine >= 0.2""")
 def dup_pairs_bounded(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(duplicates.bounded_pairs(table(spark, d, "embeddings"), "vec_id", "vec_id", "embedding", 0.2), "cosine")
+    return _rounded(duplicates.bounded_pairs(spread(table(spark, d, "embeddings", ["vec_id", "embedding"])), "vec_id", "vec_id", "embedding", 0.2), "cosine")
 
 
 @query("""WITH t AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT * FROM embeddings WHERE vec_id % 100 <> 0),
