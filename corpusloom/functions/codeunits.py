@@ -1,15 +1,20 @@
-"""Code units of source files: functions and classes of Python, and the whole file where nothing else is known."""
+"""Code units of source files: functions and classes, and the whole file where there are none."""
 
 from __future__ import annotations
 
 import ast
 import hashlib
+import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .declarations import declarations
+
 #: Language by ending of a path, and the version of its parser.
 LANGUAGES = {
     "python": ("py",), "typescript": ("ts", "mts", "cts"), "tsx": ("tsx",), "rust": ("rs",), "cpp": ("cpp", "cxx", "cc", "c++", "hpp", "hxx", "hh", "h++"), "c": ("c", "h"),
@@ -75,9 +80,22 @@ def file_unit(path: str, source: str, for_comparison: bool = False) -> tuple:
     return unit(path, source, lines, span, "file", None, language, key)
 
 
+def declared_units(path: str, source: str) -> list[tuple]:
+    """Declarations of the other languages, outer ones before inner ones."""
+    language = language_of(path)
+    found = declarations(language, source)
+    if not found:
+        return []
+    plain = source.isascii()
+    at = (lambda i: i) if plain else list(accumulate((len(c.encode("utf-8", "surrogatepass")) for c in source), initial=0)).__getitem__
+    breaks = [m.start() for m in re.finditer("\n", source)]
+    line = lambda i: bisect_left(breaks, i) + 1
+    return [unit(path, source[a:b], (line(a), line(b - 1)), (at(a), at(b)), kind, name, language, f"{language}-declarations:v1") for a, b, kind, name in found]
+
+
 def units_of(path: str, source: str) -> list[tuple]:
-    """The units of a file; the file itself if there are none. Other grammars than Python's aren't installed."""
-    found = python_units(path, source) if language_of(path) == "python" else []
+    """The units of a file; the file itself if there are none."""
+    found = python_units(path, source) if language_of(path) == "python" else declared_units(path, source)
     return found or [file_unit(path, source)]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking, codeunits, html, paths, terms, text
@@ -445,11 +445,13 @@ def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     """Counters of chunking a docset: pages, repeated pages, cut pages and chunks, chunks below the minimum."""
-    rows = _split_documents(spark, d).withColumn("copy", F.row_number().over(Window.partitionBy("source", text.content_hash(F.col("text"))).orderBy("doc_id")) > 1)
+    rows = _split_documents(spark, d)
+    # numbers of each page; of pages with one text the first counts, which an aggregate finds before they are brought together
     over = F.greatest(F.size("chunks") - F.col("cap"), F.lit(0))
     small = F.size(F.filter(F.expr("slice(chunks, 1, cap)"), lambda c: F.char_length(c) < F.coalesce("min_chunk_chars", F.lit(chunking.MIN_CHARS))))
-    once = lambda c: F.sum(F.when(~F.col("copy"), c).otherwise(0))
-    return rows.groupBy("source").agg(F.count("*").alias("pages"), F.count_if("copy").alias("duplicate_pages"), F.count_if(~F.col("copy") & (over > 0)).alias("truncated_pages"), once(over).alias("truncated_chunks"), once(small).alias("small_chunks"))
+    pages = rows.select("source", text.content_hash(F.col("text")).alias("hash"), "doc_id", over.alias("over"), small.alias("small"))
+    texts = pages.groupBy("source", "hash").agg(F.count("*").alias("pages"), F.min_by(F.struct("over", "small"), "doc_id").alias("first"))
+    return texts.groupBy("source").agg(F.sum("pages").alias("pages"), (F.sum("pages") - F.count("*")).alias("duplicate_pages"), F.count_if(F.col("first.over") > 0).alias("truncated_pages"), F.sum("first.over").alias("truncated_chunks"), F.sum("first.small").alias("small_chunks"))
 
 
 @query()

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import chunking, codeunits, html, paths, terms, text
+from corpusloom.functions.declarations import declarations
 from corpusloom.functions.excerpt import Excerpt, line_score
 
 
@@ -112,3 +113,75 @@ def test_code_units():
     assert [r[7] for r in rows] == ["Greeter", "hello"] and rows[1][5] == len("class Greeter:\n    def hello(self):\n        pass\n")
     assert [r[6] for r in codeunits.units_of("a.py", "def (")] == ["file"]
     assert codeunits.units_of("a.txt", "")[0][2:4] == (1, 1) and codeunits.language_of("x/y.mts") == "typescript"
+
+
+#: Text, and its declarations in order: kind, name, first characters.
+DECLARED = {
+    'typescript': (
+        "export async function f(a: {x: number}, b = '}'): Promise<void> { if (a) { g() } }\nexport default abstract class B<T> extends C { private readonly x = 1; static async m<T>(a: T): Promise<{y: T}> { return () => { } } get z() { return 1 } constructor() { super() } }\ninterface I { a(): void }\nexport type U = { a: 1 } | 'x;';\nfunction* gen() { yield 1 }\n// function no() { }\nconst h = () => { };",
+        [('function_declaration', 'f', 'async fu'), ('class_declaration', 'B', 'abstract'), ('method_definition', 'm', 'static a'), ('method_definition', 'z', 'get z() '), ('method_definition', 'constructor', 'construc'), ('interface_declaration', 'I', 'interfac'), ('type_alias_declaration', 'U', 'type U ='), ('generator_function_declaration', 'gen', 'function')],
+    ),
+    'go': (
+        'package a\n\nimport (\n\t"fmt"\n)\n\ntype T struct {\n\tA int\n}\n\nfunc (t *T) M(a int,\n\tb string) error {\n\tif x := f(); x {\n\t}\n\treturn func() error { return nil }()\n}\n\nfunc F[K any](k K) map[string]int {\n\treturn map[string]int{"a}": 1}\n}\n',
+        [('type_declaration', 'T', 'type T s'), ('method_declaration', 'M', 'func (t '), ('function_declaration', 'F', 'func F[K')],
+    ),
+    'rust': (
+        "#[derive(Debug)]\npub struct A<'a> { x: &'a str }\nstruct U;\nimpl<'a> fmt::Display for A<'a> { fn fmt(&self) -> R { match c { '{' => 1, _ => 2 } } }\npub(crate) async unsafe fn g<T: Fn()>(t: T) where T: X { }\nenum E { V { a: u8 } }\ntrait Tr { fn d(&self); fn e(&self) { } }\nmod m { fn inner() {} }\n",
+        [('struct_item', 'A', 'pub stru'), ('struct_item', 'U', 'struct U'), ('impl_item', 'A', "impl<'a>"), ('function_item', 'fmt', 'fn fmt(&'), ('function_item', 'g', 'pub(crat'), ('enum_item', 'E', 'enum E {'), ('trait_item', 'Tr', 'trait Tr'), ('function_item', 'e', 'fn e(&se'), ('mod_item', 'm', 'mod m { '), ('function_item', 'inner', 'fn inner')],
+    ),
+    'java': (
+        'package a;\nimport b.C;\n@X(1) public final class A<T> extends B implements C {\n  private int[] v = {1, 2};\n  public A(int a) throws E { super(a); }\n  @Override protected <U> List<U> m(final int a, String... s) throws E { for (;;) { new Runnable() { public void run() { } }; } }\n  abstract void n();\n  enum K { P { int q() { return 1; } } }\n  static class In { In() { } }\n}\ninterface I { int z(int a); default void w() { } }\n',
+        [('class_declaration', 'A', '@X(1) pu'), ('constructor_declaration', 'A', 'public A'), ('method_declaration', 'm', '@Overrid'), ('method_declaration', 'n', 'abstract'), ('enum_declaration', 'K', 'enum K {'), ('class_declaration', 'In', 'static c'), ('constructor_declaration', 'In', 'In() { }'), ('interface_declaration', 'I', 'interfac'), ('method_declaration', 'z', 'int z(in'), ('method_declaration', 'w', 'default ')],
+    ),
+    'c': (
+        '#include <a.h>\n#define X {\ntypedef struct s { int a; } S;\nstatic const char *f(int a, char *b[])\n{\n  if (a) { g("}"); }\n  int t[] = { 1 };\n  return 0;\n}\nenum e { A, B };\nint v = 3;\n',
+        [('struct_specifier', 's', 'struct s'), ('function_definition', 'f', 'static c'), ('enum_specifier', 'e', 'enum e {')],
+    ),
+    'cpp': (
+        'namespace a::b {\ntemplate <typename T> class C : public D<T> {\npublic:\n  explicit C(int a) : x(a), y{1} { }\n  ~C() { }\n  int f() const override { return [&](int q) { return q; }(1); }\n  bool operator==(const C& o) const { return true; }\n};\nauto g(int a) -> int { switch (a) { case 1: { } } }\n}\nextern "C" { int h(void) { return 1; } }\n',
+        [('namespace_definition', 'a::b', 'namespac'), ('class_specifier', 'C', 'class C '), ('function_definition', 'C', 'explicit'), ('function_definition', '~C', '~C() { }'), ('function_definition', 'f', 'int f() '), ('function_definition', 'operator==', 'bool ope'), ('function_definition', 'g', 'auto g(i'), ('function_definition', 'h', 'int h(vo')],
+    ),
+    'css': (
+        '@media (min-width: 1px) { .a, .b > c { color: red } }\n/* .x { } */\n.d:hover { e: url("}") }\n@font-face { src: x }',
+        [('media_statement', '@media (min-width: 1px)', '@media ('), ('rule_set', '.a, .b > c', '.a, .b >'), ('rule_set', '.d:hover', '.d:hover')],
+    ),
+    'bash': (
+        '#!/bin/sh\nf() {\n  echo "${x}" \'}\'\n}\nfunction g {\n  if a; then { b; }; fi\n}\nh () { :; }\n',
+        [('function_definition', 'f', 'f() {\n  '), ('function_definition', 'g', 'function'), ('function_definition', 'h', 'h () { :')],
+    ),
+    'csharp': (
+        'namespace N { public sealed class A : B { public A(int x) { } [T] public async Task<int> M(string s) { return 1; } int P { get { return 1; } } } public struct S { } public record R(int a) { } }',
+        [('class_declaration', 'A', 'public s'), ('constructor_declaration', 'A', 'public A'), ('method_declaration', 'M', '[T] publ'), ('struct_declaration', 'S', 'public s'), ('record_declaration', 'R', 'public r')],
+    ),
+    'ruby': (
+        'module M\n  class A < B\n    def f(x)\n      if x\n      end\n    end\n    def self.g; end\n    def self.k\n    end\n  end\nend\n',
+        [('module', 'M', 'module M'), ('class', 'A', 'class A '), ('method', 'f', 'def f(x)'), ('singleton_method', 'g', 'def self'), ('singleton_method', 'k', 'def self')],
+    ),
+}
+
+
+@pytest.mark.parametrize("language", DECLARED)
+def test_declarations(language):
+    source, want = DECLARED[language]
+    found = declarations(language, source)
+    assert [(kind, name, source[a:b][:8]) for a, b, kind, name in found] == want
+    assert all(source[b - 1] in "};d" for _, b, _, _ in found)
+
+
+def test_declarations_of_anything():
+    import random
+
+    rng = random.Random(4)
+    for language, (source, _) in DECLARED.items():
+        for _ in range(60):
+            i, j = sorted((rng.randrange(len(source)), rng.randrange(len(source))))
+            declarations(language, source[:i] + rng.choice(["", "{", "}", "(", ")", '"', "'", "/*", "`"]) + source[j:])
+        assert declarations(language, "") == []
+    assert declarations("text", "class A {}") == [] and len(declarations("c", "{" * 20_000 + "}" * 20_000)) == 0
+
+
+def test_declared_units():
+    source = "// ä\nclass A {\n  int f() {\n    return 1;\n  }\n}\n"
+    rows = codeunits.units_of("p/A.java", source)
+    assert [(r[6], r[7], r[2], r[3]) for r in rows] == [("class_declaration", "A", 2, 6), ("method_declaration", "f", 3, 5)]
+    assert [source.encode()[r[4] : r[5]].decode() for r in rows] == [r[8] for r in rows] and [r[6] for r in codeunits.units_of("p/A.java", "class")] == ["file"]
