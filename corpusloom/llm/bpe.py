@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -243,8 +244,14 @@ def transducer(path: str | None = None) -> Transducer:
     return _LOADED[path]
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], path: str | None, lengths_only: bool) -> Iterator[pa.RecordBatch]:
-    machine = transducer(path)
+def _local_copy(path: str) -> str:
+    """Where this process has the file that the driver sent along, or else the path itself."""
+    sent = SparkFiles.get(os.path.basename(path))
+    return sent if os.path.exists(sent) else path
+
+
+def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, lengths_only: bool) -> Iterator[pa.RecordBatch]:
+    machine = transducer(_local_copy(path))
     for whole in batches:
         for k in range(0, whole.num_rows, 2000):
             batch = whole.slice(k, 2000)
@@ -273,5 +280,11 @@ def token_counts(df: DataFrame, key: str, text: str, path: str | None = None) ->
 
 
 def _mapped(df: DataFrame, key: str, text: str, made: T.DataType, path: str | None, lengths_only: bool) -> DataFrame:
+    """The rank file at ``path``, which only the driver must have, is sent along to the executors."""
+    path = path or os.path.join(TOKENIZER_DIR, RANK_FILE)
+    try:
+        df.sparkSession.sparkContext.addFile(path)
+    except Exception:  # another file of that name was sent before: executors read the path
+        pass
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("made", made)])
     return df.select(key, text).mapInArrow(lambda batches: _encode_batches(batches, path, lengths_only), schema)
