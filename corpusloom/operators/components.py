@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_materialized, materialize
@@ -67,10 +67,6 @@ def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(v) for v in part], pa.string())], ["v", "rep"])
 
 
-def _lookup(values: list[int], at: str) -> Column:
-    return F.element_at(F.lit(values), F.col(at) + 1)
-
-
 def _round(links: DataFrame, total: int, deal: Dealer, cell_links: int) -> tuple[DataFrame, bool]:
     """(v, parent, others): each vertex of the links (a, b), its first representative, and the other ones; whether there can be others."""
     cores = links.sparkSession.sparkContext.defaultParallelism
@@ -78,15 +74,16 @@ def _round(links: DataFrame, total: int, deal: Dealer, cell_links: int) -> tuple
     dealt = deal(links, cells) if cells > 1 else links.withColumn("cell", F.lit(0))
     # a cell that is too large is cut: representatives of a vertex meet from wherever they come
     sizes = dict(dealt.groupBy("cell").count().collect()) if cells > 1 else {0: total}
-    parts = [-(-sizes.get(cell, 0) // (2 * cell_links)) for cell in range(max(sizes) + 1)]
-    first = [0, *accumulate(parts)]
-    task = _lookup(first[:-1], "cell")
-    if max(parts) > 1:
-        task = task + F.pmod(F.xxhash64("b", "a"), _lookup(parts, "cell"))
-    local = dealt.select("a", "b", task.cast("int").alias("task")).repartitionById(first[-1], "task").select("a", "b").mapInArrow(union_find, "v string, rep string")
+    parts = {cell: -(-size // (2 * cell_links)) for cell, size in sizes.items()}
+    first = dict(zip(parts, accumulate(parts.values(), initial=0)))
+    tasks = sum(parts.values())
+    # a row for each cell that holds links
+    table = F.broadcast(links.sparkSession.createDataFrame([(c, first[c], n) for c, n in parts.items()], "cell int, first int, parts int"))
+    placed = dealt.join(table, "cell").select("a", "b", (F.col("first") + F.pmod(F.xxhash64("b", "a"), F.col("parts"))).cast("int").alias("task"))
+    local = placed.repartitionById(tasks, "task").select("a", "b").mapInArrow(union_find, "v string, rep string")
     # at most one representative a task
     met = local.groupBy("v").agg(F.collect_set("rep").alias("reps")).select("v", F.array_min("reps").alias("parent"), "reps")
-    return met.select("v", "parent", F.array_remove("reps", F.col("parent")).alias("others")), first[-1] > 1
+    return met.select("v", "parent", F.array_remove("reps", F.col("parent")).alias("others")), tasks > 1
 
 
 def _follow(rows: DataFrame, labels: DataFrame, most: int) -> DataFrame:

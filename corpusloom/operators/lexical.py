@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import fold, folded, index_tokens
-from ..session import materialize
+from ..session import drop_materialized, materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -74,25 +74,31 @@ def code_fetch(limit: int) -> int:
     return max(50, min(500, 20 * limit))
 
 
-def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(term, key, col, pos): one row an occurrence of a token."""
+def tokens_of(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, tokens): an array of tokens for each column."""
+    return df.select(key, F.array(*[index_tokens(F.col(c)) for c in columns]).alias("tokens"))
 
-    def placed(k: int) -> Column:
-        return F.transform(index_tokens(F.col(columns[k])), lambda t, i: F.struct(F.lit(k).alias("col"), i.alias("pos"), t.alias("term")))
 
-    tokens = F.flatten(F.array(*map(placed, range(len(columns)))))
-    return df.select(key, F.explode(tokens).alias("t")).select("t.term", key, "t.col", "t.pos")
+def postings(tokens: DataFrame, key: str) -> DataFrame:
+    """(term, key, col, pos) of (key, tokens): one row an occurrence of a token."""
+    placed = F.transform("tokens", lambda words, k: F.transform(words, lambda t, i: F.struct(k.alias("col"), i.alias("pos"), t.alias("term"))))
+    return tokens.select(key, F.explode(F.flatten(placed)).alias("t")).select("t.term", key, "t.col", "t.pos")
 
 
-def lengths(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, dl): tokens of each row."""
-    return df.select(key, reduce(lambda a, b: a + b, [F.size(index_tokens(F.col(c))) for c in columns]).alias("dl"))
+def lengths(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, dl) of (key, tokens): how many tokens each row has."""
+    return tokens.select(key, F.aggregate("tokens", F.lit(0), lambda n, words: n + F.size(words)).alias("dl"))
 
 
 def write_index(df: DataFrame, key: str, columns: list[str], path: str) -> None:
-    """Write the index of ``df``, which has each key once: ``terms``, sorted by term over all files, and ``rows`` with their lengths."""
-    postings(df, key, columns).repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/terms")
-    lengths(df, key, columns).write.mode("overwrite").parquet(f"{path}/rows")
+    """Write the index of ``df``, which has each key once: ``terms``, sorted by term over all files, and ``rows`` with their lengths.
+
+    Texts are split once, into a table of their own, which both are made from.
+    """
+    tokens = materialize(tokens_of(df, key, columns), "tokens")
+    postings(tokens, key).repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/terms")
+    lengths(tokens, key).write.mode("overwrite").parquet(f"{path}/rows")
+    drop_materialized(tokens)
 
 
 def search_index(spark: SparkSession, path: str, key: str, terms: list[str]) -> DataFrame:

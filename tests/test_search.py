@@ -23,7 +23,8 @@ def test_bm25_against_sqlite(spark):
         want = dict(db.execute("select rowid, bm25(f) from f where f match ?", (match,)).fetchall())
         got = dict(lexical.bm25(df, "id", ["text"], terms).collect())
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
-        index = lexical.bm25_of_postings(lexical.postings(df, "id", ["text"]), lexical.lengths(df, "id", ["text"]), "id", terms)
+        tokens = lexical.tokens_of(df, "id", ["text"])
+        index = lexical.bm25_of_postings(lexical.postings(tokens, "id"), lexical.lengths(tokens, "id"), "id", terms)
         again = dict(index.collect())
         assert again.keys() == want.keys() and all(math.isclose(again[k], want[k], rel_tol=1e-9) for k in want)
 
