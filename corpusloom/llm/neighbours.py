@@ -274,9 +274,15 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
     for cell, size in sizes.items():
         parts[cell] = -(-size // PART_ROWS)
     first_part = np.r_[0, np.cumsum(parts)]
-    split = F.element_at(F.lit(parts.tolist()), F.col("cell") + 1) if parts.max() > 1 else F.lit(1)
-    begin = F.element_at(F.lit(first_part[:-1].tolist()), F.col("cell") + 1)
-    home = placed.withColumn("part", (begin + F.pmod(F.xxhash64("rep"), split)).cast("int"))
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint64)
+            mixed = (rep ^ (rep >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            part = first_part[cell] + ((mixed >> np.uint64(33)) % parts[cell].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], ["cell", "rep", "raw", "part"])
+
+    home = placed.mapInArrow(divide, "cell int, rep long, raw binary, part int")
     result = "q long, n long, cos double, radius double, raw binary, part int, is_query boolean"
     # every task gets a few parts, however many there are
     tasks = max(3 * spark.sparkContext.defaultParallelism, 2 * int(first_part[-1]))
