@@ -77,9 +77,13 @@ def _round(links: DataFrame, total: int, deal: Dealer, cell_links: int) -> tuple
     parts = {cell: -(-size // (2 * cell_links)) for cell, size in sizes.items()}
     first = dict(zip(parts, accumulate(parts.values(), initial=0)))
     tasks = sum(parts.values())
-    # a row for each cell that holds links
-    table = F.broadcast(links.sparkSession.createDataFrame([(c, first[c], n) for c, n in parts.items()], "cell int, first int, parts int"))
-    placed = dealt.join(table, "cell").select("a", "b", (F.col("first") + F.pmod(F.xxhash64("b", "a"), F.col("parts"))).cast("int").alias("task"))
+    cut = F.pmod(F.xxhash64("b", "a"), F.col("parts"))
+    if len(parts) == 1:
+        known = dealt.withColumn("first", F.lit(0)).withColumn("parts", F.lit(tasks))
+    else:  # a row for each cell that holds links
+        table = links.sparkSession.createDataFrame([(c, first[c], n) for c, n in parts.items()], "cell int, first int, parts int")
+        known = dealt.join(F.broadcast(table), "cell")
+    placed = known.select("a", "b", (F.col("first") + cut).cast("int").alias("task"))
     local = placed.repartitionById(tasks, "task").select("a", "b").mapInArrow(union_find, "v string, rep string")
     # at most one representative a task
     met = local.groupBy("v").agg(F.collect_set("rep").alias("reps")).select("v", F.array_min("reps").alias("parent"), "reps")
