@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import drop_materialized, materialize
 
 #: Members of a coarse cell and of a list, on average; rows above which a cell is divided.
 CELL_ROWS, LIST_ROWS, PART_ROWS = 4096, 160, 20_000
@@ -241,18 +241,24 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
     else:
         sample, centres = np.zeros((0, dims), np.float32), np.zeros((1, dims), np.float32)
 
-    def placed_by(centres: np.ndarray) -> DataFrame:
+    def placed_by(centres: np.ndarray, divided: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+        """(cell, rep, raw, part) of all classes; ``divided`` has the first part and the number of parts of each cell."""
+
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = (_unit(batch.column(0).to_pylist(), dims) @ turn) if batch.num_rows else np.zeros((0, dims))
-                cell = _nearest(x.astype(np.float32), centres)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(1), batch.column(0)], ["cell", "rep", "raw"])
+                cell = part = _nearest(x.astype(np.float32), centres)
+                if divided is not None:
+                    rep = batch.column(1).to_numpy().astype(np.uint64)
+                    mixed = ((rep ^ (rep >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                    part = divided[0][cell] + (mixed % divided[1][cell].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(1), batch.column(0), pa.array(part, pa.int32())], ["cell", "rep", "raw", "part"])
 
-        return classes.select("raw", "rep").mapInArrow(assign, "cell int, rep long, raw binary")
+        return classes.select("raw", "rep").mapInArrow(assign, "cell int, rep long, raw binary, part int")
 
     # cells that are too large are divided by more centroids, from their own part of the sample
     for division in range(DIVISIONS + 1):
-        placed = placed_by(centres)
+        placed = materialize(placed_by(centres), "placed")
         sizes = dict(placed.groupBy("cell").count().collect())  # at most MOST_CELLS rows
         large = {c: size for c, size in sizes.items() if size > PART_ROWS}
         if not large or division == DIVISIONS or not len(sample) or len(centres) >= MOST_CELLS:
@@ -268,21 +274,14 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
         if not added:
             break
         centres = np.concatenate([centres, *added])
+        drop_materialized(placed)
     gaps = _gaps(centres) if len(centres) <= 2048 else None
     # what can't be divided, as it lies in one place, is cut by a hash
     parts = np.ones(len(centres), np.int64)
     for cell, size in sizes.items():
         parts[cell] = -(-size // PART_ROWS)
     first_part = np.r_[0, np.cumsum(parts)]
-
-    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint64)
-            mixed = (rep ^ (rep >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            part = first_part[cell] + ((mixed >> np.uint64(33)) % parts[cell].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], ["cell", "rep", "raw", "part"])
-
-    home = placed.mapInArrow(divide, "cell int, rep long, raw binary, part int")
+    home = placed if parts.max() == 1 else materialize(placed_by(centres, (first_part, parts)), "home")
     result = "q long, n long, cos double, radius double, raw binary, part int, is_query boolean"
     # every task gets a few parts, however many there are
     tasks = max(3 * spark.sparkContext.defaultParallelism, 2 * int(first_part[-1]))
@@ -361,7 +360,7 @@ def _expand(near: DataFrame, vectors: DataFrame, classes: DataFrame, k: int) ->
     limit = max(MANY_COPIES, int(MANY_SHARE * classes.count()))
     huge = F.broadcast(several.where(F.col("copies") > limit).drop("copies"))  # at most 1 / MANY_SHARE rows
     usual = several.where(F.col("copies") <= limit).drop("copies")
-    hashed = distinct_vectors(vectors, False)
+    hashed = materialize(distinct_vectors(vectors, False), "hashed")
     members = materialize(hashed.join(usual, ["h1", "h2"]).select("rep", "key", F.lit(False).alias("huge")).unionByName(hashed.join(huge, ["h1", "h2"]).select("rep", "key", F.lit(True).alias("huge"))), "members")
     top = f"row_number() over (partition by rep order by key) <= {k + 1}"
     first = members.withColumn("kept", F.expr(top)).where("kept").select(F.col("rep").alias("n"), F.col("key").alias("id"))
