@@ -5,8 +5,11 @@ distance. Coarse cells come from k-means over a bounded sample; within a cell, l
 made by k-means again. A query first scans its own list, which gives a radius, then every list of the cell whose
 bisecting plane is nearer than ``REACH`` radii, and last, in a second pass, other cells by the same rule. Within a list
 distances grow by blocks of columns; after each block a candidate is abandoned as soon as its partial distance rules it
-out, by a test of the hypothesis that the whole distance lies within the radius. Those that remain are compared in
-double precision.
+out, by a test of the hypothesis that the whole distance lies within the radius. Where the first block rules out too
+little, all columns are compared at once. Those that remain are compared in double precision.
+
+Vectors without others near them would visit nearly all cells. They meet the leaders of all lists instead, which are rows
+that cover the others of their list: first for a radius over all cells, then for the parts in which something lies within.
 
 Identical vectors form one class that is searched once, so that any number of copies costs one search.
 """
@@ -35,8 +38,12 @@ DIVISIONS, MOST_CELLS = 4, 65_536
 MANY_COPIES, MANY_SHARE = 100_000, 0.001
 #: Share of the radius within which a bisecting plane lets a list be probed; 1 would be exact.
 REACH = 0.45
-#: Column blocks, and the tolerance of the test (larger abandons later).
-BLOCKS, EPSILON = (16, 32, 64), 2.1
+#: Column blocks, and the tolerance of the test (larger abandons later); share of a block above which no others are gathered.
+BLOCKS, EPSILON, DENSE = (16, 32, 64), 2.1, 0.05
+#: Parts of other cells that a row visits without regard to leaders, and the distance that a leader covers.
+MANY_VISITS, COVER = 16, 0.3
+#: Leaders, and rows that meet them, of one task; pairs for which more tasks are made.
+TILE_LEADERS, TILE_ROWS, TILE_PAIRS = 131_072, 131_072, 400_000_000
 #: Cosines that differ by less are equal.
 TIE = 1e-9
 
@@ -183,10 +190,16 @@ class Scanner:
             dims = f.shape[1]
             qb, xb = f[r][:, :start], self.f[members][:, :start]
             part = (qb * qb).sum(axis=1)[:, None] + (xb * xb).sum(axis=1)[None] - 2 * (qb @ xb.T)
-            a, b = np.nonzero(part <= (bound * (start / dims) * (1 + EPSILON / start**0.5) ** 2)[:, None])
-            d = part[a, b]
+            near = part <= (bound * (start / dims) * (1 + EPSILON / start**0.5) ** 2)[:, None]
+            if np.count_nonzero(near) > DENSE * near.size:
+                whole_d = 2 - 2 * (f[r] @ self.f[members].T)
+                a, b = np.nonzero(whole_d <= bound[:, None] + 4e-6)
+                d, start = whole_d[a, b], dims
+            else:
+                a, b = np.nonzero(near)
+                d = part[a, b]
             for end in BLOCKS[1:]:
-                if not len(a):
+                if not len(a) or start == dims:
                     break
                 gap = f[r[a], start:end] - self.f[members[b], start:end]
                 d = d + np.einsum("ij,ij->i", gap, gap)
@@ -196,6 +209,19 @@ class Scanner:
                 found.append((r[a], members[b]))
                 self._tighten(limit, r[a], d)
 
+    def leaders(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, reach, held): members that each cover others of their list, how far and how many with themselves. Each row is covered once."""
+        rows, reach, held = [], [], []
+        for left in self.members:
+            while len(left):
+                d = np.maximum(0, 2 - 2 * (self.f[left[1:]] @ self.f[left[0]]))
+                covered = d <= COVER * COVER
+                rows.append(left[0])
+                reach.append((float(d[covered].max()) + 4e-6) ** 0.5 if covered.any() else 0.0)
+                held.append(1 + np.count_nonzero(covered))
+                left = left[1:][~covered]
+        return np.array(rows, np.int64), np.array(reach, float), np.array(held, np.int64)
+
     def _tighten(self, limit: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
         order = np.lexsort((d, rows))
         rows, d = rows[order], d[order]
@@ -206,6 +232,58 @@ class Scanner:
         limit[rows[at]] = np.minimum(limit[rows[at]], np.maximum(d[at], 0) + 4e-6)
 
 
+def _tiles(q: np.ndarray, leaders: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first q, first leader, products) by blocks that stay in the cache; all blocks of some q follow each other."""
+    for i in range(0, len(q), 256):
+        for j in range(0, len(leaders), 4096):
+            yield i, j, q[i : i + 256] @ leaders[j : j + 4096].T
+
+
+def highest(q: np.ndarray, leaders: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest cosines of each q with ``leaders``, and the leaders; -1 and ``least`` stand for what is lower."""
+    top, at = np.repeat(least.astype(np.float32)[:, None], k, axis=1), np.full((len(q), k), -1)
+    for i, j, cos in _tiles(q, leaders):
+        above = cos > top[i : i + 256].min(axis=1)[:, None]
+        held = np.count_nonzero(above, axis=1)
+        for few in (True, False):  # rows with few candidates are packed, so that only those are compared
+            rows = np.flatnonzero((held > 0) & ((held <= DENSE * cos.shape[1]) == few))
+            if not len(rows):
+                continue
+            if few:
+                a, b = np.nonzero(above[rows])
+                place = np.arange(len(a)) - np.repeat(np.cumsum(held[rows]) - held[rows], held[rows])
+                found, of = np.full((len(rows), held[rows].max()), -9, np.float32), np.full((len(rows), held[rows].max()), -1)
+                found[a, place], of[a, place] = cos[rows[a], b], b + j
+            else:
+                found, of = cos[rows], np.broadcast_to(np.arange(j, j + cos.shape[1]), (len(rows), cos.shape[1]))
+            both = np.concatenate([top[i + rows], found], axis=1)
+            kept = np.argpartition(-both, k - 1, axis=1)[:, :k]
+            top[i + rows] = np.take_along_axis(both, kept, axis=1)
+            at[i + rows] = np.take_along_axis(np.concatenate([at[i + rows], of], axis=1), kept, axis=1)
+    return top, at
+
+
+def ranked_bounds(radius: np.ndarray, cos: np.ndarray, at: np.ndarray, reach: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
+    """For each row k distances upwards: within the i-th there are i rows, with itself, by ``radius`` and by its leaders ``at``."""
+    far = np.where(at >= 0, np.sqrt(np.maximum(0, 2 - 2 * cos.astype(np.float64)) + 4e-6) + reach[at], np.inf)
+    far, count = np.c_[far, radius], np.c_[np.where(at >= 0, held[at], 0), np.full(len(radius), k)]
+    order = np.argsort(far, axis=1, kind="stable")
+    far, total = np.take_along_axis(far, order, axis=1), np.cumsum(np.take_along_axis(count, order, axis=1), axis=1)
+    return np.stack([far[np.arange(len(far)), (total >= i).argmax(axis=1)] for i in range(1, k + 1)], axis=1)
+
+
+def reached(q: np.ndarray, radius: np.ndarray, leaders: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(q row, leader row) where a leader is within the radius and ``REACH`` of what it covers."""
+    slack = REACH * reach
+    # |q - l| <= r + s as a product: q l + r s + s s / 2 >= 1 - r r / 2
+    f = np.concatenate([q, radius[:, None], np.ones((len(q), 1))], axis=1).astype(np.float32)
+    g = np.concatenate([leaders, slack[:, None], (0.5 * slack * slack)[:, None]], axis=1).astype(np.float32)
+    enough = (1 - 0.5 * radius * radius - 2e-6).astype(np.float32)[:, None]
+    found = [(a + i, b + j) for i, j, product in _tiles(f, g) for a, b in [np.nonzero(product >= enough[i : i + 256])] if len(a)]
+    a, b = zip(*found) if found else ((), ())
+    return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+
+
 def best(qi: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
     """Positions of the best k of each query: cosine down, those less than TIE apart by id up."""
     order = np.lexsort((ids, -cos, qi))
@@ -282,12 +360,12 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
         parts[cell] = -(-size // PART_ROWS)
     first_part = np.r_[0, np.cumsum(parts)]
     home = placed if parts.max() == 1 else materialize(placed_by(centres, (first_part, parts)), "home")
-    result = "q long, n long, cos double, radius double, raw binary, part int, is_query boolean"
+    result = "q long, n long, cos double, radius double, raw binary, part int, kind int"
     # every task gets a few parts, however many there are
     tasks = max(3 * spark.sparkContext.defaultParallelism, 2 * int(first_part[-1]))
 
     def own(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        """Neighbours within the part, and queries to other parts."""
+        """Neighbours within the part (kind 0), queries to other parts (1), rows for the leaders of all parts (2), leaders with what they cover: how far, and in ``cos`` how many (3)."""
         x = _unit(members["raw"], dims) @ turn
         ids = members["rep"].to_numpy(np.int64)
         cell = int(members["cell"].iloc[0])
@@ -301,13 +379,18 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
         radius = np.where(held >= k, np.sqrt(np.maximum(0, 2 - 2 * worst)), 2.0)
         f = x.astype(np.float32)
         targets: list[tuple[np.ndarray, np.ndarray]] = []
+        wide: list[np.ndarray] = []
         if len(centres) > 1:
             for lo in range(0, len(x), 2048):
                 g = gaps[cell][None] if gaps is not None else np.sqrt(np.maximum(1e-12, ((centres - centres[cell]) ** 2).sum(axis=1)))[None]
                 d = (centres * centres).sum(axis=1) - 2 * (f[lo : lo + 2048] @ centres.T)
                 plane = (d - d[:, cell][:, None]) / (2 * g)
                 plane[:, cell] = np.inf
-                a, b = np.nonzero(plane < REACH * radius[lo : lo + 2048][:, None])
+                near = plane < REACH * radius[lo : lo + 2048][:, None]
+                many = near @ parts > MANY_VISITS if parts.max() > 1 else np.count_nonzero(near, axis=1) > MANY_VISITS
+                wide.append(np.flatnonzero(many) + lo)
+                near[many] = False
+                a, b = np.nonzero(near)
                 for t in range(int(parts.max())):
                     ok = parts[b] > t
                     targets.append((a[ok] + lo, first_part[b[ok]] + t))
@@ -316,17 +399,21 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
             if other != mine:
                 targets.append((np.arange(len(x)), np.full(len(x), other)))
         a, p = (np.concatenate([np.zeros(0, np.int64), *t]) for t in (zip(*targets) if targets else ((), ())))
-        m = len(qi)
-        none = np.full(len(a), np.nan)
+        w = np.concatenate([np.zeros(0, np.int64), *wide])
+        led, reach, covered = scan.leaders() if first_part[-1] > MANY_VISITS + 1 else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        m, rows = len(qi), np.r_[a, w, led]
         return pd.DataFrame({
-            "q": np.r_[ids[qi], ids[a]], "n": np.r_[ids[mi], np.full(len(a), -1)], "cos": np.r_[cos, none], "radius": np.r_[np.full(m, np.nan), radius[a]],
-            "raw": np.r_[np.full(m, None, object), members["raw"].to_numpy(object)[a]], "part": np.r_[np.full(m, -1), p].astype(np.int32), "is_query": np.r_[np.zeros(m, bool), np.ones(len(a), bool)],
+            "q": np.r_[ids[qi], ids[rows]], "n": np.r_[ids[mi], np.full(len(rows), -1)], "cos": np.r_[cos, np.full(len(a) + len(w), np.nan), covered], "radius": np.r_[np.full(m, np.nan), radius[a], radius[w], reach],
+            "raw": np.r_[np.full(m, None, object), members["raw"].to_numpy(object)[rows]], "part": np.r_[np.full(m, -1), p, np.full(len(w) + len(led), mine)].astype(np.int32), "kind": np.repeat(np.arange(4, dtype=np.int32), [m, len(a), len(w), len(led)]),
         })
 
     one = materialize(home.repartition(tasks, "part").groupBy("part").applyInPandas(own, result), "own")
-    near = one.where("not is_query").select("q", "n", "cos")
+    near = one.where("kind = 0").select("q", "n", "cos")
     if len(centres) > 1 or parts.max() > 1:
-        queries = one.where("is_query").select("part", F.col("q").alias("rep"), "raw", "radius")
+        queries = one.where("kind = 1").select("part", F.col("q").alias("rep"), "raw", "radius")
+        held = dict(one.groupBy("kind").count().collect())
+        if held.get(2):
+            queries = queries.unionByName(_by_leaders(one, held[2], held[3], first_part, dims, turn, k))
 
         def others(key: tuple, members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if not len(members) or not len(asked):
@@ -343,6 +430,53 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int
     return _expand(near, vectors, classes, k)
 
 
+def _by_leaders(one: DataFrame, n_rows: int, n_leaders: int, first_part: np.ndarray, dims: int, turn: np.ndarray, k: int) -> DataFrame:
+    """(part, rep, raw, radius): queries to the parts of other cells in which a leader tells that something lies within the radius.
+
+    Leaders are told apart by their part and rows by a hash; each set of leaders meets each set of rows in one task.
+    """
+    y = max(1, -(-n_rows // TILE_ROWS))
+    x = max(1, -(-n_leaders // TILE_LEADERS), min(one.sparkSession.sparkContext.defaultParallelism, n_leaders * n_rows // (y * TILE_PAIRS)))
+    tasks = 3 * x * y
+    tile = (F.col("x") * y + F.col("y")).alias("tile")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    picked = one.where("kind = 3").select("q", "raw", "radius", "part", F.col("cos").cast("long").alias("held"), F.pmod(F.xxhash64("part"), F.lit(x)).alias("x"), every(y).alias("y"))
+    leaders = picked.select(tile, "raw", "radius", "part", "held").repartition(tasks, "tile").groupBy("tile")
+    alone = one.where("kind = 2").select("q", "raw", "radius", "part")
+
+    def tiled(rows: DataFrame):
+        spread = rows.withColumn("y", F.pmod(F.xxhash64("q"), F.lit(y))).withColumn("x", every(x))
+        return spread.select(tile, "q", "raw", "radius", "part").repartition(tasks, "tile").groupBy("tile")
+
+    def units(raw: pd.Series) -> np.ndarray:
+        return np.concatenate([(_unit(raw.iloc[i : i + 8192], dims) @ turn).astype(np.float32) for i in range(0, len(raw), 8192)])
+
+    def top(key: tuple, led: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(led) or not len(rows):
+            return pd.DataFrame({"q": [], "top": []}, dtype=object)
+        radius = rows["radius"].to_numpy()
+        cos, at = highest(units(rows["raw"]), units(led["raw"]), 1 - 0.5 * radius * radius, k + 1)
+        return pd.DataFrame({"q": rows["q"], "top": list(ranked_bounds(radius, cos, at, led["radius"].to_numpy(), led["held"].to_numpy(), k + 1))})
+
+    def route(key: tuple, led: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(led) or not len(rows):
+            return pd.DataFrame({"part": [], "rep": [], "raw": [], "radius": []}, dtype=object)
+        radius = rows["radius"].to_numpy()
+        a, b = reached(units(rows["raw"]), radius, units(led["raw"]), led["radius"].to_numpy())
+        to = led["part"].to_numpy(np.int64)[b]
+        cell = lambda part: np.searchsorted(first_part, part, "right")
+        other = cell(to) != cell(rows["part"].to_numpy(np.int64))[a]
+        a, to = np.unique(np.stack([a[other], to[other]]), axis=1)
+        return pd.DataFrame({"part": to.astype(np.int32), "rep": rows["q"].to_numpy()[a], "raw": rows["raw"].to_numpy(object)[a], "radius": radius[a]})
+
+    tops = leaders.cogroup(tiled(alone)).applyInPandas(top, "q long, top array<double>")
+    # the k others are within the distance that has k + 1 rows
+    nearest = tops.groupBy("q").agg(F.sort_array(F.flatten(F.collect_list("top")))[k].alias("bound"))
+    within = alone.join(nearest, "q", "left").withColumn("radius", F.least("radius", "bound")).drop("bound")
+    within = materialize(within, "within")
+    return leaders.cogroup(tiled(within)).applyInPandas(route, "part int, rep long, raw binary, radius double")
+
+
 def _ranked(rows: DataFrame, q: str, n: str, most: int) -> DataFrame:
     """The first ``most`` rows of each ``q``: cosine down, those less than TIE below the one before by ``n`` up. See :func:`best`."""
     order = f"partition by {q} order by cos desc, {n}"

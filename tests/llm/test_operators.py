@@ -98,6 +98,63 @@ def test_neighbours_of_many_copies_and_divided_cells(spark, monkeypatch):
     assert len(usual & want) >= 0.95 * len(want)
 
 
+def test_neighbours_of_lone_vectors(spark, monkeypatch):
+    """Vectors without others near them are found whole, and are not sent to all cells."""
+    for name, value in (("CELL_ROWS", 40), ("LIST_ROWS", 20), ("MIN_SAMPLE", 1000), ("TILE_LEADERS", 150), ("TILE_ROWS", 30)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.normal(size=(150, 64)), 8, axis=0) + rng.normal(size=(1200, 64)) * 0.1, rng.normal(size=(60, 64))])
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    written = neighbours.materialize
+    monkeypatch.setattr(neighbours, "materialize", kept)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    got = {(r[0], r[1]) for r in neighbours.nearest_neighbours(neighbours.usable_vectors(df, "vec_id", "vector")).collect()}
+    cos = (u := x / np.linalg.norm(x, axis=1, keepdims=True)) @ u.T
+    np.fill_diagonal(cos, -9)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-cos[i])[:5]}
+    lone = {(i, j) for i, j in want if i >= 1200}
+    assert len(got) == 5 * len(x) and len(got & want) >= 0.99 * len(want) and len(got & lone) >= 0.95 * len(lone)
+    sent = tables["own"].where("n = -1").groupBy("q").count().agg(F.max("count")).first()[0]
+    assert sent <= 18  # to 16 parts, or to the leaders, and once as a leader
+    assert "within" in tables
+
+
+def test_leaders_reach_their_lists():
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(60, 64)), 5, axis=0) + rng.normal(size=(300, 64)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    scan = neighbours.Scanner(x, np.arange(300), 5)
+    rows, reach, held = scan.leaders()
+    assert held.sum() == 300 and len(rows) < 300
+    for members in scan.members:
+        mine = np.isin(rows, members)
+        far = np.linalg.norm(x[members][:, None] - x[rows[mine]][None], axis=2)
+        assert (far <= reach[mine] + 1e-3).any(axis=1).all()
+    q = rng.normal(size=(40, 64))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    cos = q @ x[rows].T
+    top, at = neighbours.highest(q.astype(np.float32), x[rows].astype(np.float32), np.full(40, -1.0), 6)
+    assert np.allclose(-np.sort(-top, axis=1), -np.sort(-cos, axis=1)[:, :6], atol=1e-5) and np.allclose(np.take_along_axis(cos, at, axis=1), top, atol=1e-5)
+    many = rng.normal(size=(9000, 64)).astype(np.float32) / 8  # several blocks, with few and with many above what is known
+    for least in (-9.0, 1.2):
+        some, at_some = neighbours.highest(q.astype(np.float32), many, np.full(40, least), 6)
+        right = np.concatenate([np.full((40, 6), least), q @ many.T], axis=1)
+        assert np.allclose(-np.sort(-some, axis=1), -np.sort(-right, axis=1)[:, :6], atol=1e-5)
+        assert np.allclose(np.where(at_some >= 0, np.take_along_axis(q @ many.T, at_some, axis=1), least), some, atol=1e-5)
+    bounds = neighbours.ranked_bounds(np.full(40, 2.0), top, at, reach, held, 6)
+    assert (np.sort(np.linalg.norm(q[:, None] - x[None], axis=2), axis=1)[:, :6] <= bounds).all() and (bounds < 2).any()
+    a, b = neighbours.reached(q, np.full(40, 1.2), x[rows], reach)
+    sure, may = (np.sqrt(2 - 2 * cos) <= 1.2 + neighbours.REACH * reach + e for e in (-1e-5, 1e-4))
+    hit = np.zeros_like(sure)
+    hit[a, b] = True
+    assert (hit | ~sure).all() and (may | ~hit).all() and hit.any()
+
+
 def test_neighbours_of_few(spark):
     make = lambda rows: neighbours.usable_vectors(spark.createDataFrame(rows, "vec_id long, vector array<float>"), "vec_id", "vector")
     assert neighbours.nearest_neighbours(make([])).collect() == [] and neighbours.nearest_neighbours(make([(1, [1.0] * 64)])).collect() == []
